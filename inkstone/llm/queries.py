@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm import pii, sharding
+from inkstone.llm import decontamination, pii, sharding, tokencount
 
 #: 40 shards, numbered 0 to 39: 4 regions of 2 racks of 5 shards.
+#: Tokens beyond which a text is over the limit of a training window.
+TOKEN_LIMIT = 4096
 TREE = sharding.Topology.regular(4, 2, 5)
 
 
@@ -15,6 +17,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Where a public vocabulary file is on this machine; the operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(table(spark, sf_dir, "documents"), TREE, TREE.with_region())
     return out.withColumn("law", F.lit("key"))
@@ -25,7 +45,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op5_sharding": op5_sharding, "op10_pii": op10_pii}
+    return {
+        "op1_decontamination": op1_decontamination,
+        "op3_token_counts": op3_token_counts,
+        "op5_sharding": op5_sharding,
+        "op10_pii": op10_pii,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
