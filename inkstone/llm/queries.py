@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm import decontamination, pii, sharding, tokencount
+from inkstone.llm import decontamination, langid, licenses, pii, sharding, tokencount
 
 #: 40 shards, numbered 0 to 39: 4 regions of 2 racks of 5 shards.
 #: Tokens beyond which a text is over the limit of a training window.
@@ -40,6 +40,21 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("law", F.lit("key"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its licences, and each match as template:unit:start:end:score in millionths."""
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    listed = F.transform("matches", lambda m: F.concat_ws(":", m["template"], m["unit"], m["start"], m["end"], F.round(m["score"] * 1e6).cast("long")))
+    return found.select("doc_id", "n_matches", F.concat_ws(",", "licenses").alias("licenses"), "best_score", F.concat_ws(",", listed).alias("matches"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = langid.train(docs.where(~held_out))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents")).drop("pii")
 
@@ -49,6 +64,8 @@ def queries() -> dict:
         "op1_decontamination": op1_decontamination,
         "op3_token_counts": op3_token_counts,
         "op5_sharding": op5_sharding,
+        "op6_licenses": op6_licenses,
+        "op8_language_id": op8_language_id,
         "op10_pii": op10_pii,
     }
 
