@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm import decontamination, langid, licenses, pii, sharding, tokencount
+from inkstone.llm import bpe, decontamination, langid, licenses, pii, quality, sharding, tokencount
+from inkstone.llm.scratch import Scratch
 
 #: 40 shards, numbered 0 to 39: 4 regions of 2 racks of 5 shards.
+#: The part of all documents that op7 draws.
+SAMPLED = 0.5
 #: Tokens beyond which a text is over the limit of a training window.
 TOKEN_LIMIT = 4096
 TREE = sharding.Topology.regular(4, 2, 5)
@@ -47,6 +50,16 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_matches", F.concat_ws(",", "licenses").alias("licenses"), "best_score", F.concat_ws(",", listed).alias("matches"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document; ``sampled`` are the ``SAMPLED`` part of all documents, of those kept, by Gumbel top-k."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.classify(docs, model).select("doc_id", "log_weight", "score", "gumbel", "accepted")
+    scored = Scratch(spark, "quality").keep(scored, "scored")
+    drawn = quality.resample(scored, int(SAMPLED * scored.count()))
+    return drawn.select("doc_id", "score", "log_weight", F.col("accepted").alias("kept"), "sampled")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -55,6 +68,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents")).drop("pii")
 
@@ -65,7 +83,9 @@ def queries() -> dict:
         "op3_token_counts": op3_token_counts,
         "op5_sharding": op5_sharding,
         "op6_licenses": op6_licenses,
+        "op7_quality": op7_quality,
         "op8_language_id": op8_language_id,
+        "op9_bpe": op9_bpe,
         "op10_pii": op10_pii,
     }
 
