@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm import bpe, decontamination, langid, licenses, pii, quality, sharding, tokencount
+from inkstone.llm import bpe, decontamination, langid, licenses, neardup, pii, quality, sharding, tokencount
 from inkstone.llm.scratch import Scratch
 
 #: 40 shards, numbered 0 to 39: 4 regions of 2 racks of 5 shards.
@@ -38,6 +38,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(table(spark, sf_dir, "documents"), TREE, TREE.with_region())
     return out.withColumn("law", F.lit("key"))
@@ -81,6 +85,7 @@ def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
         "op3_token_counts": op3_token_counts,
+        "op4_near_duplicates": op4_near_duplicates,
         "op5_sharding": op5_sharding,
         "op6_licenses": op6_licenses,
         "op7_quality": op7_quality,
