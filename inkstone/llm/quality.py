@@ -28,9 +28,11 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkstone.llm.sampling import least_hashed
+
 WORD_BUCKETS = 1 << 13
 SHAPES = 24
 SHAPE_GRAMS = SHAPES**2
@@ -132,8 +134,7 @@ def ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
 def sample_ids(labels: DataFrame, id_col: str, label_col: str, sample: int) -> DataFrame:
     """At most ``sample`` ids of either label; an id with both labels counts as bad."""
     rows = labels.select(F.col(id_col).alias("__id"), (F.col(label_col) > 0).alias("__good")).dropna().groupBy("__id").agg(F.min("__good").alias("__good"))
-    order = Window.partitionBy("__good").orderBy(F.xxhash64(F.lit("quality"), "__id"), "__id")
-    return rows.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= sample).drop("__k")
+    return least_hashed(rows, "__id", "__good", sample, "quality")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

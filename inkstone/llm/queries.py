@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm import bpe, decontamination, langid, licenses, neardup, pii, quality, sharding, tokencount
+from inkstone.llm import bpe, decontamination, langid, licenses, neardup, pii, quality, sharding, tokencount, topk
 from inkstone.llm.scratch import Scratch
 
 #: 40 shards, numbered 0 to 39: 4 regions of 2 racks of 5 shards.
@@ -33,6 +33,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.scaled(F.col("embedding")).alias("v"))
+    return topk.PivotIndex(vectors, 5).search(vectors.where(F.col("id") % 50 == 0))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
@@ -84,6 +89,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_topk": op2_topk,
         "op3_token_counts": op3_token_counts,
         "op4_near_duplicates": op4_near_duplicates,
         "op5_sharding": op5_sharding,
