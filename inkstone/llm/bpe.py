@@ -8,8 +8,9 @@ Places are kept small: the documents of a task are gathered in *pages* of about
 distinct words and, for each document, the row of numbers of its words. What is shuffled are a page's distinct words, their
 ids on the way back, and the compressed pages: never a row per word of text.
 
-    documents -> (page, number, word)  -> distinct words -> encoded once -> joined by word -> (page, number, ids)
-    documents -> (page, documents as word numbers)                          cogrouped by page -> ids by position
+    documents -> (page, number, word)   sorted by word: each distinct word encoded once, its ids to all its rows
+              -> (page, number, ids)    cogrouped by page with
+    documents -> (page, documents as word numbers)            ids by position
 
 A page is named by a digest of its contents, so the two passes over the documents agree, and a page whose words don't come
 (the input gave its rows in another order the second time) is encoded from its own list of words instead.
@@ -22,6 +23,7 @@ columns are read, and other columns are left out of the result.
 from __future__ import annotations
 
 import os
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PAGE = 24_000_000
+PAGE = 40_000_000
 #: The split rule of byte-level BPE.
 RULE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -103,11 +105,17 @@ class Stretches(dict):
         self.split, self.numbers = split, numbers
 
     def __missing__(self, stretch: str) -> tuple[int, ...]:
-        body = stretch[1:] if stretch[:1] == "\n" else stretch
-        if not body or body[0].isspace() or body[-1].isspace() or not (body.isascii() or not self.split.odd(body)):
-            raise Uneven
-        words = self.split.findall(stretch if stretch[0] == "\n" else " " + stretch)
-        found = self[stretch] = tuple(map(self.numbers.__getitem__, words))
+        number = self.numbers.__getitem__
+        if stretch.isalpha():  # letters in Python's Unicode are letters in later ones
+            found = (number(" " + stretch),)
+        elif stretch[-1:] in ".,;:" and stretch[:-1].isalpha():
+            found = (number(" " + stretch[:-1]), number(stretch[-1]))
+        else:
+            body = stretch[1:] if stretch[:1] == "\n" else stretch
+            if not body or body[0].isspace() or body[-1].isspace() or not (body.isascii() or not self.split.odd(body)):
+                raise Uneven
+            found = tuple(map(number, self.split.findall(stretch if stretch[0] == "\n" else " " + stretch)))
+        self[stretch] = found
         return found
 
 
@@ -115,72 +123,86 @@ class Page:
     """Documents as rows of word numbers. Splitting is per distinct stretch between single spaces; a text with other white
     space next to a space or line end, or with special tokens, is split as a whole."""
 
-    def __init__(self, split: Splitter):
+    def __init__(self, split: Splitter, rows: bool):
+        import xxhash
+
         self.split, self.numbers = split, Numbers()
         self.stretches = Stretches(split, self.numbers)
+        self.rows: list[np.ndarray] | None = [] if rows else None
         self.ids: list = []
-        self.rows: list[np.ndarray] = []
         self.size = 0
+        self.digest = xxhash.xxh3_64()
 
     def add(self, doc_id, text: str | None) -> None:
         text = text or ""
         self.ids.append(doc_id)
         self.size += len(text)
+        self.digest.update(f"{doc_id!r}:{len(text)};{text}")
         first, *rest = text.replace("\n", " \n").split(" ")
         try:
             if any(s in text for s in self.split.special) or first[-1:].isspace():
                 raise Uneven
-            rest = list(chain.from_iterable(map(self.stretches.__getitem__, rest)))
-            row = [self.numbers[w] for w in self.split._plain(first)] + rest
+            if self.rows is None:
+                deque(map(self.stretches.__getitem__, rest), maxlen=0)
+                rest = ()
+            else:
+                rest = list(chain.from_iterable(map(self.stretches.__getitem__, rest)))
+            words = self.split._plain(first)
         except Uneven:
-            row = [self.numbers[w] for w in self.split.words(text)]
-        self.rows.append(np.array(row, np.int32))
+            words, rest = self.split.words(text), ()
+        row = [self.numbers[w] for w in words]
+        if self.rows is not None:
+            self.rows.append(np.array(row + rest if rest else row, np.int32))
 
     def name(self) -> int:
         """A digest of what is in the page."""
-        import xxhash
+        return self.digest.intdigest() - (1 << 63)
 
-        h = xxhash.xxh3_64()
-        for doc_id, row in zip(self.ids, self.rows, strict=True):
-            h.update(f"{doc_id!r}:{len(row)};")
-            h.update(row.tobytes())
-        for word in self.numbers:
-            h.update(word)
-        return h.intdigest() - (1 << 63)
+    def words(self) -> tuple[list[str], np.ndarray]:
+        """The distinct words in order, and the place in it of each word's number. Words of stretches in texts that were
+        split as a whole may be among them: both passes meet the same."""
+        words = list(self.numbers)
+        order = sorted(range(len(words)), key=words.__getitem__)
+        place = np.empty(len(words), np.int32)
+        place[order] = np.arange(len(words), dtype=np.int32)
+        return [words[i] for i in order], place
 
     def packed(self, id_type: pa.DataType) -> bytes:
+        """Ids, rows and words, compressed; the numbers' bytes are laid out by significance."""
+        words, place = self.words()
+        numbers = place[np.concatenate(self.rows)] if self.numbers else np.zeros(0, np.int32)
+        docs = pa.record_batch([pa.array(self.ids, id_type), pa.array([len(r) for r in self.rows], pa.int64())], ["id", "n"])
         sink = pa.BufferOutputStream()
-        words = list(self.numbers)
-        lengths = np.array([len(r) for r in self.rows])
-        docs = pa.table({"id": pa.array(self.ids, id_type), "row": pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32), pa.array(np.concatenate(self.rows) if self.rows else np.zeros(0, np.int32)))})
-        for table in (docs, pa.table({"word": pa.array(words, pa.string())})):
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as writer:
-                writer.write_table(table)
+        for batch in (docs, pa.record_batch([pa.array(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel())], ["plane"]), pa.record_batch([pa.array(words, pa.string())], ["word"])):
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as writer:
+                writer.write_batch(batch)
         return sink.getvalue().to_pybytes()
 
 
-def unpacked(payload: bytes) -> tuple[pa.Table, pa.Table]:
+def unpacked(payload: bytes) -> tuple[pa.Table, np.ndarray, pa.Table]:
     source = pa.BufferReader(payload)
-    return tuple(pa.ipc.open_stream(source).read_all().combine_chunks() for _ in range(2))
+    docs, planes, words = (pa.ipc.open_stream(source).read_all().combine_chunks() for _ in range(3))
+    numbers = np.ascontiguousarray(planes["plane"].to_numpy().reshape(4, -1).T).view("<u4").ravel()
+    return docs, numbers, words
 
 
-def _pages(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[Page, pa.DataType]]:
-    page, kind = Page(splitter(path)), None
+def _pages(batches: Iterator[pa.RecordBatch], path: str, rows: bool) -> Iterator[tuple[Page, pa.DataType]]:
+    page, kind = Page(splitter(path), rows), None
     for batch in batches:
         kind = batch.column(0).type
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             page.add(doc_id, text)
             if page.size >= PAGE:
                 yield page, kind
-                page = Page(page.split)
+                page = Page(page.split, rows)
     if page.ids:
         yield page, kind
 
 
 def _word_rows(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for page, _ in _pages(batches, path):
-            name, words = page.name(), list(page.numbers)
+        for page, _ in _pages(batches, path, rows=False):
+            name, (words, _) = page.name(), page.words()
             for low in range(0, len(words), 50_000):
                 part = words[low : low + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name)), pa.array(np.arange(low, low + len(part), dtype=np.int32)), pa.array(part, pa.string())], ["page", "number", "word"])
@@ -190,25 +212,33 @@ def _word_rows(path: str):
 
 def _page_rows(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for page, kind in _pages(batches, path):
+        for page, kind in _pages(batches, path, rows=True):
             yield pa.RecordBatch.from_arrays([pa.array([page.name()], pa.int64()), pa.array([page.packed(kind)], pa.binary())], ["page", "packed"])
 
     return run
 
 
 def _encoded_rows(path: str):
+    """Rows sorted by word to rows with its ids, packed as 32-bit numbers; a word's rows stand together."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = splitter(path)
+        split, last = splitter(path), (None, b"")
         for batch in batches:
-            ids = split.encode(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(i, "<u4").tobytes() for i in ids], pa.binary())], ["word", "ids"])
+            coded = batch.column("word").dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            fresh = words[1:] if words and words[0] == last[0] else words
+            ids = [last[1]] * (len(words) - len(fresh)) + [np.array(i, "<u4").tobytes() for i in split.encode(fresh)]
+            if words:
+                last = words[-1], ids[-1]
+            yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("number"), pa.array(ids, pa.binary()).take(coded.indices)], ["page", "number", "ids"])
 
     return run
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """Distinct words (column ``word``) with their ids, packed as 32-bit numbers."""
-    return words.select("word").distinct().mapInArrow(_encoded_rows(path), "word string, ids binary")
+    """Rows of words (page, number, word) with the word's ids in its place: the table is sorted by word, and each distinct
+    word is encoded once for all its rows."""
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded_rows(path), "page long, number int, ids binary")
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -263,26 +293,22 @@ def _assemble(path: str, id_type: pa.DataType):
 
     def run(pages: pa.Table, words: pa.Table) -> pa.Table:
         out = []
+        by_number = dict(zip(words["number"].to_pylist(), words["ids"].to_pylist(), strict=True))
         for packed in pages["packed"]:
-            docs, own = unpacked(packed.as_py())
-            lists: list = [None] * own.num_rows
-            for number, ids in zip(words["number"].to_pylist(), words["ids"].to_pylist(), strict=True):
-                lists[number] = ids
-            if missing := [i for i, x in enumerate(lists) if x is None]:
-                texts = own["word"].take(pa.array(missing, pa.int64())).to_pylist()
-                for i, ids in zip(missing, splitter(path).encode(texts), strict=True):
-                    lists[i] = np.array(ids, "<u4").tobytes()
-            table = Gather(np.frombuffer(b"".join(lists), "<u4").astype(np.int32), np.array([len(x) // 4 for x in lists], np.int64))
+            docs, numbers, own = unpacked(packed.as_py())
+            if len(by_number) != own.num_rows:
+                by_number = {i: np.array(x, "<u4").tobytes() for i, x in enumerate(splitter(path).encode(own["word"].to_pylist()))}
+            lists = list(map(by_number.__getitem__, range(own.num_rows)))
+            table = Gather(np.frombuffer(b"".join(lists), "<u4").astype(np.int32), np.array(list(map(len, lists)), np.int64) // 4)
             by_id = piece_table(path)
-            rows = docs["row"].combine_chunks() if docs.num_rows else pa.array([], pa.list_(pa.int32()))
-            flat, at = rows.values.to_numpy(), rows.offsets.to_numpy()
-            tokens, texts = [], []
-            for i in range(docs.num_rows):
-                ids = table.of(flat[at[i] : at[i + 1]])
+            tokens, texts, at = [np.zeros(0, np.int32)], [], 0
+            for n in docs["n"].to_pylist():
+                ids = table.of(numbers[at : at + n])
+                at += n
                 tokens.append(ids)
                 texts.append(by_id.of(ids).tobytes().decode("utf-8", "replace"))
-            ends = np.concatenate(([0], np.cumsum([len(t) for t in tokens]))).astype(np.int32)
-            ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int32)))
+            ends = np.cumsum([len(t) for t in tokens]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tokens)))
             out.append(pa.table([docs["id"].combine_chunks(), ids, pa.array(texts, pa.string())], schema))
         return pa.concat_tables(out) if out else schema.empty_table()
 
@@ -297,6 +323,5 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     id_type = rows.schema["id"].dataType
     words = rows.mapInArrow(_word_rows(path), "page long, number int, word string")
     pages = rows.mapInArrow(_page_rows(path), "page long, packed binary")
-    back = words.join(encode_words(words, path), "word").select("page", "number", "ids")
-    out = pages.groupBy("page").cogroup(back.groupBy("page")).applyInArrow(_assemble(path, to_arrow_type(id_type)), f"id {id_type.simpleString()}, ids array<int>, decoded string")
+    out = pages.groupBy("page").cogroup(encode_words(words, path).groupBy("page")).applyInArrow(_assemble(path, to_arrow_type(id_type)), f"id {id_type.simpleString()}, ids array<int>, decoded string")
     return out.withColumnRenamed("id", id_col)

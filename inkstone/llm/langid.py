@@ -22,11 +22,13 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 12
-SAMPLE = 4_000
+from inkstone.llm.sampling import least_hashed
+
+BUCKETS = 1 << 11
+SAMPLE = 2_000
 ORDERS = (1, 2, 3)
 AMBIGUOUS = 0.6
 UNDETERMINED = "und"
@@ -136,11 +138,11 @@ def fit(features: np.ndarray, labels: list[str], ridge: float = 1e-3) -> Model:
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Fits the classifiers on ``sample`` documents at most. Their features, ``sample`` x ``BUCKETS`` numbers, come to the driver."""
-    rows = labelled.select(F.xxhash64(F.lit("sample"), id_col).alias("h"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    # ids first: the window and its limit move no texts
-    n = max(1, rows.select("lang").distinct().count())
-    ranked = rows.select("h", "id", "lang").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("k") <= max(1, sample // n))
-    chosen = rows.join(F.broadcast(ranked.select("h", "id", "lang").distinct()), ["h", "id", "lang"])
+    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    # ids first: choosing them moves no texts
+    ids = rows.select("id", "lang")
+    n = max(1, ids.select("lang").distinct().count())
+    chosen = rows.join(F.broadcast(least_hashed(ids, "id", "lang", max(1, sample // n), "language").distinct()), ["id", "lang"])
 
     @F.arrow_udf("array<float>")
     def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -148,7 +150,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         for batch in batches:
             yield pa.array([grams.features(t) for t in batch.to_pylist()], pa.list_(pa.float32()))
 
-    got = chosen.select("h", "lang", features("text").alias("x")).where("x is not null").toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
+    got = chosen.select("id", "lang", features("text").alias("x")).where("x is not null").toArrow().sort_by([("id", "ascending"), ("lang", "ascending")])
     x = np.asarray(got["x"].combine_chunks().flatten()).reshape(-1, BUCKETS) if got.num_rows else np.zeros((0, BUCKETS), np.float32)
     return fit(x, got["lang"].to_pylist())
 

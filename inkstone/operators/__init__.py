@@ -1 +1,3 @@
+from inkstone.operators.statements import fingerprint_counts, token_rows, with_normalized, with_obfuscated, with_tokens
 
+__all__ = ["fingerprint_counts", "token_rows", "with_normalized", "with_obfuscated", "with_tokens"]
