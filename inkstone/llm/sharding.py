@@ -57,10 +57,14 @@ class Topology:
         return out
 
 
+def hashed(label: Column, key: Column) -> Column:
+    """52 bits of the MD5 of a label and a key: a hash that other engines have too."""
+    return F.conv(F.substring(F.md5(F.concat(label, F.lit("/"), F.coalesce(key.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long")
+
+
 def draw(key: Column, path: Column, weight: Column) -> Column:
     """An exponential variable of the given rate, a function of the key and the node's path alone."""
-    bits = F.shiftrightunsigned(F.xxhash64(path, key), 11)
-    return -F.log((bits + F.lit(0.5)) * F.lit(2.0**-53)) / weight
+    return -F.log((hashed(path, key) + F.lit(0.5)) * F.lit(2.0**-52)) / weight
 
 
 def _nodes(tree: Topology, *path: str) -> Column:
@@ -95,7 +99,7 @@ def number(df: DataFrame, key: str, shard: str = "shard", out: str = "slot", buc
     A shard's rows are numbered in ``buckets`` parts, so that no task has to sort a whole shard: the parts' counts, at
     most shards times ``buckets`` rows, give each part its offset.
     """
-    parts = df.withColumn("__part", F.pmod(F.xxhash64(F.lit("slot"), F.col(key)), F.lit(buckets)).cast("int"))
+    parts = df.withColumn("__part", (hashed(F.lit("slot"), F.col(key)) % buckets).cast("int"))
     before = Window.partitionBy(shard).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.groupBy(shard, "__part").count().withColumn("__offset", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     within = Window.partitionBy(shard, "__part").orderBy(key)
