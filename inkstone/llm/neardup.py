@@ -2,14 +2,15 @@
 
 A document's set is that of its five-word shingles (hashed to 64 bits). Documents with equal sets form a class, of which one
 member stands for all, so exact copies cost one group-by however many they are. Each class has ``BANDS`` x ``ROWS`` MinHash
-samples; a band's samples hashed together are a bucket, and only classes that share a bucket are compared. The samples are
-also folded into an *odd sketch*: each flips one bit of a bitmap, so that the exclusive or of two bitmaps counts the samples
-in which the sets differ; the number of its bits estimates high similarities closely, and pairs that it puts clearly below
-the threshold (``MARGIN`` standard deviations) are dropped. Pairs that remain are verified on their full sets.
-
-Groups never turn into all their pairs. In each bucket first every class is compared with one pivot, the least class: a
-group of near copies is linked by as many pairs as it has members. Then components are formed, and only buckets that still
-hold more than one component are compared across components. Components come from repeated min-label joins on the verified
+values; a band's values hashed together are a bucket, and only classes that share a bucket are compared. The ``SAMPLES``
+least shingle hashes, a bottom-k MinHash sample that is the whole set of a shorter text, are folded into an *odd sketch*:
+each flips one bit of a bitmap, so that the exclusive or of two bitmaps counts the samples in which the sets differ. The
+number of its bits estimates high similarities closely, and pairs that it puts clearly below the threshold (``MARGIN``
+standard deviations) are dropped. Pairs that remain are verified on their full sets.
+
+Groups never turn into all their pairs. In each bucket every class is compared with one pivot, the least class: first over a
+few bands, which join a group of near copies by few pairs a member; then, over all bands, where class and pivot are not in
+one component yet. After that only buckets that still hold more than one component are compared across components. Components come from repeated min-label joins on the verified
 links; nothing of this goes through the driver but counts.
 
 A pair at exactly the threshold shares no bucket with probability (1 - 0.75^5)^50, about 1.3e-6; pairs above it still less.
@@ -21,7 +22,6 @@ table gives an empty result; only the id and text columns are read, and :func:`n
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,7 +34,9 @@ from inkstone.llm.scratch import Scratch
 
 SHINGLE = 5
 BANDS, ROWS = 50, 5
-SKETCH_BITS = 1024
+#: Bands that are looked at before the others: enough to join most groups of near copies.
+FIRST_BANDS = 5
+SAMPLES, SKETCH_BITS = 1024, 2048
 #: Jaccard similarity of linked documents, as a fraction.
 LINK = (75, 100)
 MARGIN = 5.0
@@ -108,22 +110,30 @@ def buckets(least: np.ndarray) -> np.ndarray:
     return out
 
 
-def odd_sketch(least: np.ndarray) -> np.ndarray:
-    """Each sample, with its place, flips one of ``SKETCH_BITS`` bits."""
-    at = mix((np.arange(len(least), dtype=np.uint64) + np.uint64(77)) * _MIX ^ least.astype(np.uint64)) % np.uint64(SKETCH_BITS)
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Each of the bottom ``SAMPLES`` shingles flips one of ``SKETCH_BITS`` bits."""
+    at = mix(shingles[:SAMPLES] ^ _MIX) % np.uint64(SKETCH_BITS)
     bits = (np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
     return np.packbits(bits).view(np.int64)
 
 
-def most_different(k: int = BANDS * ROWS, m: int = SKETCH_BITS) -> int:
-    """Bits in the exclusive or beyond which a pair is clearly below the threshold.
+def most_different(n: Column, m: Column) -> Column:
+    """Bits in the exclusive or of the sketches of sets of n and m shingles beyond which they are clearly below the threshold.
 
-    With d of k samples different, each flipping a bit in either sketch, the expected count is m/2 (1 - (1 - 2/m)^2d).
+    Linked sets share at least ``share`` = j (n + m) / (1 + j) shingles. Of these, the part within both samples' range is
+    common to the samples; all of them are where the samples are the whole sets. The samples' other members, ``differ``,
+    flip one bit each, of which pairs in one bit cancel.
     """
-    j = LINK[0] / LINK[1]
-    d = min(k, k * (1 - j) + MARGIN * math.sqrt(k * j * (1 - j)))
-    mean = m / 2 * (1 - (1 - 2 / m) ** (2 * d))
-    return math.ceil(mean + MARGIN * math.sqrt(m) / 4)
+    j, bits = LINK[0] / LINK[1], float(SKETCH_BITS)
+    small, large = F.least(n, m).cast("double"), F.greatest(n, m).cast("double")
+    taken, other = F.least(small, F.lit(float(SAMPLES))), F.least(large, F.lit(float(SAMPLES)))
+    reach = F.least(F.lit(1.0), SAMPLES / large)
+    common = F.least(taken, (n + m) * (j / (1 + j)) * reach)
+    spread = F.sqrt(common * (1 - common / (taken + 1)) * (1 - reach))
+    differ = taken + other - 2 * F.greatest(F.lit(0.0), common - MARGIN * spread)
+    mean = bits / 2 * (1 - F.exp(-2 * differ / bits))
+    variance = F.greatest(F.lit(0.0), bits / 4 * (1 - F.exp(-4 * differ / bits)) - differ * F.exp(-4 * differ / bits))
+    return F.least(differ, mean + MARGIN * F.sqrt(variance) + 1)
 
 
 def features(text: Column) -> Column:
@@ -140,7 +150,7 @@ def features(text: Column) -> Column:
                 least = minhash(s)
                 with np.errstate(over="ignore"):
                     f1, f2 = s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s + _MIX))
-                out.append({"n": len(s), "f1": int(f1.view(np.int64)), "f2": int(f2.view(np.int64)), "buckets": buckets(least).view(np.int64), "sketch": odd_sketch(least)})
+                out.append({"n": len(s), "f1": int(f1.view(np.int64)), "f2": int(f2.view(np.int64)), "buckets": buckets(least).view(np.int64), "sketch": odd_sketch(s)})
             yield pa.array(out, _FEATURES)
 
     return run(F.encode(text, "UTF-8"))
@@ -163,9 +173,9 @@ def sized_alike(n: Column, m: Column) -> Column:
     return LINK[1] * F.least(n, m) >= LINK[0] * F.greatest(n, m)
 
 
-def sketched_alike(a: Column, b: Column) -> Column:
+def sketched_alike(a: Column, b: Column, n: Column, m: Column) -> Column:
     differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return differ <= most_different()
+    return differ <= most_different(n, m)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -221,33 +231,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one = scratch.keep(one, "representatives")
     about = one.select("id", "n", "sketch")
 
-    # 1. each class of a bucket with the bucket's least
-    members = one.select("id", F.explode("buckets").alias("bucket"))
+    texts = rows.join(classes.select("class"), rows["id"] == classes["class"], "left_semi")
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        alike = scratch.keep(_alike(pairs.distinct(), about), f"pairs{name}")
+        return scratch.keep(verified(alike, _sets(texts, alike)), f"links{name}")
+
+    def mixed(members: DataFrame, found: DataFrame, name: str) -> DataFrame:
+        """The members of buckets that hold several components, each with its component and the bucket's least class."""
+        labelled = members.select("bucket", "id").join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+        several = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("id", "component")).alias("least")).where("low != high")
+        return scratch.keep(labelled.join(several.select("bucket", F.col("least.id").alias("pivot"), F.col("least.component").alias("pivot_component")), "bucket"), name)
+
+    # 1. each class of a bucket with the bucket's least, over the first bands
+    members = one.select("id", F.posexplode("buckets").alias("band", "bucket"))
     pivots = members.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1").select("bucket", "pivot")
     shared = scratch.keep(members.join(pivots, "bucket"), "shared")
-    pairs = shared.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    first = scratch.keep(_alike(pairs, about), "pairs1")
-    texts = rows.join(classes.select("class"), rows["id"] == classes["class"], "left_semi")
-    links = scratch.keep(verified(first, _sets(texts, first)), "links1")
+    links = linked(shared.where((F.col("band") < FIRST_BANDS) & (F.col("id") != F.col("pivot"))).select(F.col("id").alias("a"), F.col("pivot").alias("b")), "1")
     found = components(links, scratch, "components1")
 
-    # 2. buckets with several components: classes of different components
-    labelled = shared.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    several = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
-    mixed = scratch.keep(labelled.join(several, "bucket", "left_semi").join(about, "id"), "mixed")
-    other = mixed.select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "sketch", "component")])
-    across = mixed.join(other, "bucket").where((F.col("component") < F.col("o_component")) & sized_alike(F.col("n"), F.col("o_n")) & sketched_alike(F.col("sketch"), F.col("o_sketch")))
-    second = across.select(F.greatest("id", "o_id").alias("a"), F.least("id", "o_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = scratch.keep(second, "pairs2")
-    if not second.isEmpty():
-        links = links.union(scratch.keep(verified(second, _sets(texts, second)), "links2"))
-        found = components(links, scratch, "components2")
+    # 2. the same over all bands, where the two are still in different components
+    held = mixed(shared, found, "mixed1")
+    links = links.union(linked(held.where("component != pivot_component").select(F.col("id").alias("a"), F.col("pivot").alias("b")), "2"))
+    found = components(links, scratch, "components2")
+
+    # 3. in buckets with several components, classes of different components
+    held = mixed(held, found, "mixed2").select("bucket", "id", "component").join(about, "id")
+    other = held.select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "sketch", "component")])
+    across = held.join(other, "bucket").where((F.col("component") < F.col("o_component")) & sized_alike(F.col("n"), F.col("o_n")) & sketched_alike(F.col("sketch"), F.col("o_sketch"), F.col("n"), F.col("o_n")))
+    rest = scratch.keep(across.select(F.greatest("id", "o_id").alias("a"), F.least("id", "o_id").alias("b")).distinct(), "pairs3")
+    if not rest.isEmpty():
+        links = links.union(scratch.keep(verified(rest, _sets(texts, rest)), "links3"))
+        found = components(links, scratch, "components3")
 
     of_class = classes.join(found, classes["class"] == found["id"], "left").select("n", "f1", "f2", F.coalesce("component", "class").alias("component"))
     out = made.select("id", "n", "f1", "f2").join(of_class, ["n", "f1", "f2"], "left")
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     out = scratch.keep(out.withColumn("kept", F.col(id_col) == F.col("component_id")), "result")
-    scratch.drop("features", "classes", "representatives", "shared", "pairs1", "pairs2", "links1", "links2", "mixed")
+    scratch.drop("features", "classes", "representatives", "shared", "mixed1", "mixed2", *[f"{name}{i}" for name in ("pairs", "links") for i in (1, 2, 3)])
     return out
 
 
@@ -255,7 +276,7 @@ def _alike(pairs: DataFrame, about: DataFrame) -> DataFrame:
     """Of pairs (a, b) those that sizes and odd sketches leave."""
     side = lambda c: about.select(*[F.col(x).alias(f"{c}{x}" if x != "id" else c) for x in about.columns])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.where(sized_alike(F.col("an"), F.col("bn")) & sketched_alike(F.col("asketch"), F.col("bsketch"))).select("a", "b")
+    return both.where(sized_alike(F.col("an"), F.col("bn")) & sketched_alike(F.col("asketch"), F.col("bsketch"), F.col("an"), F.col("bn"))).select("a", "b")
 
 
 def _sets(texts: DataFrame, pairs: DataFrame) -> DataFrame:
