@@ -55,6 +55,8 @@ class Splitter:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        #: How ids are written between tasks.
+        self.id_type = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.findall = regex.compile(RULE).findall
         added = self.tokenizer.get_added_tokens_decoder().values()
         if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added):
@@ -168,22 +170,30 @@ class Page:
         return [words[i] for i in order], place
 
     def packed(self, id_type: pa.DataType) -> bytes:
-        """Ids, rows and words, compressed; the numbers' bytes are laid out by significance."""
+        """Ids, rows and words, compressed. In the rows a word's number is its rank by frequency, which packs best; the
+        numbers' bytes are laid out by significance."""
         words, place = self.words()
         numbers = place[np.concatenate(self.rows)] if self.numbers else np.zeros(0, np.int32)
+        by_rank = np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable").astype(np.int32)
+        rank = np.empty_like(by_rank)
+        rank[by_rank] = np.arange(len(words), dtype=np.int32)
         docs = pa.record_batch([pa.array(self.ids, id_type), pa.array([len(r) for r in self.rows], pa.int64())], ["id", "n"])
         sink = pa.BufferOutputStream()
-        for batch in (docs, pa.record_batch([pa.array(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel())], ["plane"]), pa.record_batch([pa.array(words, pa.string())], ["word"])):
+        for batch in (docs, planes(rank[numbers]), planes(by_rank), pa.record_batch([pa.array(words, pa.string())], ["word"])):
             with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as writer:
                 writer.write_batch(batch)
         return sink.getvalue().to_pybytes()
 
 
+def planes(numbers: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel())], ["plane"])
+
+
 def unpacked(payload: bytes) -> tuple[pa.Table, np.ndarray, pa.Table]:
     source = pa.BufferReader(payload)
-    docs, planes, words = (pa.ipc.open_stream(source).read_all().combine_chunks() for _ in range(3))
-    numbers = np.ascontiguousarray(planes["plane"].to_numpy().reshape(4, -1).T).view("<u4").ravel()
-    return docs, numbers, words
+    docs, ranks, by_rank, words = (pa.ipc.open_stream(source).read_all().combine_chunks() for _ in range(4))
+    whole = lambda t: np.ascontiguousarray(t["plane"].to_numpy().reshape(4, -1).T).view("<u4").ravel()
+    return docs, whole(by_rank)[whole(ranks)], words
 
 
 def _pages(batches: Iterator[pa.RecordBatch], path: str, rows: bool) -> Iterator[tuple[Page, pa.DataType]]:
@@ -219,7 +229,7 @@ def _page_rows(path: str):
 
 
 def _encoded_rows(path: str):
-    """Rows sorted by word to rows with its ids, packed as 32-bit numbers; a word's rows stand together."""
+    """Rows sorted by word to rows with its ids, packed as bytes; a word's rows stand together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, last = splitter(path), (None, b"")
@@ -227,7 +237,7 @@ def _encoded_rows(path: str):
             coded = batch.column("word").dictionary_encode()
             words = coded.dictionary.to_pylist()
             fresh = words[1:] if words and words[0] == last[0] else words
-            ids = [last[1]] * (len(words) - len(fresh)) + [np.array(i, "<u4").tobytes() for i in split.encode(fresh)]
+            ids = [last[1]] * (len(words) - len(fresh)) + [np.array(i, split.id_type).tobytes() for i in split.encode(fresh)]
             if words:
                 last = words[-1], ids[-1]
             yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("number"), pa.array(ids, pa.binary()).take(coded.indices)], ["page", "number", "ids"])
@@ -292,14 +302,14 @@ def _assemble(path: str, id_type: pa.DataType):
     schema = pa.schema([("id", id_type), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def run(pages: pa.Table, words: pa.Table) -> pa.Table:
-        out = []
+        out, width = [], np.dtype(splitter(path).id_type)
         by_number = dict(zip(words["number"].to_pylist(), words["ids"].to_pylist(), strict=True))
         for packed in pages["packed"]:
             docs, numbers, own = unpacked(packed.as_py())
             if len(by_number) != own.num_rows:
-                by_number = {i: np.array(x, "<u4").tobytes() for i, x in enumerate(splitter(path).encode(own["word"].to_pylist()))}
+                by_number = {i: np.array(x, width).tobytes() for i, x in enumerate(splitter(path).encode(own["word"].to_pylist()))}
             lists = list(map(by_number.__getitem__, range(own.num_rows)))
-            table = Gather(np.frombuffer(b"".join(lists), "<u4").astype(np.int32), np.array(list(map(len, lists)), np.int64) // 4)
+            table = Gather(np.frombuffer(b"".join(lists), width).astype(np.int32), np.array(list(map(len, lists)), np.int64) // width.itemsize)
             by_id = piece_table(path)
             tokens, texts, at = [np.zeros(0, np.int32)], [], 0
             for n in docs["n"].to_pylist():
