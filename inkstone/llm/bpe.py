@@ -5,11 +5,12 @@ in the whole table of documents and its ids are joined back to all its places. A
 table of pieces (bounded by the vocabulary).
 
 Places are kept small: the documents of a task are gathered in *pages* of about ``PAGE`` characters, each with a list of its
-distinct words and, for each document, the row of numbers of its words. What is shuffled are a page's distinct words, their
-ids on the way back, and the compressed pages: never a row per word of text.
+distinct words and, for each document, the row of numbers of its words. A page's words are dealt into buckets by their hash,
+and the words of a bucket travel as one compressed block. What is shuffled are these blocks, the blocks of ids on the way
+back, and the compressed pages: never a row per word.
 
-    documents -> (page, number, word)   sorted by word: each distinct word encoded once, its ids to all its rows
-              -> (page, number, ids)    cogrouped by page with
+    documents -> (page, bucket, words)  sorted by bucket: each distinct word encoded once, its ids to all its pages
+              -> (page, bucket, ids)    cogrouped by page with
     documents -> (page, documents as word numbers)            ids by position
 
 A page is named by a digest of its contents, so the two passes over the documents agree, and a page whose words don't come
@@ -27,13 +28,16 @@ from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PAGE = 40_000_000
+PAGE = 8_000_000
+#: Words whose ids a task holds at a time; beyond, they are forgotten and encoded again.
+MOST_WORDS = 200_000
 #: The split rule of byte-level BPE.
 RULE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -160,19 +164,22 @@ class Page:
         """A digest of what is in the page."""
         return self.digest.intdigest() - (1 << 63)
 
-    def words(self) -> tuple[list[str], np.ndarray]:
-        """The distinct words in order, and the place in it of each word's number. Words of stretches in texts that were
-        split as a whole may be among them: both passes meet the same."""
+    def words(self, buckets: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct words ordered by bucket and then by themselves, the place in it of each word's number, and the number
+        of words in each bucket. Words of stretches in texts that were split as a whole may be among them: both passes meet
+        the same."""
         words = list(self.numbers)
-        order = sorted(range(len(words)), key=words.__getitem__)
+        order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+        bucket = np.fromiter((crc32(w.encode()) % buckets for w in words), np.int64, len(words))
+        order = order[np.argsort(bucket[order], kind="stable")]
         place = np.empty(len(words), np.int32)
         place[order] = np.arange(len(words), dtype=np.int32)
-        return [words[i] for i in order], place
+        return [words[i] for i in order], place, np.bincount(bucket, minlength=buckets)
 
-    def packed(self, id_type: pa.DataType) -> bytes:
+    def packed(self, id_type: pa.DataType, buckets: int) -> bytes:
         """Ids, rows and words, compressed. In the rows a word's number is its rank by frequency, which packs best; the
         numbers' bytes are laid out by significance."""
-        words, place = self.words()
+        words, place, _ = self.words(buckets)
         numbers = place[np.concatenate(self.rows)] if self.numbers else np.zeros(0, np.int32)
         by_rank = np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable").astype(np.int32)
         rank = np.empty_like(by_rank)
@@ -209,46 +216,69 @@ def _pages(batches: Iterator[pa.RecordBatch], path: str, rows: bool) -> Iterator
         yield page, kind
 
 
-def _word_rows(path: str):
+def block(runs: list[bytes]) -> bytes:
+    """Runs of bytes as their lengths, laid out by significance, and the bytes, compressed."""
+    lengths = np.array(list(map(len, runs)), "<u4")
+    raw = lengths.view(np.uint8).reshape(-1, 4).T.tobytes() + b"".join(runs)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 5).compress(raw, asbytes=True)
+
+
+def unblocked(packed: bytes, n: int) -> tuple[np.ndarray, bytes]:
+    """Lengths of the runs, and their bytes."""
+    raw = pa.Codec("zstd").decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True)
+    lengths = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n).reshape(4, -1).T).view("<u4").ravel()
+    return lengths.astype(np.int64), raw[4 * n :]
+
+
+BLOCKS = "page long, bucket int, n int, packed binary"
+_BLOCKS = ["page", "bucket", "n", "packed"]
+
+
+def _word_blocks(path: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page, _ in _pages(batches, path, rows=False):
-            name, (words, _) = page.name(), page.words()
-            for low in range(0, len(words), 50_000):
-                part = words[low : low + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name)), pa.array(np.arange(low, low + len(part), dtype=np.int32)), pa.array(part, pa.string())], ["page", "number", "word"])
+            words, _, sizes = page.words(buckets)
+            held = np.flatnonzero(sizes)
+            ends = np.cumsum(sizes[held])
+            packed = [block([w.encode() for w in words[end - n : end]]) for n, end in zip(sizes[held].tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), page.name())), pa.array(held.astype(np.int32)), pa.array(sizes[held].astype(np.int32)), pa.array(packed, pa.binary())], _BLOCKS)
 
     return run
 
 
-def _page_rows(path: str):
+def _page_rows(path: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page, kind in _pages(batches, path, rows=True):
-            yield pa.RecordBatch.from_arrays([pa.array([page.name()], pa.int64()), pa.array([page.packed(kind)], pa.binary())], ["page", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array([page.name()], pa.int64()), pa.array([page.packed(kind, buckets)], pa.binary())], ["page", "packed"])
 
     return run
 
 
-def _encoded_rows(path: str):
-    """Rows sorted by word to rows with its ids, packed as bytes; a word's rows stand together."""
+def _id_blocks(path: str):
+    """Blocks of words sorted by bucket to blocks of their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, last = splitter(path), (None, b"")
+        split, known, last = splitter(path), {}, None
         for batch in batches:
-            coded = batch.column("word").dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            fresh = words[1:] if words and words[0] == last[0] else words
-            ids = [last[1]] * (len(words) - len(fresh)) + [np.array(i, split.id_type).tobytes() for i in split.encode(fresh)]
-            if words:
-                last = words[-1], ids[-1]
-            yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("number"), pa.array(ids, pa.binary()).take(coded.indices)], ["page", "number", "ids"])
+            out = []
+            for bucket, n, packed in zip(*(batch.column(c).to_pylist() for c in _BLOCKS[1:]), strict=True):
+                if bucket != last or len(known) > MOST_WORDS:
+                    known, last = {}, bucket
+                lengths, raw = unblocked(packed, n)
+                ends = np.cumsum(lengths).tolist()
+                words = [raw[low:high] for low, high in zip([0, *ends[:-1]], ends, strict=True)]
+                fresh = [w for w in words if w not in known]
+                known.update(zip(fresh, (np.array(i, split.id_type).tobytes() for i in split.encode([w.decode() for w in fresh])), strict=True))
+                out.append(block([known[w] for w in words]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _BLOCKS[:3]), pa.array(out, pa.binary())], _BLOCKS)
 
     return run
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """Rows of words (page, number, word) with the word's ids in its place: the table is sorted by word, and each distinct
-    word is encoded once for all its rows."""
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded_rows(path), "page long, number int, ids binary")
+    """Blocks of words with the words' ids in their place: the table is sorted by bucket, and each distinct word of a bucket is
+    encoded once for all its pages."""
+    return words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_id_blocks(path), BLOCKS)
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -303,13 +333,18 @@ def _assemble(path: str, id_type: pa.DataType):
 
     def run(pages: pa.Table, words: pa.Table) -> pa.Table:
         out, width = [], np.dtype(splitter(path).id_type)
-        by_number = dict(zip(words["number"].to_pylist(), words["ids"].to_pylist(), strict=True))
+        # the same page may have come more than once, with equal blocks
+        blocks = dict(zip(words["bucket"].to_pylist(), zip(words["n"].to_pylist(), words["packed"].to_pylist(), strict=True), strict=True))
+        parts = [unblocked(blocks[b][1], blocks[b][0]) for b in sorted(blocks)]
+        sizes = np.concatenate([np.zeros(0, np.int64), *(n for n, _ in parts)])
+        flat = np.frombuffer(b"".join(ids for _, ids in parts), width)
+        blocks.clear()
         for packed in pages["packed"]:
             docs, numbers, own = unpacked(packed.as_py())
-            if len(by_number) != own.num_rows:
-                by_number = {i: np.array(x, width).tobytes() for i, x in enumerate(splitter(path).encode(own["word"].to_pylist()))}
-            lists = list(map(by_number.__getitem__, range(own.num_rows)))
-            table = Gather(np.frombuffer(b"".join(lists), width).astype(np.int32), np.array(list(map(len, lists)), np.int64) // width.itemsize)
+            if len(sizes) != own.num_rows:
+                lists = [np.array(x, width).tobytes() for x in splitter(path).encode(own["word"].to_pylist())]
+                sizes, flat = np.array(list(map(len, lists)), np.int64), np.frombuffer(b"".join(lists), width)
+            table = Gather(flat.astype(np.int32), sizes // width.itemsize)
             by_id = piece_table(path)
             tokens, texts, at = [np.zeros(0, np.int32)], [], 0
             for n in docs["n"].to_pylist():
@@ -331,7 +366,9 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType
-    words = rows.mapInArrow(_word_rows(path), "page long, number int, word string")
-    pages = rows.mapInArrow(_page_rows(path), "page long, packed binary")
+    # as many buckets as tasks could share, twice over
+    buckets = max(256, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    words = rows.mapInArrow(_word_blocks(path, buckets), BLOCKS)
+    pages = rows.mapInArrow(_page_rows(path, buckets), "page long, packed binary")
     out = pages.groupBy("page").cogroup(encode_words(words, path).groupBy("page")).applyInArrow(_assemble(path, to_arrow_type(id_type)), f"id {id_type.simpleString()}, ids array<int>, decoded string")
     return out.withColumnRenamed("id", id_col)
