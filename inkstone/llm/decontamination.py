@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 13
+#: Words that may stand among a window's words in a near match: one or two inserted, or any number swapped.
+SLOP = 2
 SLICE_BYTES = 8 << 20
 FOUND = "struct<n_words:long,matches:array<struct<item_id:string,start:int,end:int,kind:string>>>"
 _MATCH = pa.struct([("item_id", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])
@@ -81,6 +83,7 @@ class TestWindows:
         at = np.flatnonzero(terms >= 0)
         by_term = at[np.argsort(terms[at], kind="stable")]
         keys = terms[by_term]
+        here = set(np.unique(keys).tolist()) if slop is not None else set()
 
         def postings(term: int) -> np.ndarray:
             return by_term[np.searchsorted(keys, term) : np.searchsorted(keys, term, "right")]
@@ -98,7 +101,7 @@ class TestWindows:
                     listed = postings(term) - offset
                     starts = starts[listed[np.minimum(np.searchsorted(listed, starts), len(listed) - 1)] == starts] if len(listed) else starts[:0]
                 spans = [(s, s + length, "phrase") for s in starts.tolist()]
-                if slop is not None:
+                if slop is not None and here.issuperset(self.windows[i][0]):
                     near = self._near(anchors, [postings(t) for t in {t for t, _ in probes[1:]} - {lead}], length + slop)
                     spans += [(s, e, "near") for s, e in near if not any(a < e and s < b for a, b, _ in spans)]
                 out += [(item, *span) for span in spans for item in self.windows[i][1]]
@@ -185,3 +188,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     phrases = F.filter("matches", lambda m: m["kind"] == "phrase")
     found = found.withColumn("n_hit", _covered(phrases)).withColumn("items", F.array_sort(F.array_distinct(F.transform(phrases, lambda m: m["item_id"]))))
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def proximity(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", slop: int = SLOP, **options) -> DataFrame:
+    """``docs`` with ``contamination``'s columns, ``n_near`` (words inside near matches) and ``near_items`` (their items).
+
+    A near match is a stretch of at most ``slop`` words more than a window that holds all of its words in any order and
+    overlaps no exact match of that window. The exact columns do not depend on it.
+    """
+    found = contamination(docs, benchmark, text_col, slop=slop, **options)
+    near = F.filter("matches", lambda m: m["kind"] == "near")
+    return found.withColumn("n_near", _covered(near)).withColumn("near_items", F.array_sort(F.array_distinct(F.transform(near, lambda m: m["item_id"]))))

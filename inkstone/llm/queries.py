@@ -33,6 +33,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op1_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near matches; a query of its own, since ``op1_decontamination`` has the columns of its SQL."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.proximity(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_near", F.size("near_items").cast("long").alias("n_near_items"), F.concat_ws(",", "near_items").alias("near_items"))
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.scaled(F.col("embedding")).alias("v"))
     return topk.PivotIndex(vectors, 5).search(vectors.where(F.col("id") % 50 == 0))
@@ -89,6 +96,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
+        "op1_proximity": op1_proximity,
         "op2_topk": op2_topk,
         "op3_token_counts": op3_token_counts,
         "op4_near_duplicates": op4_near_duplicates,

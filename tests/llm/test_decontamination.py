@@ -77,3 +77,50 @@ def test_proximity(spark):
     docs = awkward(spark, ["alpha x beta y gamma", "gamma beta alpha", "alpha beta gamma", "alpha x x x x beta gamma", "alpha beta"])
     rows = decontamination.find_benchmark(docs, items, slop=2).orderBy("doc_id").collect()
     assert [[(m.start, m.end, m.kind) for m in r.matches] for r in rows] == [[(0, 5, "near")], [(0, 3, "near")], [(0, 3, "phrase")], [], []]
+
+
+def plain_near(text, items, window=13, slop=decontamination.SLOP):
+    """Per item, the words of all stretches of up to ``slop`` more words than a window that hold its words, by first and last."""
+    w = WORD.findall(text.translate(LOWER)) if text else []
+    out = {}
+    for item_id, body in items:
+        b = WORD.findall(body.translate(LOWER))
+        for i in range(max(1, len(b) - window + 1) if b else 0):
+            win = b[i : i + window]
+            exact = [(s, s + len(win)) for s in range(len(w) - len(win) + 1) if w[s : s + len(win)] == win]
+            wanted = set(win)
+            held = [(s, s + len(win) + slop) for s in range(-len(win) - slop, len(w)) if wanted <= set(w[max(s, 0) : max(s, 0) + len(win) + slop + min(s, 0)])]
+            if any(not any(a < e and s < z for a, z in exact) for s, e in held):
+                out.setdefault(str(item_id), []).append((exact, held))
+    return out
+
+
+LONG = [f"w{i}" for i in range(20)]
+NEAR_ITEMS = [(1, " ".join(LONG)), (2, "alpha beta gamma"), (3, "red red blue")]
+INSERTED = [*LONG[:6], "x", *LONG[6:10], "y", *LONG[10:]]
+SWAPPED = [*LONG[:9], LONG[10], LONG[9], *LONG[11:]]
+NEAR_TEXTS = [" ".join(INSERTED), " ".join(SWAPPED), " ".join(LONG), " ".join(LONG[:6] + ["x"] * 3 + LONG[6:]), "gamma x beta y ALPHA", "alpha x x x beta gamma", "blue z red", None, ""]
+
+
+def test_proximity_columns_of_one_or_two_inserted_or_swapped_words(spark):
+    items = spark.createDataFrame(NEAR_ITEMS, "item_id long, text string")
+    docs = awkward(spark, NEAR_TEXTS)
+    for slice_bytes in (1 << 20, 40):
+        rows = decontamination.proximity(docs, items, slice_bytes=slice_bytes).orderBy("doc_id").collect()
+        assert [r.near_items for r in rows] == [["1"], ["1"], [], [], ["2"], [], ["3"], [], []] == [sorted(plain_near(t, NEAR_ITEMS)) for t in NEAR_TEXTS]
+        assert [r.n_near for r in rows] == [22, 20, 0, 0, 5, 0, 3, 0, 0]
+        exact = decontamination.contamination(docs, items).orderBy("doc_id").collect()
+        assert [(r.n_hit, r["items"], r.contaminated) for r in rows] == [(r.n_hit, r["items"], r.contaminated) for r in exact]
+
+
+def test_proximity_query(spark, sf_dir):
+    got = {r.doc_id: r for r in run(spark, "op1_proximity", sf_dir).itertuples()}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    want = plain(documents(spark, sf_dir), items)
+    assert {i: (r.n_words, r.n_hit) for i, r in got.items()} == {i: v[:2] for i, v in want.items()}
+    # of all documents, those with many of an item's words; the others cannot hold a window of 13
+    bodies = [(i, t, set(WORD.findall(t.translate(LOWER)))) for i, t in items if t]
+    for i, text in documents(spark, sf_dir):
+        w = set(WORD.findall(text.translate(LOWER))) if text else set()
+        able = [(k, t) for k, t, b in bodies if len(b & w) >= min(5, len(b))]
+        assert got[i].near_items.split(",") == (sorted(plain_near(text, able)) or [""]) and got[i].n_near_items == len(plain_near(text, able))
