@@ -115,7 +115,7 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
                 number = text[at:end].replace(" ", "").replace("-", "")
                 take("card", at, end, 14 <= len(number) <= 19 and luhn(number))
             if at >= free["ip"] and (end := _ip_end(text, at)):
-                take("ip", at, end, all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text[at:end].split(".")))
+                take("ip", at, end, all(len(d) <= 3 and int(d or "0") <= 255 for d in (p.lstrip("0") for p in text[at:end].split("."))))
         elif kind == "email":
             if m := DOMAIN.match(text, at + 1):
                 start = at

@@ -75,3 +75,11 @@ def test_redaction_leaves_nothing_and_keeps_columns(spark):
     rows = {r.doc_id: r for r in out.collect()}
     assert rows[2].text == "mail [EMAIL] now" and rows[0].text is None and rows[2].n_chars == len(rows[2].text)
     assert not any(plain(r.text) for r in rows.values())
+
+
+def test_addresses_of_very_many_zeros(spark):
+    zeros = "0" * 5000
+    texts = [f"{zeros}.1.2.3", f"1.2.3.{zeros}255", f"1.{zeros}256.2.3", f"{zeros}.{zeros}.{zeros}.{zeros}"]
+    rows = pii.pii_report(awkward(spark, texts)).orderBy("doc_id").collect()
+    assert [[(x.start, x.end) for x in r.pii if x.kind == "ip"] for r in rows] == [[(0, 5006)], [(0, 5009)], [], [(0, 20003)]]
+    assert pii.redact_documents(awkward(spark, texts)).orderBy("doc_id").first().text == "[IP]"
