@@ -10,8 +10,9 @@ within ``slop`` words more than its length, in any order.
 
 Words: A-Z in lower case, then maximal runs of 0-9, a-z and non-ASCII characters.
 
-The benchmark is broadcast in slices of at most ``slice_bytes`` of text (its size is measured first); each slice is one more
-pass over the documents in the same stage, so a benchmark of any size works.
+The benchmark is collected by the driver and shipped in slices of about ``slice_bytes`` of text (its size is measured first),
+each with one more pass over the documents. The slices share one plan, so the driver and every Python worker hold the
+windows of all of them at once: the memory of one of these bounds the benchmark as a whole, and no index is stored.
 
 Defined cases: null texts have no words; an item without words has no window, an item shorter than a window is one window;
 items with the same id count as one item; a null item id takes no part; an empty benchmark or table gives no matches;
