@@ -10,19 +10,26 @@ standard deviations) are dropped. Pairs that remain are verified on their full s
 
 Groups never turn into all their pairs. In each bucket every class is compared with one pivot, the least class: first over a
 few bands, which join a group of near copies by few pairs a member; then, over all bands, where class and pivot are not in
-one component yet. After that only buckets that still hold more than one component are compared across components. Components come from repeated min-label joins on the verified
-links; nothing of this goes through the driver but counts.
+one component yet. What is left are buckets that still hold more than one component, as those of texts on one template that
+are not similar enough to be linked. Their classes are compared by a *prefix filter* and not by bucket: with the shingles of
+all of them ordered from the rarest, two sets that are similar enough share one of the first ``n - ceil(0.75 n) + 1``. So
+what many have in common makes no pair, and no pair is lost. Of the classes that share a rare shingle, those of its largest
+component are not compared with each other.
+
+Components come from repeated min-label joins on the verified links; nothing of this goes through the driver but counts (of
+shingles, in ``RARITY`` hash buckets; they order the shingles, and any order gives the same links).
 
 A pair at exactly the threshold shares no bucket with probability (1 - 0.75^5)^50, about 1.3e-6; pairs above it still less.
 
 Defined cases: null texts and texts without words have an empty set and are linked with nothing; a text of fewer than five
-words has its whole sequence as its one shingle; documents with equal ids and texts are rows of one component; an empty
-table gives an empty result; only the id and text columns are read, and :func:`near_duplicates` returns its own columns.
+words has its whole sequence as its one shingle; documents with equal ids are rows of one component, also if their texts
+differ, and of these texts the one of least hash is compared with other ids; an empty table gives an empty result; only the
+id and text columns are read, and :func:`near_duplicates` returns its own columns.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkstone.llm.memory import modest_batches, release
 from inkstone.llm.scratch import Scratch
 
 SHINGLE = 5
@@ -40,6 +48,8 @@ SAMPLES, SKETCH_BITS = 1024, 2048
 #: Jaccard similarity of linked documents, as a fraction.
 LINK = (75, 100)
 MARGIN = 5.0
+#: Hash buckets in which the shingles of templates are counted, to know the rare ones.
+RARITY = 1 << 18
 #: Shingles that are hashed at a time, to bound the memory of long documents.
 BLOCK = 1 << 10
 FEATURES = "struct<n:long,f1:long,f2:long,buckets:array<long>,sketch:array<long>>"
@@ -65,7 +75,7 @@ class WordHashes(dict):
 class Shingler:
     """Sets of shingle hashes of whole texts."""
 
-    def __init__(self, most_words: int = 500_000):
+    def __init__(self, most_words: int = 100_000):
         self.hashes, self.most_words = WordHashes(), most_words
 
     def of(self, text: bytes | None) -> np.ndarray:
@@ -139,35 +149,86 @@ def most_different(n: Column, m: Column) -> Column:
 def features(text: Column) -> Column:
     @F.arrow_udf(FEATURES)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        shingler = Shingler()
+        shingler, none = Shingler(), np.zeros(0, np.int64)
         for batch in batches:
-            out = []
-            for value in batch.to_pylist():
+            sums, bands, sketches = np.zeros((len(batch), 3), np.int64), [], []
+            for i, value in enumerate(batch.to_pylist()):
                 s = shingler.of(value)
-                if not len(s):
-                    out.append({"n": 0})
-                    continue
-                least = minhash(s)
-                with np.errstate(over="ignore"):
-                    f1, f2 = s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s + _MIX))
-                out.append({"n": len(s), "f1": int(f1.view(np.int64)), "f2": int(f2.view(np.int64)), "buckets": buckets(least).view(np.int64), "sketch": odd_sketch(s)})
-            yield pa.array(out, _FEATURES)
+                if len(s):
+                    with np.errstate(over="ignore"):
+                        f1, f2 = s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s + _MIX))
+                    sums[i] = len(s), f1.view(np.int64), f2.view(np.int64)
+                bands.append(buckets(minhash(s)).view(np.int64) if len(s) else none)
+                sketches.append(odd_sketch(s) if len(s) else none)
+            yield pa.StructArray.from_arrays([*(pa.array(sums[:, k]) for k in range(3)), _lists(bands), _lists(sketches)], fields=list(_FEATURES))
+        del shingler
+        release()
 
     return run(F.encode(text, "UTF-8"))
 
 
-def shingles(text: Column) -> Column:
-    """The full set of a text as an array of hashes."""
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
+
+
+def _of_sets(text: Column, choose: Callable[[np.ndarray], np.ndarray]) -> Column:
+    """An array of what is chosen from the set of each text."""
 
     @F.arrow_udf("array<long>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         shingler = Shingler()
         for batch in batches:
-            yield pa.array([shingler.of(v).view(np.int64) for v in batch.to_pylist()], pa.list_(pa.int64()))
+            yield _lists([choose(shingler.of(v)).view(np.int64) for v in batch.to_pylist()])
+        del shingler
+        release()
 
     return run(F.encode(text, "UTF-8"))
 
 
+def shingles(text: Column) -> Column:
+    """The full set of a text as an array of hashes."""
+    return _of_sets(text, lambda s: s)
+
+
+def _place(s: np.ndarray) -> np.ndarray:
+    return (mix(s) >> np.uint64(46)).astype(np.int64)
+
+
+def rarity(texts: DataFrame) -> np.ndarray:
+    """How many sets hold a shingle of each hash bucket: sums of ``RARITY`` numbers, made in the tasks."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, total = Shingler(), np.zeros(RARITY, np.int64)
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                at = _place(shingler.of(value))
+                if len(at) * 8 > RARITY:
+                    total += np.bincount(at, minlength=RARITY)
+                else:
+                    np.add.at(total, at, 1)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["bucket", "n"])
+        del shingler
+        release()
+
+    sums = texts.select(F.encode("text", "UTF-8").alias("text")).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(RARITY, np.int32)
+    out[sums["bucket"].to_numpy()] = np.minimum(sums["n"].to_numpy(), np.iinfo(np.int32).max)
+    return out
+
+
+def prefix(text: Column, counts: np.ndarray) -> Column:
+    """The rarest shingles of a set, one of which any similar set holds too. Those that are in no other set are left out."""
+
+    def choose(s: np.ndarray) -> np.ndarray:
+        n = counts[_place(s)]
+        first = np.lexsort((s, n))[: len(s) + (-LINK[0] * len(s)) // LINK[1] + 1]
+        return s[first[n[first] > 1]]
+
+    return _of_sets(text, choose)
+
+
 def sized_alike(n: Column, m: Column) -> Column:
     """Sets of which one is too small for the other cannot be linked."""
     return LINK[1] * F.least(n, m) >= LINK[0] * F.greatest(n, m)
@@ -220,69 +281,91 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id`` and ``kept``."""
+    modest_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "neardup")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    made = rows.select("id", features(F.col("text")).alias("f")).select("id", "f.*")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h"))
+    made = rows.select("id", "h", features(F.col("text")).alias("f")).select("id", "h", "f.*")
     made = scratch.keep(made, "features")
     full = made.where("n > 0")
     classes = full.groupBy("n", "f1", "f2").agg(F.min("id").alias("class"))
     classes = scratch.keep(classes, "classes")
-    one = full.join(classes.select("class"), full["id"] == classes["class"], "left_semi").dropDuplicates(["id"]).select("id", "n", "buckets", "sketch")
+    # of rows with one id, the one whose text has the least hash
+    one = full.join(classes.select("class").distinct(), full["id"] == classes["class"], "left_semi").groupBy("id").agg(F.min_by(F.struct("n", "buckets", "sketch", "h"), "h").alias("f")).select("id", "f.*")
     one = scratch.keep(one, "representatives")
-    about = one.select("id", "n", "sketch")
+    sketches, texts = one.select("id", "n", "sketch"), rows.select("id", "h", "text")
 
-    texts = rows.join(classes.select("class"), rows["id"] == classes["class"], "left_semi")
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """(id, text) of the representatives of some ids."""
+        wanted = one.select("id", "h").join(ids, "id", "left_semi")
+        return texts.join(wanted, ["id", "h"], "left_semi").groupBy("id").agg(F.any_value("text").alias("text"))
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
-        alike = scratch.keep(_alike(pairs.distinct(), about), f"pairs{name}")
-        return scratch.keep(verified(alike, _sets(texts, alike)), f"links{name}")
+        """Of pairs (a, an, b, bn) those that are similar enough."""
+        alike = scratch.keep(_alike(pairs.distinct(), sketches), f"pairs{name}")
+        ends = alike.select(F.col("a").alias("id")).union(alike.select("b")).distinct()
+        return scratch.keep(verified(alike, sets_of(ends).select("id", shingles(F.col("text")).alias("s"))), f"links{name}")
+
+    def with_pivots(members: DataFrame) -> DataFrame:
+        """Pairs of each class and its bucket's least."""
+        return members.where((F.col("id") != F.col("pivot")) & sized_alike(F.col("n"), F.col("pivot_n"))).select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("pivot").alias("b"), F.col("pivot_n").alias("bn"))
 
     def mixed(members: DataFrame, found: DataFrame, name: str) -> DataFrame:
         """The members of buckets that hold several components, each with its component and the bucket's least class."""
-        labelled = members.select("bucket", "id").join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-        several = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("id", "component")).alias("least")).where("low != high")
-        return scratch.keep(labelled.join(several.select("bucket", F.col("least.id").alias("pivot"), F.col("least.component").alias("pivot_component")), "bucket"), name)
+        labelled = members.select("bucket", "id", "n").join(found, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
+        several = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("id", "n", "component")).alias("least")).where("low != high")
+        return scratch.keep(labelled.join(several.select("bucket", F.col("least.id").alias("pivot"), F.col("least.n").alias("pivot_n"), F.col("least.component").alias("pivot_component")), "bucket"), name)
 
     # 1. each class of a bucket with the bucket's least, over the first bands
-    members = one.select("id", F.posexplode("buckets").alias("band", "bucket"))
-    pivots = members.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1").select("bucket", "pivot")
+    members = one.select("id", "n", F.posexplode("buckets").alias("band", "bucket"))
+    pivots = members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("least"), F.count("*").alias("size")).where("size > 1").select("bucket", F.col("least.id").alias("pivot"), F.col("least.n").alias("pivot_n"))
     shared = scratch.keep(members.join(pivots, "bucket"), "shared")
-    links = linked(shared.where((F.col("band") < FIRST_BANDS) & (F.col("id") != F.col("pivot"))).select(F.col("id").alias("a"), F.col("pivot").alias("b")), "1")
+    links = linked(with_pivots(shared.where(F.col("band") < FIRST_BANDS)), "1")
     found = components(links, scratch, "components1")
 
     # 2. the same over all bands, where the two are still in different components
     held = mixed(shared, found, "mixed1")
-    links = links.union(linked(held.where("component != pivot_component").select(F.col("id").alias("a"), F.col("pivot").alias("b")), "2"))
+    links = links.union(linked(with_pivots(held.where("component != pivot_component")), "2"))
     found = components(links, scratch, "components2")
 
-    # 3. in buckets with several components, classes of different components
-    held = mixed(held, found, "mixed2").select("bucket", "id", "component").join(about, "id")
-    other = held.select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "sketch", "component")])
-    across = held.join(other, "bucket").where((F.col("component") < F.col("o_component")) & sized_alike(F.col("n"), F.col("o_n")) & sketched_alike(F.col("sketch"), F.col("o_sketch"), F.col("n"), F.col("o_n")))
-    rest = scratch.keep(across.select(F.greatest("id", "o_id").alias("a"), F.least("id", "o_id").alias("b")).distinct(), "pairs3")
-    if not rest.isEmpty():
-        links = links.union(scratch.keep(verified(rest, _sets(texts, rest)), "links3"))
-        found = components(links, scratch, "components3")
+    # 3. classes of different components that met in a bucket, by their rare shingles
+    held = scratch.keep(mixed(held, found, "mixed2").select("id", "n", "component").distinct(), "held")
+    if not held.isEmpty():
+        rare = linked(sharing_rare(held, scratch.keep(sets_of(held.select("id")), "texts"), scratch), "3")
+        found = components(links.union(rare), scratch, "components3")
 
     of_class = classes.join(found, classes["class"] == found["id"], "left").select("n", "f1", "f2", F.coalesce("component", "class").alias("component"))
     out = made.select("id", "n", "f1", "f2").join(of_class, ["n", "f1", "f2"], "left")
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     out = scratch.keep(out.withColumn("kept", F.col(id_col) == F.col("component_id")), "result")
-    scratch.drop("features", "classes", "representatives", "shared", "mixed1", "mixed2", *[f"{name}{i}" for name in ("pairs", "links") for i in (1, 2, 3)])
+    scratch.drop_all_but("result")
     return out
 
 
-def _alike(pairs: DataFrame, about: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those that sizes and odd sketches leave."""
-    side = lambda c: about.select(*[F.col(x).alias(f"{c}{x}" if x != "id" else c) for x in about.columns])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.where(sized_alike(F.col("an"), F.col("bn")) & sketched_alike(F.col("asketch"), F.col("bsketch"), F.col("an"), F.col("bn"))).select("a", "b")
-
+def sharing_rare(held: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, an, b, bn) of classes (id, n, component) that may be similar enough: of different components, with a shingle of
+    both prefixes in common, and alike in size. ``texts``: (id, text) of the classes.
 
-def _sets(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Full sets of the documents in pairs."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    return texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).select("id", shingles(F.col("text")).alias("s"))
+    For each shingle, the classes outside its largest component are joined with all; so a large group of near copies is
+    never joined with itself.
+    """
+    tokens = texts.select("id", F.explode(prefix(F.col("text"), rarity(texts))).alias("token")).join(held, "id")
+    tokens = scratch.keep(tokens, "tokens")
+    by_component = tokens.groupBy("token", "component").agg(F.count("*").alias("size"))
+    main = by_component.groupBy("token").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.count("*").alias("components")).where("components > 1").select("token", "main")
+    met = scratch.keep(tokens.join(main, "token"), "met")
+    other = met.select("token", *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "component")])
+    across = met.where("component != main").join(other, "token")
+    across = across.where((F.col("component") != F.col("o_component")) & ((F.col("o_component") == F.col("main")) | (F.col("id") > F.col("o_id"))) & sized_alike(F.col("n"), F.col("o_n")))
+    first = F.col("id") > F.col("o_id")
+    side = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return across.select(side("id", "o_id").alias("a"), side("n", "o_n").alias("an"), side("o_id", "id").alias("b"), side("o_n", "n").alias("bn"))
+
+
+def _alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Of pairs (a, an, b, bn) those that odd sketches leave."""
+    side = lambda c: sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"{c}s"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(sketched_alike(F.col("as"), F.col("bs"), F.col("an"), F.col("bn"))).select("a", "b")
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -28,10 +28,12 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkstone.llm.memory import modest_batches, release
 from inkstone.llm.sampling import least_hashed
+from inkstone.llm.scratch import Scratch
 
 WORD_BUCKETS = 1 << 13
 SHAPES = 24
@@ -44,7 +46,8 @@ SMOOTH_WORD, SMOOTH_SHAPE = 0.5, 20.0
 WORD_PART = 0.25
 SCORED = "struct<n_grams:long,log_weight:double,score:double>"
 _SCORED = pa.struct([("n_grams", pa.int64()), ("log_weight", pa.float64()), ("score", pa.float64())])
-_MOST_WORDS = 400_000
+#: Words whose codes a worker keeps; beyond, they are forgotten and made anew.
+_MOST_WORDS = 100_000
 
 
 def shape(word: str) -> int:
@@ -149,10 +152,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     target += c
     found = np.flatnonzero(raw)
     yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(raw[found]), pa.array(target[found])], ["bucket", "raw", "target"])
+    del grams
+    release()
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
     """Counts over all documents, then the threshold from the sample's scores (at most 2 x ``sample`` of them)."""
+    modest_batches(docs.sparkSession)
+    # 2 x sample ids at most
     chosen = F.broadcast(sample_ids(labels, id_col, label_col, sample))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(chosen, "__id", "left")
     sums = rows.select("text", F.col("__good").alias("good")).mapInArrow(_count, "bucket int, raw long, target long")
@@ -190,13 +197,17 @@ def score(text: Column, model: Model) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         grams = Grams()
         for batch in batches:
-            yield pa.array([dict(zip(("n_grams", "log_weight", "score"), model.score(t, grams), strict=True)) for t in batch.to_pylist()], _SCORED)
+            found = np.array([model.score(t, grams) for t in batch.to_pylist()], float).reshape(-1, 3)
+            yield pa.StructArray.from_arrays([pa.array(found[:, 0].astype(np.int64)), pa.array(found[:, 1]), pa.array(found[:, 2])], fields=list(_SCORED))
+        del grams
+        release()
 
     return run(text)
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``log_weight``, ``score``, ``accepted`` and ``gumbel``, the key of the top-k draw."""
+    modest_batches(docs.sparkSession)
     found = docs.withColumn("__s", score(F.col(text_col), model))
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit("gumbel"), F.col(id_col)), 11) + F.lit(0.5)) * F.lit(2.0**-53)
     found = found.withColumns({"log_weight": F.col("__s.log_weight"), "score": F.col("__s.score"), "accepted": (F.col("__s.n_grams") > 0) & (F.col("__s.score") >= F.lit(float(model.threshold)))})
@@ -204,7 +215,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def largest(df: DataFrame, key: str, tie: str, k: int, where: Column, bins: int = 4096, few: int = 10_000) -> tuple[float, object] | None:
-    """The (key, tie) of the k-th row by descending key and ascending tie, among the rows of ``where``; None if there are at most k.
+    """The (key, tie) of the k-th row by descending key and ascending tie, among the rows of ``where``; None if there are at most k. k is 1 or more.
 
     Counts per bin of the key narrow the range until few rows are left; only those come to the driver.
     """
@@ -227,22 +238,41 @@ def largest(df: DataFrame, key: str, tie: str, k: int, where: Column, bins: int
         low, high, n = r.low, r.high, r.n
         inside = F.col(key).between(low, high)
     if low == high and n > few:
-        return low, largest_tie(rows.where(inside), tie, left)
+        return low, kth_smallest(rows.where(inside), tie, left)
     rest = rows.where(inside).select(key, tie).collect()
-    r = sorted(rest, key=lambda r: (-r[0], r[1]))[left - 1]
+    r = sorted(rest, key=lambda r: (-r[0], *_nulls_first(r[1])))[left - 1]
     return r[0], r[1]
 
 
-def largest_tie(rows: DataFrame, tie: str, k: int) -> object:
-    """The k-th smallest tie value among rows with one key."""
-    numbered = rows.select(tie).withColumn("__b", F.pmod(F.xxhash64(tie), F.lit(64)))
-    return numbered.orderBy(tie).limit(k).agg(F.max(tie)).first()[0]
+def _nulls_first(value) -> tuple:
+    return (False, 0) if value is None else (True, value)
+
+
+def kth_smallest(rows: DataFrame, column: str, k: int) -> object:
+    """The k-th smallest value of any number of rows: they are counted by value and dealt out by ranges, the ranges' sums tell
+    which one holds it, and only in that one are values passed over."""
+    scratch = Scratch(rows.sparkSession, "kth")
+    counts = rows.groupBy(column).agg(F.count("*").alias("__n"))
+    # written once: ranges are cut by a sample, and must stay the same for the second look
+    dealt = scratch.keep(counts.repartitionByRange(column).withColumn("__range", F.spark_partition_id()), "ranges")
+    for r in sorted(dealt.groupBy("__range").agg(F.sum("__n").alias("n"), F.min(column).alias("low")).collect(), key=lambda r: _nulls_first(r.low)):
+        if k <= r.n:
+            break
+        k -= r.n
+    before = Window.partitionBy("__range").orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = dealt.where(F.col("__range") == r["__range"]).withColumn("__to", F.sum("__n").over(before)).where(F.col("__to") >= k).agg(F.min_by(column, "__to")).first()[0]
+    scratch.drop("ranges")
+    return found
 
 
 def resample(scored: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
-    """``scored`` (of :func:`classify`) with ``sampled``: the accepted documents with the k largest Gumbel keys, ties to smaller ids."""
+    """``scored`` (of :func:`classify`) with ``sampled``: the accepted documents with the k largest Gumbel keys, ties to smaller
+    ids, null before any; none if k is not positive. Rows with the id of the last one are all in."""
+    if k <= 0:
+        return scored.withColumn("sampled", F.lit(False))
     last = largest(scored, "gumbel", id_col, k, F.col("accepted"))
     if last is None:
         return scored.withColumn("sampled", F.col("accepted"))
     key, tie = last
-    return scored.withColumn("sampled", F.col("accepted") & ((F.col("gumbel") > F.lit(key)) | ((F.col("gumbel") == F.lit(key)) & (F.col(id_col) <= F.lit(tie)))))
+    first = F.col(id_col).isNull() if tie is None else F.col(id_col).isNull() | (F.col(id_col) <= F.lit(tie))
+    return scored.withColumn("sampled", F.col("accepted") & ((F.col("gumbel") > F.lit(key)) | ((F.col("gumbel") == F.lit(key)) & first)))

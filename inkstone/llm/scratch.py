@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder is set only where it is unset (tests, one machine)."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset, a local folder is set if the whole of Spark is in this
+    process (tests, one machine); on a cluster that is an error, since executors would not see each other's files."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="inkstone-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -23,12 +27,14 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.kept: set[str] = set()
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
+        self.kept.add(name)
         return self.spark.read.parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -38,3 +44,7 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(conf).delete(path, True)
+            self.kept.discard(name)
+
+    def drop_all_but(self, *names: str) -> None:
+        self.drop(*sorted(self.kept - set(names)))

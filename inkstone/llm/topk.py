@@ -5,7 +5,8 @@ Then |q - x|^2 = |q|^2 + M - 2 q.x, and the largest inner products are the least
 nearest pivot and its distance to it, and the keys of a pivot are cut into annuli (rings). A query expands over the rings
 in two steps: the rings next to its own distance at its nearest pivots give its k-th best score so far; by the triangle
 inequality that bounds the distances to every other pivot at which a better vector can be, and only those rings are read
-then. Scores and ties are compared in exact integers.
+then. Distances are floating-point, so bounds are widened by ``SLACK`` of the vectors' lengths; scores and ties are compared in exact
+integers (beyond 2^53 in Python's, clamped to the range of a long).
 
 Of equal vectors only the k + 1 with the least ids are indexed: no other can be among the k results of a query other than
 itself. So copies, however many, fill no ring. Rings are read as (ring, block of queries) groups; both are of bounded size,
@@ -14,8 +15,9 @@ rings by splitting those that hold more than ``RING`` vectors.
 The pivots are picked from a bounded sample, ``SAMPLE`` vectors of least hash; the rings hold every vector.
 
 Defined cases: vectors that are null or have null or non-finite components take no part; shorter vectors count as ended by
-zeros; equal scores go to the smaller id; rows with the same id and vector count once; a query with fewer than k other
-vectors gets them all; an empty table gives an empty result.
+zeros; equal scores go to the smaller id; of rows with the same id the one with the least vector counts, as query and as
+candidate; a query with fewer than k other vectors gets them all; other columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -27,15 +29,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkstone.llm.memory import modest_batches
 from inkstone.llm.scratch import Scratch
 
+#: At least so many pivots; more where there are many vectors (the square root of their number over 64), up to ``SAMPLE`` / 4.
 PIVOTS = 32
 RING = 1024
 QUERIES = 2048
 SAMPLE = 4096
 #: Nearest pivots whose nearest rings make the first step.
 FIRST = 3
-EPS = 1e-6
+#: Of the lengths of query and vectors: what rounding can add to a distance (squares of them have 53 bits, so roots have half).
+SLACK = 1e-6
+EXACT = 2.0**53
+LONG = (1 << 63) - 1
 
 
 def scaled(vector: Column, scale: float = 256.0) -> Column:
@@ -78,13 +85,23 @@ def matrix(column, width: int) -> np.ndarray:
     return out
 
 
+def whole(x: np.ndarray) -> np.ndarray:
+    """Python's integers of any size."""
+    return np.array([[int(v) for v in row] for row in x.tolist()], object).reshape(x.shape)
+
+
+def below(x: np.ndarray, error: np.ndarray | float) -> np.ndarray:
+    """A bound for scores that were worked out, or rounded, in floating point: exact ones as they are."""
+    return np.where(np.abs(x) + error < EXACT, x, x - error - np.abs(x) * 2.0**-50)
+
+
 def best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of query, id, score) of each query's k best in a block of vectors, none below the query's floor."""
     order = np.argsort(ids, kind="stable")
     vectors, ids = vectors[order], ids[order]
     bound = np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * vectors.shape[1]
-    exact = bound < 2**53
-    scores = queries @ vectors.T if exact else (queries.astype(object) @ vectors.T.astype(object))
+    exact = bound < EXACT
+    scores = queries @ vectors.T if exact else np.clip(whole(queries) @ whole(vectors).T, -LONG - 1, LONG)
     rows, found, values = [], [], []
     for i in range(len(queries)):
         s = scores[i]
@@ -103,10 +120,11 @@ def best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: n
 class PivotIndex:
     """The index of a table of vectors, (``id``, ``v`` array<double>), and searches in it."""
 
-    def __init__(self, vectors: DataFrame, k: int, pivots: int = PIVOTS, ring: int = RING):
+    def __init__(self, vectors: DataFrame, k: int, pivots: int | None = None, ring: int = RING):
         self.spark, self.k = vectors.sparkSession, k
         self.scratch = Scratch(self.spark, "topk")
-        vectors = vectors.where("id is not null and v is not null").dropDuplicates(["id", "v"])
+        modest_batches(self.spark)
+        vectors = vectors.where("id is not null and v is not null").groupBy("id").agg(F.min("v").alias("v"))
         few = Window.partitionBy("v").orderBy("id")
         kept = vectors.withColumn("__k", F.row_number().over(few)).where(F.col("__k") <= k + 1).drop("__k")
         kept = self.scratch.keep(kept, "vectors")
@@ -115,7 +133,7 @@ class PivotIndex:
         self.largest, self.width = float(largest or 0), int(width or 0)
         sample = kept.orderBy(F.xxhash64("v"), "id").limit(SAMPLE).collect() if self.rows else []
         points = matrix([r.v for r in sample], self.width)
-        self.centres = pick_pivots(lifted(points, self.largest), pivots)
+        self.centres = pick_pivots(lifted(points, self.largest), pivots or min(SAMPLE // 4, max(PIVOTS, math.isqrt(self.rows) // 64)))
         self.first_scores = points, np.array([r.id for r in sample], np.int64)
         self.ring = ring
         if self.rows:
@@ -137,6 +155,7 @@ class PivotIndex:
         bounds = self.spark.createDataFrame([(p, *x) for p, x in self.pivots.items()], "pivot int, low double, width double, rings int")
         placed = keyed.join(F.broadcast(bounds), "pivot").withColumn("ring", F.least(F.floor((F.col("d") - F.col("low")) / F.col("width")), F.col("rings") - 1).cast("int"))
         self.vectors = self.scratch.keep(placed.select("id", "v", "pivot", "ring", "d"), "placed")
+        self.scratch.drop("vectors", "keyed")
         stats = self.vectors.groupBy("pivot", "ring").agg(F.count("*").alias("n"), F.min("d").alias("least"), F.max("d").alias("most"))
         self.rings = self.scratch.keep(stats, "rings")
 
@@ -145,29 +164,37 @@ class PivotIndex:
         points, ids = self.first_scores
         centres, width, k, largest = self.centres, self.width, self.k, self.largest
 
-        @F.pandas_udf("struct<d:array<double>,floor:double,reach:double>")
+        @F.pandas_udf("struct<d:array<double>,floor:double,reach:double,squared:double,slack:double>")
         def prepare(q: pd.Series, qid: pd.Series) -> pd.DataFrame:
             x = matrix(q, width)
             d = distances(np.column_stack([x, np.zeros(len(x))]), centres)
             scores = x @ points.T
             scores[qid.to_numpy()[:, None] == ids[None, :]] = -np.inf
             floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k] if scores.shape[1] >= k else np.full(len(x), -np.inf)
-            return pd.DataFrame({"d": list(d), "floor": floor, "reach": np.sqrt(np.maximum((x**2).sum(1) + largest - 2 * floor, 0))})
+            squared = (x**2).sum(1)
+            floor = below(floor, np.sqrt(squared * largest) * width * 2.0**-50)
+            slack = SLACK * (1 + np.sqrt(squared) + np.sqrt(largest))
+            return pd.DataFrame({"d": list(d), "floor": floor, "reach": np.sqrt(np.maximum(squared + largest - 2 * floor, 0)) + slack, "squared": squared, "slack": slack})
 
-        return queries.withColumn("__p", prepare("v", "id")).select("id", "v", "__p.d", "__p.floor", "__p.reach")
+        return queries.withColumn("__p", prepare("v", "id")).select("id", "v", "__p.*")
 
     def _visits(self, queries: DataFrame) -> DataFrame:
-        """(id, pivot, ring, away, nth) of the rings that a query's reach touches; away: the least distance that the ring allows."""
+        """(id, pivot, ring, n, away) of the rings that a query's reach touches; away: the least distance that the ring allows.
+
+        A pivot's rings are equally wide, so those in reach are counted off, and one more at either end.
+        """
         nearest = F.array_min("d")
         by_pivot = queries.select("id", "reach", nearest.alias("nearest"), F.posexplode("d").alias("pivot", "dq"))
         # a vector of this pivot is no farther from it than from the query's nearest pivot
-        by_pivot = by_pivot.where((F.col("dq") - F.col("nearest")) / 2 <= F.col("reach") + EPS)
-        at = by_pivot.join(F.broadcast(self.rings) if self._few_rings() else self.rings, "pivot")
+        by_pivot = by_pivot.where((F.col("dq") - F.col("nearest")) / 2 <= F.col("reach"))
+        spans = self.spark.createDataFrame([(p, *x) for p, x in self.pivots.items()], "pivot int, low double, width double, rings int")
+        at = by_pivot.join(F.broadcast(spans), "pivot")  # a row for each pivot
+        ring = lambda d: F.greatest(F.lit(-1.0), F.least(F.floor((d - F.col("low")) / F.col("width")).cast("double"), F.col("rings").cast("double")))
+        low, high = (ring(F.col("dq") + side * F.col("reach")) for side in (-1, 1))
+        touched = F.sequence(F.greatest(low - 1, F.lit(0.0)).cast("int"), F.greatest(F.lit(0.0), F.least(high + 1, F.col("rings") - 1.0)).cast("int"))
+        at = at.withColumn("ring", F.explode(touched)).join(self.rings, ["pivot", "ring"])
         away = F.greatest(F.lit(0.0), F.col("dq") - F.col("most"), F.col("least") - F.col("dq"), (F.col("dq") - F.col("nearest")) / 2)
-        return at.withColumn("away", away).where(F.col("away") <= F.col("reach") + EPS).select("id", "pivot", "ring", "n", "away")
-
-    def _few_rings(self) -> bool:
-        return sum(x[2] for x in self.pivots.values()) <= 50_000
+        return at.withColumn("away", away).where(F.col("away") <= F.col("reach")).select("id", "pivot", "ring", "n", "away")
 
     def _read(self, visits: DataFrame, queries: DataFrame, blocks: int) -> DataFrame:
         """(query, vec_id, score): the k best of each ring visited, by groups of a part of a ring and a block of queries."""
@@ -196,19 +223,19 @@ class PivotIndex:
         """(query_id, rank, vec_id, score) of the k best for each query (``id``, ``v``), other than its own id."""
         if not self.rows:
             return self.spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-        queries = self.scratch.keep(self._first_floor(queries.where("v is not null").dropDuplicates(["id"])), "queries")
+        queries = self.scratch.keep(self._first_floor(queries.where("id is not null and v is not null").groupBy("id").agg(F.min("v").alias("v"))), "queries")
         blocks = max(1, math.ceil(queries.count() / QUERIES))
         nearest = Window.partitionBy("id").orderBy("away", "pivot", "ring")
         touched = self.scratch.keep(self._visits(queries).withColumn("nth", F.row_number().over(nearest)), "visits")
         first = self.scratch.keep(self._ranked(self._read(touched.where(F.col("nth") <= FIRST), queries, blocks)), "first")
         # the k-th best so far bounds what is left to read
-        squared = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-        kth = first.where(F.col("rank") == self.k).select(F.col("query").alias("id"), F.col("score").cast("double").alias("kth"))
+        score = F.col("score").cast("double")
+        kth = first.where(F.col("rank") == self.k).select(F.col("query").alias("id"), F.when(F.abs(score) < EXACT, score).otherwise(score - F.abs(score) * 2.0**-50).alias("kth"))
         tighter = queries.join(kth, "id", "left").withColumn("floor", F.greatest("floor", F.coalesce("kth", "floor")))
-        tighter = tighter.withColumn("reach", F.sqrt(F.greatest(squared + self.largest - 2 * F.col("floor"), F.lit(0.0)))).drop("kth")
+        tighter = tighter.withColumn("reach", F.sqrt(F.greatest(F.col("squared") + self.largest - 2 * F.col("floor"), F.lit(0.0))) + F.col("slack")).drop("kth")
         tighter = self.scratch.keep(tighter, "tighter")
-        rest = touched.where(F.col("nth") > FIRST).join(tighter.select("id", "reach"), "id").where(F.col("away") <= F.col("reach") + EPS).drop("reach")
+        rest = touched.where(F.col("nth") > FIRST).join(tighter.select("id", "reach"), "id").where(F.col("away") <= F.col("reach")).drop("reach")
         found = self._ranked(first.drop("rank").union(self._read(rest, tighter, blocks)))
         out = self.scratch.keep(found.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "result")
-        self.scratch.drop("vectors", "keyed", "placed", "rings", "queries", "visits", "first", "tighter")
+        self.scratch.drop("queries", "visits", "first", "tighter")
         return out
