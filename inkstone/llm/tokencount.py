@@ -8,33 +8,45 @@ alone, into these two; so the next state is found from pair checks, which the co
 pair. No piece holds a space after another character, so a space after a non-space puts the transducer in one known state
 whatever came before.
 
-Long texts are cut into chunks at fixed offsets. A chunk cannot know its entry state; its *state map* is the text before the
-first known state (to be read from the entry state), the tokens emitted between the first and the last known state, and the
-text after the last one, which leads to the exit state. Maps compose associatively; the maps of a text are composed in a
-balanced tree of pairs.
+Texts are cut into chunks of ``CHUNK`` characters, most into one. A chunk's *state map* takes an entry state to the exit state
+and the tokens emitted in between; a state is written as the endings that it stands for, so that any task can enter it. Maps
+are tabulated where they are needed: the first chunk's at the start state, any other's at the state that a run over the
+``WARM`` characters before it ends in, which is nearly always the right one, whatever the run began in. Then, in rounds over
+all chunks at once, each exit state that the next chunk's map lacks is looked up there, until the tables are closed. Then the
+maps of a text compose: a scan over its chunks, each entered at the exit state of the one before. What meets by text are
+states and counts, never characters. A round adds a state to a chunk's table; that is none or one for most texts, and for a
+text that repeats itself without end no more than the lengths of the pieces in it.
 
 Defined cases: null counts as the empty text, which has no tokens; special strings are ordinary text; repeated rows each
-count; an empty table gives an empty result; only the id and text columns are read.
+count; an empty table gives an empty result; only the id and text columns are read. A model that changes characters before
+it splits them is refused.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkstone.llm.memory import modest_batches, release
+from inkstone.llm.scratch import Scratch
+
 SPACE = "▁"
 CHUNK = 1 << 16
+#: Characters before a chunk that a run goes over to find the state at its beginning.
+WARM = 256
 #: States that a worker keeps between texts; beyond, the compiled part is forgotten and built anew.
 MAX_STATES = 300_000
 KNOWN = re.compile(f"[^{SPACE}]{SPACE}")
-MAP = "struct<head:string,n:long,tail:string,known:boolean>"
-_MAP = pa.struct([("head", pa.string()), ("n", pa.int64()), ("tail", pa.string()), ("known", pa.bool_())])
+MAP = "struct<entry:string,n:long,exit:string>"
+_MAP = pa.struct([("entry", pa.string()), ("n", pa.int64()), ("exit", pa.string())])
+#: Texts that a model must leave as they are: compatibility forms, wide spaces, runs of spaces.
+PROBES = ["\ufb01 \uff21 \u2460 e\u0301", "a \u3000b\u00a0c", "  a   b  ", "\u200bx\u00ad"]
 
 
 class Merges:
@@ -49,6 +61,9 @@ class Merges:
         if any(KNOWN.search(p) for p in self.score):
             raise ValueError("pieces that run on after a space are not supported")
         self.byte_fallback = any(sp.is_byte(i) for i in range(sp.vocab_size()))
+        for text in PROBES:
+            if "".join(sp.id_to_piece(i) for i in sp.encode(text) if not sp.is_byte(i) and not sp.is_unknown(i)) != SPACE + "".join(c for c in escape(text) if c in self.score):
+                raise ValueError("models that change characters are not supported")
         self.starts = {p[:k]: p[:k] for p in self.score for k in range(1, len(p))}
         self.pieces = {p: p for p in self.score}
 
@@ -121,15 +136,35 @@ class Transducer:
         endings = (("", token, 0), *((e, b, n - count) for e, b, n in live))
         return self.state(count, endings, char == SPACE)
 
-    def count(self, text: str) -> int:
-        """Tokens of a text that starts in the start state."""
-        if len(self.states) > MAX_STATES:
-            self.forget()
-        state, n = self.start, 0
+    def name(self, state: State) -> str:
+        return json.dumps([state.endings, state.spaced], ensure_ascii=False)
+
+    def named(self, name: str) -> State:
+        endings, spaced = json.loads(name)
+        return self.state(0, tuple((self.merges.starts.get(e, e), b, n) for e, b, n in endings), spaced)
+
+    def run(self, text: str, state: State) -> tuple[int, State]:
+        """Tokens emitted and the state after the text."""
+        n = 0
         for char in text:
             state = state[char]
             n += state.emit
-        return n
+        return n, state
+
+    def map(self, chunk: str, entry: str) -> tuple[int, str]:
+        """Tokens and exit state of a chunk, spaces escaped, for one entry state."""
+        if len(self.states) > MAX_STATES:
+            self.forget()
+        n, state = self.run(chunk, self.named(entry))
+        return n, self.name(state)
+
+    def count(self, text: str) -> int:
+        """Tokens of a text that starts in the start state."""
+        return self.map(text, START)[0]
+
+
+#: The start state by name.
+START = json.dumps([[["", None, 0]], False])
 
 
 @lru_cache(maxsize=2)
@@ -137,126 +172,91 @@ def transducer(path: str) -> Transducer:
     return Transducer(Merges(path))
 
 
-@dataclass(frozen=True)
-class StateMap:
-    head: str
-    n: int
-    tail: str
-    known: bool
-
-    def then(self, other: StateMap, machine: Transducer) -> StateMap:
-        if not self.known and not other.known:
-            return StateMap(self.head + other.head, 0, "", False)
-        if not self.known:
-            return StateMap(self.head + other.head, other.n, other.tail, True)
-        if not other.known:
-            return self.close(StateMap(self.head, self.n, self.tail + other.head, True), machine)
-        middle = self.tail + other.head
-        return StateMap(self.head, self.n + other.n + machine.count(middle), other.tail, True)
-
-    @staticmethod
-    def close(m: StateMap, machine: Transducer) -> StateMap:
-        """Two texts that meet may bring a known state: a tail's last one can be where the second begins."""
-        cut = last_known(m.tail)
-        return m if not cut else StateMap(m.head, m.n + machine.count(m.tail[:cut]), m.tail[cut:], True)
-
-
-def last_known(text: str) -> int:
-    """Offset of the last space after a non-space, or 0."""
-    at = text.rfind(SPACE)
-    while at > 0 and text[at - 1] == SPACE:
-        at = text.rfind(SPACE, 0, at)
-    return max(at, 0)
-
-
-def state_map(chunk: str, first: bool, machine: Transducer) -> StateMap:
-    """The map of a chunk in which spaces are escaped; the first chunk of a text has the leading space and a known entry."""
-    if first:
-        cut = last_known(chunk)
-        return StateMap("", machine.count(chunk[:cut]), chunk[cut:], True)
-    m = KNOWN.search(chunk)
-    if not m:
-        return StateMap(chunk, 0, "", False)
-    low, high = m.start() + 1, last_known(chunk)
-    return StateMap(chunk[:low], machine.count(chunk[low:high]), chunk[high:], True)
-
-
-def compose(maps: list[StateMap], machine: Transducer) -> StateMap:
-    """Pairs of neighbours, then pairs of pairs: any grouping gives the same map."""
-    while len(maps) > 1:
-        maps = [maps[i].then(maps[i + 1], machine) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-    return maps[0]
-
-
 def escape(text: str) -> str:
     return text.replace(" ", SPACE)
 
 
-def count_tokens(text: Column, path: str) -> Column:
-    """Tokens of each whole text, read in one go: for texts that one task can well take."""
+def state_maps(chunk: Column, first: Column, lead: Column, entry: Column, path: str) -> Column:
+    """The map of each chunk at one entry state: ``entry``, or where that is null the start state for the first chunk of a
+    text and else the state after ``lead``. The first chunk of a text that isn't empty has a space before it."""
 
-    @F.arrow_udf("long")
-    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.arrow_udf(MAP)
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         machine = transducer(path)
         for batch in batches:
-            yield pa.array([machine.count(SPACE + escape(t)) if t else 0 for t in batch.to_pylist()], pa.int64())
+            out = []
+            for text, begins, before, at in zip(*(c.to_pylist() for c in batch), strict=True):
+                at = at or (START if begins else machine.map(escape(before), START)[1])
+                out.append((at, *machine.map((SPACE if begins and text else "") + escape(text), at)))
+            yield pa.StructArray.from_arrays([pa.array([x[k] for x in out], _MAP[k].type) for k in range(3)], fields=list(_MAP))
+        release()
 
-    return count(text)
+    return run(chunk, first, lead, entry)
 
 
-def _cut(chunk: int):
-    """Rows (id, n_bytes, h, text) to rows of chunks with their positions."""
+def _cut(chunk: int, warm: int):
+    """Rows (id, n_bytes, h, text) to rows of chunks with their positions and the characters before them."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, text in enumerate(batch.column("text").to_pylist()):
-                parts = [text[k : k + chunk] for k in range(0, len(text), chunk)]
+                starts = range(0, len(text), chunk)
                 keys = batch.select(["id", "n_bytes", "h"]).slice(i, 1)
-                columns = [pa.concat_arrays([c] * len(parts)) for c in keys.columns]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())], ["id", "n_bytes", "h", "pos", "chunk"])
+                columns = [pa.concat_arrays([c] * len(starts)) for c in keys.columns]
+                leads, parts = [text[max(0, k - warm) : k] for k in starts], [text[k : k + chunk] for k in starts]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(range(len(starts)), pa.int32()), pa.array(leads, pa.string()), pa.array(parts, pa.string())], ["id", "n_bytes", "h", "pos", "lead", "chunk"])
 
     return cut
 
 
-def _maps(chunk: Column, pos: Column, path: str) -> Column:
-    @F.arrow_udf(MAP)
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        machine = transducer(path)
-        for chunks, positions in batches:
-            out = [state_map((SPACE if p == 0 else "") + escape(c), p == 0, machine) for c, p in zip(chunks.to_pylist(), positions.to_pylist(), strict=True)]
-            yield pa.array([vars(m) for m in out], _MAP)
+def closed(chunks: DataFrame, path: str, scratch: Scratch) -> DataFrame:
+    """(id, h, pos, entry, n, exit): the maps of all chunks, at every entry state that the maps before them lead to."""
+    tabulated = lambda rows, entry: rows.select("id", "h", "pos", state_maps(F.col("chunk"), F.col("pos") == 0, F.col("lead"), entry, path).alias("m")).select("id", "h", "pos", "m.*").distinct()
+    fresh = maps = scratch.keep(tabulated(chunks, F.lit(None).cast("string")), "maps0")
+    i = 0
+    while True:
+        i += 1
+        w, t, c = fresh.select("id", "h", (F.col("pos") + 1).alias("pos"), F.col("exit").alias("entry")).distinct().alias("w"), maps.alias("t"), chunks.alias("c")
+        same = lambda x, y: F.col(f"{x}.id").eqNullSafe(F.col(f"{y}.id")) & (F.col(f"{x}.h") == F.col(f"{y}.h")) & (F.col(f"{x}.pos") == F.col(f"{y}.pos"))
+        lacking = w.join(t, same("w", "t") & (F.col("w.entry") == F.col("t.entry")), "left_anti")
+        wanted = c.join(lacking.alias("w"), same("c", "w")).select("c.id", "c.h", "c.pos", "c.lead", "c.chunk", "w.entry")
+        fresh = scratch.keep(tabulated(wanted, F.col("entry")), f"maps{i}")
+        if fresh.isEmpty():
+            return maps
+        maps = maps.unionByName(fresh)
 
-    return run(chunk, pos)
 
+def composed(maps: Column) -> Column:
+    """Tokens of a text: a scan over the maps of its chunks, structs (pos, entry, n, exit), from the start state."""
 
-def _total(maps: Column, path: str) -> Column:
-    @F.arrow_udf("long")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        machine = transducer(path)
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                whole = compose([StateMap(**m["map"]) for m in row], machine)
-                out.append(whole.n + machine.count(whole.tail))
-            yield pa.array(out, pa.int64())
+    def step(acc: Column, m: Column) -> Column:
+        enters = (m["pos"] == acc["pos"]) & (m["entry"] == acc["state"])
+        return F.when(enters, F.struct((acc["pos"] + 1).alias("pos"), m["exit"].alias("state"), (acc["n"] + m["n"]).alias("n"))).otherwise(acc)
 
-    return run(maps)
+    zero = F.struct(F.lit(0).alias("pos"), F.lit(START).alias("state"), F.lit(0).cast("long").alias("n"))
+    return F.aggregate(F.array_sort(maps), zero, step, lambda acc: acc["n"])
 
 
-def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, warm: int = WARM) -> DataFrame:
     """One row per document: ``n_bytes`` and ``n_tokens``.
 
-    Texts of up to ``chunk`` characters are counted where they are read. Longer ones are cut, their chunks dealt out over the
-    cluster, and the chunks' maps, a few words each, meet again by text.
+    The map of a text of one chunk is made where the text is read. The chunks of longer texts are dealt out over the cluster.
     """
+    modest_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    short = rows.where(F.char_length("text") <= chunk).select("id", "n_bytes", count_tokens(F.col("text"), path).alias("n_tokens"))
+    alone = state_maps(F.col("text"), F.lit(True), F.lit(""), F.lit(START), path)
+    short = rows.where(F.char_length("text") <= chunk).select("id", "n_bytes", alone["n"].alias("n_tokens"))
     long = rows.where(F.char_length("text") > chunk).withColumn("h", F.xxhash64("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    chunks = long.mapInArrow(_cut(chunk), f"id {id_type}, n_bytes long, h long, pos int, chunk string").repartition("id", "h", "pos")
-    maps = chunks.select("id", "n_bytes", "h", "pos", _maps(F.col("chunk"), F.col("pos"), path).alias("map"))
-    # a row that occurs n times has n chunks at position 0; its maps are equal, and one set of them is composed
-    texts = maps.groupBy("id", "n_bytes", "h").agg(F.array_sort(F.collect_set(F.struct("pos", "map"))).alias("maps"), F.count_if(F.col("pos") == 0).alias("times"))
-    counted = texts.select("id", "n_bytes", _total(F.col("maps"), path).alias("n_tokens"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    return short.unionByName(counted.drop("col")).withColumnRenamed("id", id_col)
+    scratch = Scratch(docs.sparkSession, "tokencount")
+    chunks = long.mapInArrow(_cut(chunk, warm), f"id {id_type}, n_bytes long, h long, pos int, lead string, chunk string")
+    chunks = scratch.keep(chunks.repartition("id", "h", "pos"), "chunks")
+    # a row that occurs n times has n chunks at position 0, and one set of maps
+    texts = chunks.where("pos = 0").groupBy("id", "n_bytes", "h").agg(F.count("*").cast("int").alias("times"))
+    maps = closed(chunks, path, scratch).groupBy("id", "h").agg(composed(F.collect_set(F.struct("pos", "entry", "n", "exit"))).alias("n_tokens"))
+    t, m = texts.alias("t"), maps.alias("m")
+    counted = t.join(m, F.col("t.id").eqNullSafe(F.col("m.id")) & (F.col("t.h") == F.col("m.h"))).select("t.id", "n_bytes", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth"))
+    counted = scratch.keep(counted.drop("nth"), "counted")
+    scratch.drop_all_but("counted")
+    return short.unionByName(counted).withColumnRenamed("id", id_col)
