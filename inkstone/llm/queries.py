@@ -29,14 +29,14 @@ def tokenizer(name: str) -> str:
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
+    found = decontamination.report(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
 def op1_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near matches; a query of its own, since ``op1_decontamination`` has the columns of its SQL."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontamination.proximity(docs, table(spark, sf_dir, "benchmark"))
+    found = decontamination.report(docs, table(spark, sf_dir, "benchmark"), slop=decontamination.SLOP)
     return found.select("doc_id", "n_words", "n_hit", "n_near", F.size("near_items").cast("long").alias("n_near_items"), F.concat_ws(",", "near_items").alias("near_items"))
 
 
