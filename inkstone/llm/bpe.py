@@ -1,20 +1,22 @@
 """Byte-level BPE encoding and decoding by a distinct-word table.
 
 Texts are split into words by the tokenizer's own rule; a merge never crosses words, so each distinct word is encoded once
-in the whole table of documents and its ids are joined back to all its places. A token is decoded by joining its id to the
-table of pieces (bounded by the vocabulary).
+in the whole table of documents and its ids are joined back to all its places. Tokens are decoded by a join of ids and pieces: the
+table of pieces (bounded by the vocabulary) has a row for each ``RANGE`` ids, each page lists the ranges that its ids lie in,
+and the join brings it their pieces.
 
 Places are kept small: the documents of a task are gathered in *pages* of about ``PAGE`` characters, each with a list of its
 distinct words and, for each document, the row of numbers of its words. A page's words are dealt into buckets by their hash,
 and the words of a bucket travel as one compressed block. What is shuffled are these blocks, the blocks of ids on the way
 back, and the compressed pages: never a row per word.
 
-    documents -> (page, bucket, words)  sorted by bucket: each distinct word encoded once, its ids to all its pages
-              -> (page, bucket, ids)    cogrouped by page with
-    documents -> (page, documents as word numbers)            ids by position
+    documents -> (page, bucket, words)           sorted by bucket: each distinct word encoded once, its ids to all its pages
+              -> (page, bucket, ids), (page, range)
+              -> join pieces by range            cogrouped by page with
+    documents -> (page, documents as word numbers)            ids and pieces by position
 
 A page is named by a digest of its contents, so the two passes over the documents agree, and a page whose words don't come
-(the input gave its rows in another order the second time) is encoded from its own list of words instead.
+(the input gave its rows in another order the second time, so the digest is another) is encoded from its own list of words.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; the strings of special tokens are those tokens,
 as the library has it; repeated rows each get their own result; an empty table gives an empty result; only the id and text
@@ -35,9 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkstone.llm.memory import modest_batches, release
+
 PAGE = 8_000_000
 #: Words whose ids a task holds at a time; beyond, they are forgotten and encoded again.
-MOST_WORDS = 200_000
+MOST_WORDS = 100_000
+#: Ids whose pieces make one row of the table of pieces.
+RANGE = 256
 #: The split rule of byte-level BPE.
 RULE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -231,6 +237,7 @@ def unblocked(packed: bytes, n: int) -> tuple[np.ndarray, bytes]:
 
 
 BLOCKS = "page long, bucket int, n int, packed binary"
+CODED = f"{BLOCKS}, range int"
 _BLOCKS = ["page", "bucket", "n", "packed"]
 
 
@@ -255,13 +262,14 @@ def _page_rows(path: str, buckets: int):
 
 
 def _id_blocks(path: str):
-    """Blocks of words sorted by bucket to blocks of their ids."""
+    """Blocks of words sorted by bucket to blocks of their ids, and to rows of the ranges that a page's ids lie in: each range
+    once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, known, last = splitter(path), {}, None
+        split, known, last, ranges = splitter(path), {}, None, {}
         for batch in batches:
-            out = []
-            for bucket, n, packed in zip(*(batch.column(c).to_pylist() for c in _BLOCKS[1:]), strict=True):
+            out, pages, at = [], [], []
+            for page, bucket, n, packed in zip(*(batch.column(c).to_pylist() for c in _BLOCKS), strict=True):
                 if bucket != last or len(known) > MOST_WORDS:
                     known, last = {}, bucket
                 lengths, raw = unblocked(packed, n)
@@ -269,16 +277,41 @@ def _id_blocks(path: str):
                 words = [raw[low:high] for low, high in zip([0, *ends[:-1]], ends, strict=True)]
                 fresh = [w for w in words if w not in known]
                 known.update(zip(fresh, (np.array(i, split.id_type).tobytes() for i in split.encode([w.decode() for w in fresh])), strict=True))
-                out.append(block([known[w] for w in words]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _BLOCKS[:3]), pa.array(out, pa.binary())], _BLOCKS)
+                ids = [known[w] for w in words]
+                out.append(block(ids))
+                had = ranges.get(page, 0)
+                for r in np.unique(np.frombuffer(b"".join(ids), split.id_type) // RANGE).tolist():
+                    if not had >> r & 1:
+                        had |= 1 << r
+                        pages.append(page)
+                        at.append(r)
+                ranges[page] = had
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _BLOCKS[:3]), pa.array(out, pa.binary()), pa.nulls(len(out), pa.int32())], [*_BLOCKS, "range"])
+            none = [pa.nulls(len(at), t) for t in (pa.int32(), pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), *none, pa.array(at, pa.int32())], [*_BLOCKS, "range"])
+        del known, ranges
+        release()
 
     return run
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """Blocks of words with the words' ids in their place: the table is sorted by bucket, and each distinct word of a bucket is
-    encoded once for all its pages."""
-    return words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_id_blocks(path), BLOCKS)
+    """Blocks of words with the words' ids in their place (the table is sorted by bucket, and each distinct word of a bucket is
+    encoded once for all its pages), and rows (page, range) of the ranges of these ids."""
+    return words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_id_blocks(path), CODED)
+
+
+def with_pieces(coded: DataFrame, path: str) -> DataFrame:
+    """The join of ids and pieces: each range of a page, once, with its pieces; blocks of ids have none."""
+    held = coded.repartition("page").groupBy("page", "bucket", "range").agg(F.first("n").alias("n"), F.first("packed").alias("packed"))
+    return held.join(F.broadcast(piece_ranges(coded.sparkSession, path)), "range", "left").select(*_BLOCKS, "range", "pieces")
+
+
+def piece_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """The table of pieces, ``RANGE`` ids a row."""
+    found = piece_bytes(path)
+    rows = [(r, [bytearray(p) for p in found[r * RANGE : (r + 1) * RANGE]]) for r in range(-(-len(found) // RANGE))]
+    return spark.createDataFrame(rows, "range int, pieces array<binary>")
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -322,10 +355,11 @@ class Gather:
         return self.flat[np.repeat(self.starts[rows] - (ends - n), n) + np.arange(ends[-1])]
 
 
-@lru_cache(maxsize=2)
-def piece_table(path: str) -> Gather:
-    found = piece_bytes(path)
-    return Gather(np.frombuffer(b"".join(found), np.uint8), np.array([len(b) for b in found], np.int64))
+def _piece_table(ranges: list[int], pieces: list[list[bytes]]) -> Gather:
+    """Pieces by id, of the ranges that are there."""
+    found = dict(zip(ranges, pieces, strict=True))
+    listed = [p for r in range(max(found, default=-1) + 1) for p in found.get(r, [b""] * RANGE)]
+    return Gather(np.frombuffer(b"".join(listed), np.uint8), np.array(list(map(len, listed)), np.int64))
 
 
 def _assemble(path: str, id_type: pa.DataType):
@@ -333,19 +367,26 @@ def _assemble(path: str, id_type: pa.DataType):
 
     def run(pages: pa.Table, words: pa.Table) -> pa.Table:
         out, width = [], np.dtype(splitter(path).id_type)
-        # the same page may have come more than once, with equal blocks
-        blocks = dict(zip(words["bucket"].to_pylist(), zip(words["n"].to_pylist(), words["packed"].to_pylist(), strict=True), strict=True))
-        parts = [unblocked(blocks[b][1], blocks[b][0]) for b in sorted(blocks)]
+        blocks, ranges, pieces = {}, [], []
+        for r in words.select(["bucket", "n", "packed", "range", "pieces"]).to_pylist():
+            if r["range"] is None:
+                blocks[r["bucket"]] = unblocked(r["packed"], r["n"])
+            else:
+                ranges.append(r["range"])
+                pieces.append(r["pieces"])
+        parts = [blocks[b] for b in sorted(blocks)]
         sizes = np.concatenate([np.zeros(0, np.int64), *(n for n, _ in parts)])
         flat = np.frombuffer(b"".join(ids for _, ids in parts), width)
         blocks.clear()
         for packed in pages["packed"]:
             docs, numbers, own = unpacked(packed.as_py())
-            if len(sizes) != own.num_rows:
+            if not len(sizes) and own.num_rows:
                 lists = [np.array(x, width).tobytes() for x in splitter(path).encode(own["word"].to_pylist())]
                 sizes, flat = np.array(list(map(len, lists)), np.int64), np.frombuffer(b"".join(lists), width)
+                every = piece_bytes(path)
+                ranges, pieces = list(range(-(-len(every) // RANGE))), [every[i : i + RANGE] for i in range(0, len(every), RANGE)]
             table = Gather(flat.astype(np.int32), sizes // width.itemsize)
-            by_id = piece_table(path)
+            by_id = _piece_table(ranges, pieces)
             tokens, texts, at = [np.zeros(0, np.int32)], [], 0
             for n in docs["n"].to_pylist():
                 ids = table.of(numbers[at : at + n])
@@ -355,6 +396,7 @@ def _assemble(path: str, id_type: pa.DataType):
             ends = np.cumsum([len(t) for t in tokens]).astype(np.int32)
             ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tokens)))
             out.append(pa.table([docs["id"].combine_chunks(), ids, pa.array(texts, pa.string())], schema))
+        release()
         return pa.concat_tables(out) if out else schema.empty_table()
 
     return run
@@ -364,11 +406,13 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """One row per document: its id, its token ids and the text that they decode to."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    modest_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType
     # as many buckets as tasks could share, twice over
     buckets = max(256, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     words = rows.mapInArrow(_word_blocks(path, buckets), BLOCKS)
     pages = rows.mapInArrow(_page_rows(path, buckets), "page long, packed binary")
-    out = pages.groupBy("page").cogroup(encode_words(words, path).groupBy("page")).applyInArrow(_assemble(path, to_arrow_type(id_type)), f"id {id_type.simpleString()}, ids array<int>, decoded string")
+    coded = with_pieces(encode_words(words, path), path)
+    out = pages.groupBy("page").cogroup(coded.groupBy("page")).applyInArrow(_assemble(path, to_arrow_type(id_type)), f"id {id_type.simpleString()}, ids array<int>, decoded string")
     return out.withColumnRenamed("id", id_col)

@@ -235,7 +235,6 @@ def _search(tests: TestWindows, slop: int | None, id_type: pa.DataType):
         times = np.array(list(map(len, items)))
         low, high, kind = (np.repeat(x, times) for x in (low, high, kind))
         names = pa.array([i for listed in items for i in listed], pa.string())
-        # a document without words begins where the next one does not: the last that begins at or before a match has it
         own = np.searchsorted(starts, low, "right") - 1
         order = np.argsort(own, kind="stable")
         own, low, high, kind = own[order], low[order], high[order], kind[order]

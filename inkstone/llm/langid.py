@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkstone.llm.memory import modest_batches
 from inkstone.llm.sampling import least_hashed
 
 BUCKETS = 1 << 11
@@ -138,6 +139,7 @@ def fit(features: np.ndarray, labels: list[str], ridge: float = 1e-3) -> Model:
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Fits the classifiers on ``sample`` documents at most. Their features, ``sample`` x ``BUCKETS`` numbers, come to the driver."""
+    modest_batches(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     # ids first: choosing them moves no texts
     ids = rows.select("id", "lang")
@@ -172,5 +174,6 @@ def predict(text: Column, model: Model) -> Column:
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    modest_batches(docs.sparkSession)
     found = docs.withColumn("__found", predict(F.col(text_col), model))
     return found.withColumns({"lang_pred": F.col("__found.lang"), "score": F.col("__found.score"), "ambiguous": F.col("__found.ambiguous")}).drop("__found")
