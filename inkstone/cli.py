@@ -6,8 +6,8 @@ Each input file is one statement, unless ``-format`` names another form; many fi
 from __future__ import annotations
 
 import argparse
+import re
 import sys
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,12 +30,22 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-format", default="text", help="text (a statement a file), lines, or any format that Spark reads")
     p.add_argument("-output", help="folder for the results; standard output if left out")
     p.add_argument("-dbms", default="")
-    p.add_argument("-with-metadata", action=argparse.BooleanOptionalAction, default=False)
-    for name, default in {**OBFUSCATOR, **NORMALIZER}.items():
-        p.add_argument(f"-{name.replace('_', '-')}", f"--{name.replace('_', '-')}", action=argparse.BooleanOptionalAction, default=default)
+    for name, default in {"with_metadata": False, **OBFUSCATOR, **NORMALIZER}.items():
+        flag = name.replace("_", "-")
+        p.add_argument(f"-{flag}", f"--{flag}", nargs="?", type=switch, const=True, default=default, help=f"-{flag} or -{flag}=false; {str(default).lower()} if left out")
+        p.add_argument(f"--no-{flag}", dest=name, action="store_false", help=argparse.SUPPRESS)
     return p
 
 
+def switch(text: str) -> bool:
+    """The words that a flag may be set to."""
+    if text in ("1", "t", "T", "true", "TRUE", "True"):
+        return True
+    if text in ("0", "f", "F", "false", "FALSE", "False"):
+        return False
+    raise argparse.ArgumentTypeError(f"not true or false: {text}")
+
+
 def results(df: DataFrame, args: argparse.Namespace) -> DataFrame:
     """One text column ``value``: a row for each statement, or for each token."""
     chosen = lambda names: {n: getattr(args, n) for n in names}
@@ -54,10 +64,8 @@ def main(argv: Sequence[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("inkstone").getOrCreate()
     if args.input is None:
-        with tempfile.NamedTemporaryFile("w", suffix=".sql") as f:
-            f.write(sys.stdin.read())
-            f.flush()
-            show(results(read_statements(spark, f"file://{f.name}"), args), args)
+        text = re.sub(r"\r?\n\Z", "", sys.stdin.read().replace("\r\n", "\n"))
+        show(results(spark.createDataFrame([(text,)], "sql string"), args), args)
     else:
         show(results(read_statements(spark, args.input, args.format), args), args)
 

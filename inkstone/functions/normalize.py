@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from inkstone.functions.dialects import Dialect
 from inkstone.functions.obfuscate import PLACEHOLDER, ObfuscatorConfig, body, is_extract_field, obfuscated_value, trim
-from inkstone.functions.tokens import COMMENTS, NAMES, TRIVIA, let, tokenize
+from inkstone.functions.tokens import COMMENTS, NAMES, TRIVIA, is_simple_identifier, is_table_indicator, let, typed_tokens
 
 STRINGS = "array<string>"
 
@@ -55,9 +55,9 @@ def _values(tokens: Column, config: NormalizerConfig, obfuscator: ObfuscatorConf
             quoted = t["type"] == "QUOTED_IDENT"
             shown = value
             if not config.keep_identifier_quotation:
-                needed = (_no(last["type"] == "ALIAS_INDICATOR") & ~t["is_simple_identifier"]) | value.rlike(r"[ \t\n\r]")
+                needed = (_no(last["type"] == "ALIAS_INDICATOR") & ~is_simple_identifier(t["type"], t["value"])) | value.rlike(r"[ \t\n\r]")
                 shown = F.when(quoted & ~needed, unquoted(value)).otherwise(value)
-            return F.struct(t["type"].alias("type"), shown.alias("value"), F.when(quoted, unquoted(value)).otherwise(value).alias("name"), t["is_table_indicator"].alias("table"))
+            return F.struct(t["type"].alias("type"), shown.alias("value"), F.when(quoted, unquoted(value)).otherwise(value).alias("name"), (is_table_indicator(t["type"], t["value"]) if config.collect_tables else F.lit(False)).alias("table"))
 
         return F.transform(value_tokens, one)
 
@@ -138,7 +138,7 @@ def _text(values: Column, config: NormalizerConfig, nested: bool = True) -> Colu
 
         def inner(t: Column) -> Column:
             whole = (t["type"] == "DOLLAR_QUOTED_FUNCTION") & (t["value"] != PLACEHOLDER)
-            below = _text(_values(tokenize(body(t["value"])), config, None, Dialect.GENERIC), config, nested=False)
+            below = _text(_values(typed_tokens(body(t["value"]), Dialect.GENERIC), config, None, Dialect.GENERIC), config, nested=False)
             return F.struct(t["type"].alias("type"), F.when(whole, F.concat(quote, below, quote)).otherwise(t["value"]).alias("value"))
 
         has_body = F.exists(values, lambda t: t["type"] == "DOLLAR_QUOTED_FUNCTION")
@@ -190,7 +190,7 @@ def _statement(sql: Column, config: NormalizerConfig, obfuscator: ObfuscatorConf
     def both(tokens: Column) -> Column:
         return let(_values(tokens, config, obfuscator, dialect), lambda values: F.struct(_text(values, config).alias("sql"), _metadata(tokens, values, config).alias("metadata")))
 
-    return F.when(sql.isNotNull(), let(tokenize(sql, dialect), both))
+    return F.when(sql.isNotNull(), let(typed_tokens(sql, dialect), both))
 
 
 def normalize(sql: Column, config: NormalizerConfig | None = None, dialect: Dialect | str | None = None) -> Column:

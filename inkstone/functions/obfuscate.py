@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkstone.functions import dialects as D
 from inkstone.functions.dialects import Dialect
-from inkstone.functions.tokens import NAMES, TRIVIA, tokenize
+from inkstone.functions.tokens import NAMES, TRIVIA, raw_tokens, typed_tokens
 
 PLACEHOLDER = "?"
 _BODY = "$func$"
@@ -36,6 +36,12 @@ def body(value: Column) -> Column:
     return F.substring(value, F.lit(7), F.greatest(F.char_length(value) - 12, F.lit(0)))
 
 
+def obfuscate_token_value(kind: Column, value: Column, last_kind: Column | None = None, config: ObfuscatorConfig | None = None, dialect: Dialect | str | None = None) -> Column:
+    """A token's value after obfuscation, for tokens as rows. ``last_kind``: type of the value token before it, if there is one."""
+    last = F.lit(None).cast("string") if last_kind is None else last_kind
+    return obfuscated_value(kind, value, last, config or ObfuscatorConfig(), Dialect.of(dialect))
+
+
 def obfuscated_value(kind: Column, value: Column, last_kind: Column, config: ObfuscatorConfig, dialect: Dialect) -> Column:
     """A token's value after obfuscation. ``last_kind``: type of the value token before it, null if there is none."""
     literal = kind.isin("NUMBER", "STRING", "INCOMPLETE_STRING", "DOLLAR_QUOTED_STRING")
@@ -61,10 +67,21 @@ def is_extract_field(kind: Column, value: Column, last: Column, before: Column)
     return kind.isin("IDENT", "KEYWORD") & F.upper(value).isin(D.EXTRACT_FIELDS) & F.coalesce((last["type"] == "PUNCTUATION") & (last["value"] == "(") & (before["type"] == "FUNCTION") & (F.upper(before["value"]) == "EXTRACT"), F.lit(False))
 
 
+def is_literal(value: Column, dialect: Dialect) -> Column:
+    """Whether a token text is a number or a string, closed or not, or a dollar quote: its first characters tell."""
+    first = F.substring(value, 1, 1)
+    number = first.between("0", "9") | (first.isin("+", "-") & F.substring(value, 2, 1).rlike("[0-9.]"))
+    string = first.isin("'", '"') if dialect == Dialect.MYSQL else first == "'"
+    quote = (first == "$") & value.rlike(r"\A\$([^$]*+)\$[\s\S]*?\$\1\$\z")
+    if dialect == Dialect.MSSQL:  # a name there
+        quote &= ~value.rlike(rf"\A\${D.LETTER}")
+    return string | number | quote
+
+
 def obfuscate(sql: Column, config: ObfuscatorConfig | None = None, dialect: Dialect | str | None = None) -> Column:
     """The text with placeholders; white space and comments stay, but for white space at the ends."""
     config, dialect = config or ObfuscatorConfig(), Dialect.of(dialect)
-    tokens = tokenize(sql, dialect)
+    tokens = typed_tokens(sql, dialect)
     nothing = F.lit(None).cast("struct<type:string,value:string>")
 
     def step(acc: Column, t: Column) -> Column:
@@ -79,6 +96,9 @@ def obfuscate(sql: Column, config: ObfuscatorConfig | None = None, dialect: Dial
     folded = F.aggregate(tokens, F.struct(F.lit("").alias("out"), nothing.alias("last"), nothing.alias("before")), step, lambda acc: acc["out"])
     if config.keep_json_path:
         return trim(folded)
-    # only an EXTRACT call needs to look back; all other texts go token by token
-    plain = F.array_join(F.transform(tokens, lambda t: obfuscated_value(t["type"], t["value"], F.lit(None).cast("string"), config, dialect)), "")
-    return trim(F.when(sql.rlike(r"(?i)extract\("), folded).otherwise(plain))
+    # only an EXTRACT call needs to look back; all other texts go token by token, and by default without their types
+    if config == ObfuscatorConfig():
+        plain = F.transform(raw_tokens(sql, dialect), lambda v: F.when(is_literal(v, dialect), PLACEHOLDER).otherwise(v))
+    else:
+        plain = F.transform(tokens, lambda t: obfuscated_value(t["type"], t["value"], F.lit(None).cast("string"), config, dialect))
+    return trim(F.when(sql.rlike(r"(?i)extract\("), folded).otherwise(F.array_join(plain, "")))

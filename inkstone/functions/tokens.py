@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,23 +26,36 @@ def raw_tokens(sql: Column, dialect: Dialect) -> Column:
     return F.regexp_extract_all(F.substring_index(sql, "\0", 1), F.lit(D.token_pattern(dialect)), F.lit(0))
 
 
+#: Word to its type, by lists from the weakest.
+WORD_TYPES = {
+    word: kind
+    for words, kind in (
+        (D.COMMANDS, "COMMAND"),
+        (D.KEYWORDS, "KEYWORD"),
+        (D.BOOLEANS, "BOOLEAN"),
+        (D.NULLS, "NULL"),
+        (D.PROCEDURE_WORDS, "PROC_INDICATOR"),
+        (D.CTE_WORDS, "CTE_INDICATOR"),
+        (D.ALIAS_WORDS, "ALIAS_INDICATOR"),
+    )
+    for word in words
+}
+
+
 def _word(value: Column, after: Column) -> Column:
     """Type of a token that starts with a letter: a keyword needs a boundary after it."""
-    name = F.upper(value)
-    ascii_only = F.octet_length(value) == F.char_length(value)
-    keyword = ascii_only & (after.isNull() | after.rlike(rf"\A(?:{D.BOUNDARY})"))
-    ascii_start = F.substring(value, 1, 1).rlike("[A-Za-z_]")
-    plain = F.when(ascii_start & after.startswith("("), "FUNCTION").otherwise("IDENT")
-    return (
-        F.when(keyword & name.isin(D.ALIAS_WORDS), "ALIAS_INDICATOR")
-        .when(keyword & name.isin(D.CTE_WORDS), "CTE_INDICATOR")
-        .when(keyword & name.isin(D.PROCEDURE_WORDS), "PROC_INDICATOR")
-        .when(keyword & name.isin(D.NULLS), "NULL")
-        .when(keyword & name.isin(D.BOOLEANS), "BOOLEAN")
-        .when(keyword & name.isin(D.KEYWORDS), "KEYWORD")
-        .when(keyword & name.isin(D.COMMANDS), "COMMAND")
-        .otherwise(plain)
-    )
+    ascii_start = value.rlike("\\A[A-Za-z_]")
+    plain = F.when(after.startswith("(") & ascii_start, "FUNCTION").otherwise("IDENT")
+
+    def known(name: Column) -> Column:
+        ascii_only = F.octet_length(value) == F.char_length(value)
+        keyword = name.isin(list(WORD_TYPES)) & ascii_only & (after.isNull() | after.rlike(rf"\A(?:{D.BOUNDARY})"))
+        of_kind = lambda kind: [w for w, k in WORD_TYPES.items() if k == kind]
+        kinds = dict.fromkeys(("KEYWORD", *WORD_TYPES.values()))
+        kind = reduce(lambda c, k: c.when(name.isin(of_kind(k)), k), kinds, F.when(F.lit(False), ""))
+        return F.when(keyword, kind).otherwise(plain)
+
+    return let(F.upper(value), known)
 
 
 def _string_type(value: Column, quote: str, escapes: bool) -> Column:
@@ -53,16 +67,20 @@ def _string_type(value: Column, quote: str, escapes: bool) -> Column:
 
 
 def _type(value: Column, after: Column, dialect: Dialect) -> Column:
+    """Type of a token; the frequent ones are found by their first character alone."""
     first = F.substring(value, 1, 1)
     second = F.substring(value, 2, 1)
     ident = F.when(after.startswith("("), "FUNCTION").otherwise("IDENT")
     closed = lambda o, c: F.when(value.rlike(rf"\A{D.quoted(o, c)}\z"), "QUOTED_IDENT").otherwise("ERROR")
-    out = F.when(first.isin(" ", "\t", "\n", "\r"), "SPACE").when(first.rlike(D.LETTER), _word(value, after))
+    letter = first.between("a", "z") | first.between("A", "Z") | (first == "_") | ((first > "\x7f") & first.rlike(D.LETTER))
+    out = F.when(first.isin(" ", "\t", "\n", "\r"), "SPACE").when(letter, _word(value, after))
+    out = out.when(first.isin(",", ".", "(", ")", ";", "]", "{", "}"), "PUNCTUATION").when(value == "=", "OPERATOR")
     out = out.when(first == '"', _string_type(value, '"', True) if dialect == Dialect.MYSQL else closed('"', '"'))
     out = out.when(first == "'", _string_type(value, "'", dialect.backslash_escapes))
+    out = out.when(first.between("0", "9"), "NUMBER")
     out = out.when(value.startswith("--"), "COMMENT")
     out = out.when(value.startswith("/*"), F.when(value.endswith("*/") & (F.char_length(value) > 3), "MULTILINE_COMMENT").otherwise("ERROR"))
-    out = out.when(first.between("0", "9") | (first.isin("+", "-") & second.rlike("[0-9.]")), "NUMBER")
+    out = out.when(first.isin("+", "-") & second.rlike("[0-9.]"), "NUMBER")
     out = out.when(value == "*", "WILDCARD")
     if dialect == Dialect.MSSQL:
         out = out.when((first == "$") & second.rlike(D.LETTER), ident).when(first == "#", ident).when((first == "[") & (F.char_length(value) > 1), closed("[", "]")).when(first == "[", "ERROR")
@@ -81,25 +99,42 @@ def _type(value: Column, after: Column, dialect: Dialect) -> Column:
     return out.otherwise("UNKNOWN")
 
 
+def typed_tokens(sql: Column, dialect: Dialect) -> Column:
+    """array<struct<type, value>>"""
+
+    def typed(tokens: Column) -> Column:
+        return F.transform(tokens, lambda v, i: F.struct(_type(v, F.get(tokens, i + 1), dialect).alias("type"), v.alias("value")))
+
+    return let(raw_tokens(sql, dialect), typed)
+
+
+def is_table_indicator(kind: Column, value: Column) -> Column:
+    return kind.isin("COMMAND", "KEYWORD") & F.upper(value).isin(D.TABLE_INDICATORS)
+
+
+def is_simple_identifier(kind: Column, value: Column) -> Column:
+    return (kind == "QUOTED_IDENT") & value.rlike(rf"\A.{D.LETTER}{D.ALNUM}*+.\z")
+
+
+def described(kind: Column, value: Column) -> list[Column]:
+    """The fields of a token."""
+    digits = kind.isin(*NAMES, "FUNCTION") & value.rlike("[0-9]")
+    return [kind.alias("type"), value.alias("value"), is_table_indicator(kind, value).alias("is_table_indicator"), digits.alias("has_digits"), is_simple_identifier(kind, value).alias("is_simple_identifier")]
+
+
 def tokenize(sql: Column, dialect: Dialect | str | None = None) -> Column:
     """array<struct<type, value, is_table_indicator, has_digits, is_simple_identifier>>; joined values give the text.
 
     Null gives null. Text from a NUL character on is left out.
     """
-    dialect = Dialect.of(dialect)
+    return F.transform(typed_tokens(sql, Dialect.of(dialect)), lambda t: F.struct(*described(t["type"], t["value"])))
+
+
+def token_fields(value: Column, after: Column, dialect: Dialect | str | None = None) -> Column:
+    """struct<type, value> of one token text, given the next one (null at the end): for tokens as rows."""
+    return F.struct(_type(value, after, Dialect.of(dialect)).alias("type"), value.alias("value"))
 
-    def typed(tokens: Column) -> Column:
-        return F.transform(tokens, lambda v, i: F.struct(_type(v, F.get(tokens, i + 1), dialect).alias("type"), v.alias("value")))
 
-    def described(t: Column) -> Column:
-        kind, value = t["type"], t["value"]
-        name = kind.isin(*NAMES, "FUNCTION")
-        return F.struct(
-            kind.alias("type"),
-            value.alias("value"),
-            (kind.isin("COMMAND", "KEYWORD") & F.upper(value).isin(D.TABLE_INDICATORS)).alias("is_table_indicator"),
-            (name & value.rlike("[0-9]")).alias("has_digits"),
-            ((kind == "QUOTED_IDENT") & value.rlike(rf"\A.{D.LETTER}{D.ALNUM}*+.\z")).alias("is_simple_identifier"),
-        )
-
-    return F.transform(let(raw_tokens(sql, dialect), typed), described)
+def neighbours(sql: Column, dialect: Dialect | str | None = None) -> Column:
+    """array<struct<value, after>>: each token text with the next one."""
+    return let(raw_tokens(sql, Dialect.of(dialect)), lambda t: F.arrays_zip(t.alias("value"), F.slice(t, 2, F.greatest(F.size(t), F.lit(1))).alias("after")))

@@ -14,9 +14,9 @@ from inkstone.functions.tokens import tokenize
 def create_statement_view(df: DataFrame, name: str, sql_col: str = "sql", dialect: Dialect | str | None = None, obfuscator: ObfuscatorConfig | None = None, config: NormalizerConfig | None = None) -> SparkSession:
     """A temporary view with ``tokens``, ``obfuscated_sql``, ``normalized_sql`` and ``metadata`` beside the columns of ``df``.
 
-    A query pays only for the columns that it names.
+    A query pays only for the columns that it names; ``normalized_sql`` and ``metadata`` are made together.
     """
     sql = F.col(sql_col)
-    both = obfuscate_and_normalize(sql, obfuscator, config, dialect)
-    df.withColumns({"tokens": tokenize(sql, dialect), "obfuscated_sql": obfuscate(sql, obfuscator, dialect), "normalized_sql": both["sql"], "metadata": both["metadata"]}).createOrReplaceTempView(name)
+    made = df.withColumns({"tokens": tokenize(sql, dialect), "obfuscated_sql": obfuscate(sql, obfuscator, dialect), "__made": obfuscate_and_normalize(sql, obfuscator, config, dialect)})
+    made.withColumns({"normalized_sql": F.col("__made.sql"), "metadata": F.col("__made.metadata")}).drop("__made").createOrReplaceTempView(name)
     return df.sparkSession

@@ -1,3 +1,3 @@
-from inkstone.operators.statements import fingerprint_counts, token_rows, with_normalized, with_obfuscated, with_tokens
+from inkstone.operators.statements import distinct_statements, fingerprint_counts, token_rows, with_normalized, with_obfuscated, with_tokens
 
-__all__ = ["fingerprint_counts", "token_rows", "with_normalized", "with_obfuscated", "with_tokens"]
+__all__ = ["distinct_statements", "fingerprint_counts", "token_rows", "with_normalized", "with_obfuscated", "with_tokens"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from inkstone.functions.dialects import Dialect
 from inkstone.functions.normalize import NormalizerConfig, normalize, obfuscate_and_normalize
 from inkstone.functions.obfuscate import ObfuscatorConfig, obfuscate
-from inkstone.functions.tokens import tokenize
+from inkstone.functions.tokens import described, neighbours, token_fields, tokenize
 
 
 def _by_dialect(df: DataFrame, dialect: Dialect | str | None, dialect_col: str | None, of: Callable[[Dialect], Column]) -> Column:
@@ -32,8 +32,11 @@ def with_tokens(df: DataFrame, sql_col: str = "sql", dialect: Dialect | str | No
 def token_rows(df: DataFrame, sql_col: str = "sql", dialect: Dialect | str | None = None, dialect_col: str | None = None) -> DataFrame:
     """One row per token, with its position from 0; the other columns but the text stay."""
     kept = [c for c in df.columns if c != sql_col]
-    rows = with_tokens(df, sql_col, dialect, dialect_col, "__tokens")
-    return rows.select(*kept, F.posexplode("__tokens").alias("pos", "token")).select(*kept, "pos", "token.*")
+    texts = df.withColumn("__tokens", _by_dialect(df, dialect, dialect_col, lambda d: neighbours(F.col(sql_col), d)))
+    # typed as rows, where expressions are compiled; fields that nobody asks for are left out
+    rows = texts.select(*df.columns, F.posexplode("__tokens").alias("pos", "__t"))
+    rows = rows.withColumn("__t", _by_dialect(df, dialect, dialect_col, lambda d: token_fields(F.col("__t.value"), F.col("__t.after"), d)))
+    return rows.select(*kept, "pos", *described(F.col("__t.type"), F.col("__t.value")))
 
 
 def with_obfuscated(df: DataFrame, config: ObfuscatorConfig | None = None, sql_col: str = "sql", dialect: Dialect | str | None = None, dialect_col: str | None = None, out: str = "obfuscated_sql") -> DataFrame:
@@ -50,7 +53,15 @@ def with_normalized(df: DataFrame, config: NormalizerConfig | None = None, obfus
     return made.withColumns({"normalized_sql": F.col("__made.sql"), "metadata": F.col("__made.metadata")}).drop("__made")
 
 
+def distinct_statements(df: DataFrame, *cols: str) -> DataFrame:
+    """Each distinct row of ``cols`` with the number of ``statements`` that it stands for. Logs repeat their statements, and to
+    count a text is far cheaper than to read it."""
+    return df.groupBy(*cols).agg(F.count("*").alias("statements"))
+
+
 def fingerprint_counts(df: DataFrame, obfuscator: ObfuscatorConfig | None = None, config: NormalizerConfig | None = None, sql_col: str = "sql", dialect: Dialect | str | None = None, dialect_col: str | None = None) -> DataFrame:
-    """Statements per fingerprint, that is per obfuscated and normalized text. Counts are summed before the shuffle."""
-    made = with_normalized(df.select(sql_col, *([dialect_col] if dialect_col else [])), config, obfuscator or ObfuscatorConfig(), sql_col, dialect, dialect_col)
-    return made.groupBy("normalized_sql").agg(F.count("*").alias("statements"))
+    """Statements per fingerprint, that is per obfuscated and normalized text. Equal texts are read once; counts are summed
+    before each shuffle."""
+    texts = distinct_statements(df, sql_col, *([dialect_col] if dialect_col else []))
+    made = with_normalized(texts, config, obfuscator or ObfuscatorConfig(), sql_col, dialect, dialect_col)
+    return made.groupBy("normalized_sql").agg(F.sum("statements").alias("statements"))

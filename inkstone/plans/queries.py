@@ -6,17 +6,22 @@ hand from the rules, with values and counts from plain SQL; nothing of them come
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkstone import cli
 from inkstone.functions.dialects import Dialect
-from inkstone.functions.normalize import NormalizerConfig
-from inkstone.functions.obfuscate import ObfuscatorConfig
+from inkstone.functions.normalize import NormalizerConfig, normalize, obfuscate_and_normalize
+from inkstone.functions.obfuscate import ObfuscatorConfig, obfuscate, obfuscate_token_value
 from inkstone.functions.tokens import tokenize
-from inkstone.operators.statements import fingerprint_counts, token_rows, with_normalized, with_obfuscated
+from inkstone.functions.views import create_statement_view
+from inkstone.operators.statements import distinct_statements, fingerprint_counts, token_rows, with_normalized, with_obfuscated
+from inkstone.sources.statements import read_statements, spread, write_results
+from inkstone.streaming.statements import windowed_fingerprints
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,7 +37,7 @@ def registered(oracle: str):
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def said(*parts: str | Column) -> Column:
@@ -173,11 +178,19 @@ STATEMENTS = {
 }
 
 
-def by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prioritised(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.substring("o_orderpriority", 1, 1)
     text = reduce(lambda c, kv: c.when(k == kv[0], kv[1]), list(STATEMENTS.items())[1:], F.when(k == "1", STATEMENTS["1"]))
-    rows = read(spark, sf_dir, "orders").select(k.alias("k"), text.alias("sql"))
-    return with_normalized(rows, NormalizerConfig(collect_tables=True, collect_commands=True, collect_comments=True, collect_procedures=True))
+    return read(spark, sf_dir, "orders").select(text.alias("sql"))
+
+
+def by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = NormalizerConfig(collect_tables=True, collect_commands=True, collect_comments=True, collect_procedures=True)
+    return with_normalized(distinct_statements(prioritised(spark, sf_dir), "sql"), every)
+
+
+def summed(df: DataFrame, column: str) -> DataFrame:
+    return df.groupBy(column).agg(F.sum("statements").alias("statements"))
 
 
 def metadata_oracle(kind: str, *values: str) -> str:
@@ -186,7 +199,7 @@ def metadata_oracle(kind: str, *values: str) -> str:
 
 
 def metadata_counts(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    return counted(by_priority(spark, sf_dir).select(F.array_join(f"metadata.{kind}", "|").alias(kind)), kind)
+    return summed(by_priority(spark, sf_dir).select(F.array_join(f"metadata.{kind}", "|").alias(kind), "statements"), kind)
 
 
 @registered(metadata_oracle("tables", "a|b|d", "a", "a|b", "", ""))
@@ -214,7 +227,7 @@ SELECT v.size::INTEGER AS size, count(*) AS statements FROM orders JOIN (VALUES
 ('1', strlen('abd') + strlen('SELECTJOIN') + strlen('/* join */')), ('2', strlen('a') + strlen('INSERT') + strlen('-- add')), ('3', strlen('ab') + strlen('UPDATEDELETE')),
 ('4', strlen('CREATESELECT') + strlen('p')), ('5', strlen('SELECT') + strlen('-- one'))) v(k, size) ON v.k = substr(o_orderpriority, 1, 1) GROUP BY 1""")
 def metadata_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counted(by_priority(spark, sf_dir).select(F.col("metadata.size").alias("size")), "size")
+    return summed(by_priority(spark, sf_dir).select(F.col("metadata.size").alias("size"), "statements"), "size")
 
 
 @registered("""
@@ -222,7 +235,7 @@ SELECT v.normalized_sql, count(*) AS statements FROM orders JOIN (VALUES
 ('1', 'WITH c AS ( SELECT * FROM a ) SELECT * FROM c, b JOIN d ON c.x = d.x'), ('2', 'INSERT INTO a ( x ) VALUES ( ? )'), ('3', 'UPDATE a SET x = ?; DELETE FROM b'),
 ('4', 'CREATE PROCEDURE p AS SELECT ?'), ('5', 'SELECT ?')) v(k, normalized_sql) ON v.k = substr(o_orderpriority, 1, 1) GROUP BY 1""")
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_counts(by_priority(spark, sf_dir).select("sql"))
+    return fingerprint_counts(prioritised(spark, sf_dir))
 
 
 @registered("""
@@ -246,3 +259,143 @@ def dialect_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "region").select(F.explode(F.array(*[F.struct(F.lit(d).alias("dialect"), F.lit(b).alias("bind")) for d, b in cases])).alias("c")).select("c.*")
     first = token_rows(rows.withColumn("sql", F.col("bind")), dialect_col="dialect").where("pos = 0")
     return first.groupBy("dialect", "bind", "type").agg(F.count("*").alias("statements"))
+
+
+def by_case(name: str, result: Callable[[Column], Column], cases: list[tuple[str, str]]) -> None:
+    """Registers a query of statements in which {} stands for a supplier's key, and what each must give."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        texts = F.array(*[F.struct(F.lit(i).alias("case_no"), F.lit(text).alias("text")) for i, (text, _) in enumerate(cases)])
+        rows = read(spark, sf_dir, "supplier").select("s_suppkey", F.explode(texts).alias("c")).select("s_suppkey", "c.*")
+        made = rows.select("case_no", "s_suppkey", F.replace("text", F.lit("{}"), F.col("s_suppkey").cast("string")).alias("sql"))
+        return made.select("case_no", "s_suppkey", result(F.col("sql")).alias("result"))
+
+    quoted = ", ".join("({}, '{}')".format(i, want.replace("'", "''")) for i, (_, want) in enumerate(cases))
+    QUERIES[name] = query
+    ORACLES[name] = f"SELECT v.case_no, s_suppkey, replace(v.want, '{{}}', s_suppkey::VARCHAR) AS result FROM supplier, (VALUES {quoted}) v(case_no, want)"
+
+
+def listed(dialect: str = "") -> Callable[[Column], Column]:
+    """Type and text of each token but spaces."""
+    return lambda sql: F.array_join(F.transform(F.filter(tokenize(sql, dialect), lambda t: t["type"] != "SPACE"), lambda t: F.concat_ws(":", t["type"], t["value"])), " ")
+
+
+def normalized(config: NormalizerConfig | None = None, dialect: str = "", obfuscator: ObfuscatorConfig | None = None) -> Callable[[Column], Column]:
+    return lambda sql: (normalize(sql, config, dialect) if obfuscator is None else obfuscate_and_normalize(sql, obfuscator, config, dialect))["sql"]
+
+
+by_case(
+    "tokens_numbers",
+    listed(),
+    [
+        ("SELECT 0x{}F", "COMMAND:SELECT NUMBER:0x{}F"),
+        ("017 {}", "NUMBER:017 NUMBER:{}"),
+        ("019", "NUMBER:01 NUMBER:9"),
+        ("1e {}.5", "NUMBER:1e NUMBER:{}.5"),
+        ("1.2.3,{}e-7", "NUMBER:1.2.3 PUNCTUATION:, NUMBER:{}e-7"),
+        ("id=-{}", "IDENT:id OPERATOR:=- NUMBER:{}"),
+        ("id = -{}", "IDENT:id OPERATOR:= NUMBER:-{}"),
+    ],
+)
+by_case(
+    "tokens_open_and_quoted",
+    listed(),
+    [
+        ("SELECT /* open {}", "COMMAND:SELECT ERROR:/* open {}"),
+        ("SELECT 'open {}", "COMMAND:SELECT INCOMPLETE_STRING:'open {}"),
+        ('"open {}', 'ERROR:"open {}'),
+        ("$t$ body {} $t$", "DOLLAR_QUOTED_STRING:$t$ body {} $t$"),
+        ("$t$ body {}", "ERROR:$t$ body {}"),
+        ("'it''s {}'", "STRING:'it' STRING:'s {}'"),
+        ("/* a {} */ -- b {}", "MULTILINE_COMMENT:/* a {} */ COMMENT:-- b {}"),
+    ],
+)
+by_case(
+    "tokens_signs",
+    listed(),
+    [
+        ("a{} @@ b", "IDENT:a{} JSON_OP:@@ IDENT:b"),
+        ("a @? b{}", "IDENT:a JSON_OP:@? IDENT:b{}"),
+        ("a{} @> b", "IDENT:a{} JSON_OP:@> IDENT:b"),
+        ("a=?", "IDENT:a OPERATOR:= OPERATOR:?"),
+        ("a=@p{}", "IDENT:a OPERATOR:= BIND_PARAMETER:@p{}"),
+        ("@@v{}", "SYSTEM_VARIABLE:@@v{}"),
+        ("a #>> b{}", "IDENT:a JSON_OP:#>> IDENT:b{}"),
+    ],
+)
+by_case(
+    "tokens_names",
+    listed(),
+    [
+        ("a{}\0b", "IDENT:a{}"),
+        ("SELECT caf\u00e9{}", "COMMAND:SELECT IDENT:caf\u00e9{}"),
+        ("\u00e9t\u00e9(", "IDENT:\u00e9t\u00e9 PUNCTUATION:("),
+        ("FROM={}", "IDENT:FROM OPERATOR:= NUMBER:{}"),
+        ("FROM(", "KEYWORD:FROM PUNCTUATION:("),
+        ("dir/file{}", "IDENT:dir/file{}"),
+        ("v$session{}", "IDENT:v$session{}"),
+        ("sum{}(x)", "FUNCTION:sum{} PUNCTUATION:( IDENT:x PUNCTUATION:)"),
+    ],
+)
+by_case(
+    "obfuscate_unchanged",
+    lambda sql: obfuscate(sql),
+    [
+        ("SELECT 1 -- {}", "SELECT ? -- {}"),
+        ("SELECT 'x' /* '{}' */", "SELECT ? /* '{}' */"),
+        ("SELECT /* {}", "SELECT /* {}"),
+        ("\u00a0\u2003SELECT {}\u3000\n", "SELECT ?"),
+        ('SELECT "c{}" FROM t{}', 'SELECT "c{}" FROM t{}'),
+        ("SELECT $t${}$t$, $1", "SELECT ?, $1"),
+    ],
+)
+by_case("obfuscate_token", lambda sql: F.concat_ws(" ", obfuscate_token_value(F.lit("NUMBER"), sql), obfuscate_token_value(F.lit("IDENT"), sql, config=ObfuscatorConfig(replace_digits=True)), obfuscate_token_value(F.lit("STRING"), sql, F.lit("JSON_OP"), ObfuscatorConfig(keep_json_path=True))), [("7x{}", "? ?x? 7x{}")])
+by_case("normalize_names_mssql", normalized(dialect="mssql"), [("SELECT t.[Col{}] FROM  [db].[t]", "SELECT t.Col{} FROM db.t"), ("SELECT #tmp{}.a FROM #tmp{}", "SELECT #tmp{}.a FROM #tmp{}")])
+by_case(
+    "normalize_statements",
+    normalized(obfuscator=ObfuscatorConfig()),
+    [
+        ("SELECT * FROM t WHERE a = :name{}", "SELECT * FROM t WHERE a = :name{}"),
+        ("MERGE INTO t{} USING s ON t.id = s.id WHEN MATCHED THEN UPDATE SET a = 1", "MERGE INTO t{} USING s ON t.id = s.id WHEN MATCHED THEN UPDATE SET a = ?"),
+        ("SELECT a, row_number() OVER (PARTITION BY b ORDER BY c DESC) FROM t{}", "SELECT a, row_number ( ) OVER ( PARTITION BY b ORDER BY c DESC ) FROM t{}"),
+        ("INSERT INTO t{} (a, b) VALUES ({}, 'x'), (2, 'y')", "INSERT INTO t{} ( a, b ) VALUES ( ? ), ( ? )"),
+        ("SELECT a FROM t{} WHERE b BETWEEN 1 AND 2 OR c LIKE '%x'\n  LIMIT 5;", "SELECT a FROM t{} WHERE b BETWEEN ? AND ? OR c LIKE ? LIMIT ?"),
+    ],
+)
+
+
+@registered("SELECT 'SELECT ? FROM t?' AS value, count(*) AS statements FROM supplier")
+def cli_over_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command line's rows, over statements that were written and read again as files of lines."""
+    path = f"{shared_folder(spark)}/statements-{uuid.uuid4().hex}"
+    write_results(read(spark, sf_dir, "supplier").select(said("SELECT ", F.col("s_suppkey"), " FROM t", F.col("s_nationkey")).alias("value")), path, "text")
+    return counted(cli.results(read_statements(spark, path, "lines"), cli.parser().parse_args(["-replace-digits=true"])), "value")
+
+
+@registered("SELECT 'SELECT ? FROM t' AS obfuscated_sql, 'SELECT ? FROM t' AS normalized_sql, 't' AS tables, count(*) AS statements FROM supplier")
+def view_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "supplier").select(said("SELECT ", F.col("s_suppkey"), " FROM t").alias("sql"))
+    create_statement_view(rows, "inkstone_statements", config=NormalizerConfig(collect_tables=True))
+    return spark.sql("SELECT obfuscated_sql, normalized_sql, array_join(metadata.tables, ',') AS tables, count(*) AS statements FROM inkstone_statements GROUP BY ALL")
+
+
+@registered("SELECT date_trunc('hour', ts) AS window_start, 'SELECT ? WHERE k = ?' AS normalized_sql, count(*) AS statements FROM events WHERE ts IS NOT NULL GROUP BY 1")
+def stream_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts per hour and fingerprint of the events as a stream, each event as a statement."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    path = f"{sf_dir}/events.parquet"
+    # a pattern, so that the table may be a file or a folder
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")
+    statements = events.where("ts IS NOT NULL").select(F.col("ts").cast("timestamp").alias("at"), said("SELECT '", F.col("ts"), "' WHERE k = 1").alias("sql"))
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/counts")
+
+    counts = windowed_fingerprints(statements, "at", "1 hour")
+    counts.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/counts").select("window_start", "normalized_sql", "statements")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, or the warehouse where it is unset: both are shared by a cluster."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")

@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer parts than there are cores, dealt over all of them: the work on a statement is far more than moving it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_statements(spark: SparkSession, path: str, format: str = "text", sql_col: str = "sql", **options) -> DataFrame:
     """Statements in a column ``sql``.
 
