@@ -18,11 +18,13 @@ through, and output columns replace those of the same name.
 
 from __future__ import annotations
 
+import pkgutil
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -58,6 +60,17 @@ TEMPLATES: dict[str, tuple[str, str]] = {
     "mpl-notice": ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 }
 
+# Public licences whose whole texts are files beside this one.
+WHOLE_TEXTS = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+
+
+@lru_cache(maxsize=1)
+def standard_templates() -> dict[str, tuple[str, str]]:
+    """Notices and short licences, and the whole texts. Read on the driver; tasks get them with the function that they run."""
+    whole = {f"{name.lower()}-whole": (spdx, pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode()) for name, spdx in WHOLE_TEXTS.items()}
+    return TEMPLATES | whole
+
+
 _WORD = re.compile(r"[^\W_]+")
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
 
@@ -222,7 +235,7 @@ def windows(grams: list[tuple[str, str]], wanted: frozenset, threshold: float) -
 
 def find_licenses(text: Column, templates: dict[str, tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> Column:
     """Array of matches, in code points."""
-    texts = TEMPLATES if templates is None else templates
+    texts = standard_templates() if templates is None else templates
 
     @F.arrow_udf(FOUND)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -11,10 +11,11 @@ standard deviations) are dropped. Pairs that remain are verified on their full s
 Groups never turn into all their pairs. In each bucket every class is compared with one pivot, the least class: first over a
 few bands, which join a group of near copies by few pairs a member; then, over all bands, where class and pivot are not in
 one component yet. What is left are buckets that still hold more than one component, as those of texts on one template that
-are not similar enough to be linked. Their classes are compared by a *prefix filter* and not by bucket: with the shingles of
-all of them ordered from the rarest, two sets that are similar enough share one of the first ``n - ceil(0.75 n) + 1``. So
-what many have in common makes no pair, and no pair is lost. Of the classes that share a rare shingle, those of its largest
-component are not compared with each other.
+are not similar enough to be linked. Their classes are compared by a *prefix filter* and not by bucket. Sets of n <= m shingles
+that are similar enough share 6/7 n and 3/4 m at least (of which 0.75 x (n + m) / 1.75 is more than either). So with the
+shingles of all of them ordered from the rarest, one of the first ``n - ceil(6/7 n) + 1`` of the smaller set is among the
+first ``m - ceil(3/4 m) + 1`` of the larger. What many have in common makes no pair then, and no pair is lost. Of the classes
+that share a rare shingle, those of its largest component are not compared with each other.
 
 Components come from repeated min-label joins on the verified links; nothing of this goes through the driver but counts (of
 shingles, in ``RARITY`` hash buckets; they order the shingles, and any order gives the same links).
@@ -219,14 +220,28 @@ def rarity(texts: DataFrame) -> np.ndarray:
 
 
 def prefix(text: Column, counts: np.ndarray) -> Column:
-    """The rarest shingles of a set, one of which any similar set holds too. Those that are in no other set are left out."""
+    """The rarest shingles of a set, one of which any similar set holds too, from the rarest; the first ``short`` of them are those
+    that a larger set must hold. Shingles that are in no other set are left out."""
+    kind = pa.struct([("short", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
-    def choose(s: np.ndarray) -> np.ndarray:
-        n = counts[_place(s)]
-        first = np.lexsort((s, n))[: len(s) + (-LINK[0] * len(s)) // LINK[1] + 1]
-        return s[first[n[first] > 1]]
+    @F.arrow_udf("struct<short:long,tokens:array<long>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        shingler = Shingler()
+        for batch in batches:
+            short, tokens = [], []
+            for value in batch.to_pylist():
+                s = shingler.of(value)
+                n = counts[_place(s)]
+                order = np.lexsort((s, n))
+                first = order[: len(s) - -(-LINK[0] * len(s) // LINK[1]) + 1]
+                shared = n[first] > 1
+                short.append(int(shared[: len(s) - -(-2 * LINK[0] * len(s) // (LINK[0] + LINK[1])) + 1].sum()))
+                tokens.append(s[first[shared]].view(np.int64))
+            yield pa.StructArray.from_arrays([pa.array(short, pa.int64()), _lists(tokens)], fields=list(kind))
+        del shingler
+        release()
 
-    return _of_sets(text, choose)
+    return run(F.encode(text, "UTF-8"))
 
 
 def sized_alike(n: Column, m: Column) -> Column:
@@ -345,17 +360,20 @@ def sharing_rare(held: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFra
     """Pairs (a, an, b, bn) of classes (id, n, component) that may be similar enough: of different components, with a shingle of
     both prefixes in common, and alike in size. ``texts``: (id, text) of the classes.
 
-    For each shingle, the classes outside its largest component are joined with all; so a large group of near copies is
-    never joined with itself.
+    For each shingle, the classes outside its largest component are joined with all, and those inside with those outside; so a
+    large group of near copies is never joined with itself.
     """
-    tokens = texts.select("id", F.explode(prefix(F.col("text"), rarity(texts))).alias("token")).join(held, "id")
+    found = texts.select("id", prefix(F.col("text"), rarity(texts)).alias("p")).select("id", "p.short", F.posexplode("p.tokens").alias("pos", "token"))
+    tokens = found.select("id", "token", (F.col("pos") < F.col("short")).alias("short")).join(held, "id")
     tokens = scratch.keep(tokens, "tokens")
-    by_component = tokens.groupBy("token", "component").agg(F.count("*").alias("size"))
-    main = by_component.groupBy("token").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.count("*").alias("components")).where("components > 1").select("token", "main")
+    by_component = tokens.groupBy("token", "component").agg(F.count("*").alias("size"), F.max("short").alias("short"))
+    main = by_component.groupBy("token").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.count("*").alias("components"), F.max("short").alias("short")).where("components > 1 and short").select("token", "main")
     met = scratch.keep(tokens.join(main, "token"), "met")
-    other = met.select("token", *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "component")])
-    across = met.where("component != main").join(other, "token")
-    across = across.where((F.col("component") != F.col("o_component")) & ((F.col("o_component") == F.col("main")) | (F.col("id") > F.col("o_id"))) & sized_alike(F.col("n"), F.col("o_n")))
+    small = met.where("short").drop("short")
+    large = met.select("token", *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "component")])
+    inside = F.col("component") == F.col("main")
+    across = small.where(~inside).join(large, "token").unionByName(small.where(inside).join(large.join(main, "token").where("o_component != main").drop("main"), "token"))
+    across = across.where((F.col("component") != F.col("o_component")) & (F.col("n") <= F.col("o_n")) & sized_alike(F.col("n"), F.col("o_n")))
     first = F.col("id") > F.col("o_id")
     side = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
     return across.select(side("id", "o_id").alias("a"), side("n", "o_n").alias("an"), side("o_id", "id").alias("b"), side("o_n", "n").alias("bn"))

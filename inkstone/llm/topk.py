@@ -172,7 +172,7 @@ class PivotIndex:
             scores[qid.to_numpy()[:, None] == ids[None, :]] = -np.inf
             floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k] if scores.shape[1] >= k else np.full(len(x), -np.inf)
             squared = (x**2).sum(1)
-            floor = below(floor, np.sqrt(squared * largest) * width * 2.0**-50)
+            floor = np.minimum(below(floor, np.sqrt(squared * largest) * width * 2.0**-50), LONG * (1 - 2.0**-40))
             slack = SLACK * (1 + np.sqrt(squared) + np.sqrt(largest))
             return pd.DataFrame({"d": list(d), "floor": floor, "reach": np.sqrt(np.maximum(squared + largest - 2 * floor, 0)) + slack, "squared": squared, "slack": slack})
 

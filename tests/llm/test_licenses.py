@@ -117,3 +117,15 @@ def test_windows_against_all_runs():
         grams = list(zip(words, words[1:], strict=False))
         threshold = draw.choice([0.5, 0.66, 0.8])
         assert licenses.windows(grams, wanted, threshold) == plain_windows(grams, wanted, threshold)
+
+
+def test_whole_licences(spark):
+    """A complete file of each licence is one match of the whole text."""
+    whole = {name: text for name, (_, text) in licenses.standard_templates().items() if name.endswith("-whole") or name in ("mit", "isc", "bsd-2-full", "bsd-3-full", "unlicense-full")}
+    assert len(whole) == 12
+    names = sorted(whole)
+    docs = awkward(spark, ["Copyright 2020 Someone\n\n" + whole[n] for n in names])
+    rows = licenses.scan_licenses(docs).orderBy("doc_id").collect()
+    for name, row in zip(names, rows, strict=True):
+        spdx = licenses.standard_templates()[name][0]
+        assert [(m.license, m.template) for m in row.matches if m.unit == "text"] == [(spdx, name)]

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from inkstone.llm import neardup
+from inkstone.llm.scratch import Scratch
 from tests.llm.common import awkward, documents, empty, run
 
 
@@ -86,3 +87,45 @@ def test_a_chain(spark):
     texts = [" ".join(f"w{k}" for k in range(i * 8, i * 8 + 100)) for i in range(30)]
     want = check(neardup.near_duplicates(awkward(spark, texts)).collect(), list(enumerate(texts)))
     assert {c for _, c in want.values()} == {0}
+
+
+def test_a_template_makes_few_pairs(spark, monkeypatch):
+    """3,000 texts that share two thirds of their shingles, too few for links, but for some near copies among them."""
+    rng = random.Random(4)
+    common = " ".join(f"t{k}" for k in range(200))
+    texts = [common + " " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(50)) for _ in range(3000)]
+    texts += [texts[i][:-12] + " changed" for i in (5, 17, 99)]
+    compared = []
+    alike = neardup._alike
+    monkeypatch.setattr(neardup, "_alike", lambda pairs, sketches: (compared.append(pairs.count()), alike(pairs, sketches))[1])
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(awkward(spark, texts)).collect()}
+    assert got == {i: i for i in range(3000)} | {3000: 5, 3001: 17, 3002: 99}
+    # pivots: a bucket's members once each; prefixes: no pair but of copies
+    assert sum(compared) < 60 * len(texts) and compared[-1] < 100
+
+
+def test_rare_shingles_find_every_pair(spark):
+    """All pairs of one component apiece at similarities from 0.5 to 0.9: none that is similar enough is left out."""
+    rng = random.Random(6)
+    base = [f"b{k}" for k in range(120)]
+    texts = []
+    for _ in range(80):
+        t = list(base)
+        for k in rng.sample(range(24), rng.randrange(0, 6)):
+            t[5 * k] = f"x{rng.randrange(3)}"
+        texts.append(" ".join(t))
+    sets = [shingles(t) for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    held = spark.createDataFrame([(i, len(s), i) for i, s in enumerate(sets)], "id long, n long, component long")
+    pairs = neardup.sharing_rare(held, rows, Scratch(spark, "test"))
+    got = {(r.a, r.b) for r in pairs.collect()}
+    want = {(i, j) for i in range(80) for j in range(i) if 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j]) and texts[i] != texts[j]}
+    assert want and want <= got and all(a > b for a, b in got)
+
+
+def test_one_id_with_two_texts(spark):
+    """Rows of one id are of one component; one of their texts stands for them, the same one each time."""
+    rows = [(1, "a b c d e f"), (1, "u v w x y z"), (2, "a b c d e f"), (3, "u v w x y z"), (4, "q r s t u v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs.repartition(n)).collect()) for n in (1, 3)]
+    assert got[0] == got[1] == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 2, 4)]

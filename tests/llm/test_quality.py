@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from inkstone.llm import quality
+from inkstone.llm.sampling import least_hashed
 from tests.llm.common import awkward, documents, empty, run
 
 
@@ -52,7 +53,40 @@ def test_resample_is_the_top_k_with_ties(spark):
     rows = [(i, float(i % 50), i % 7 != 0) for i in range(2000)]
     df = spark.createDataFrame(rows, "doc_id long, gumbel double, accepted boolean")
     for k in (0, 1, 333, 1999, 5000):
-        got = {r.doc_id for r in quality.resample(df, k).where(F.col("sampled")).collect()} if k else set()
+        got = {r.doc_id for r in quality.resample(df, k).where(F.col("sampled")).collect()}
         assert got == {i for i, _, _ in sorted((r for r in rows if r[2]), key=lambda r: (-r[1], r[0]))[:k]}
     last = quality.largest(df, "gumbel", "doc_id", 500, F.col("accepted"), bins=7, few=10)
     assert last == sorted(((g, i) for i, g, a in rows if a), key=lambda r: (-r[0], r[1]))[499]
+
+
+def test_draw_with_one_key_and_null_ids(spark, monkeypatch):
+    """All keys tie, and the rows of the tied key are too many for the driver: the k-th id is found by ranges."""
+    ids = [None, *range(1, 3000)]
+    df = spark.createDataFrame([(i, 1.0, True) for i in ids], "doc_id long, gumbel double, accepted boolean").repartition(5)
+    monkeypatch.setattr(quality.largest, "__defaults__", (4096, 100))
+    for k in (1, 2, 700, 2999):
+        got = {r.doc_id for r in quality.resample(df, k).where("sampled").collect()}
+        assert got == set(ids[:k])
+    assert quality.resample(df, -1).where("sampled").count() == 0
+
+
+def test_query_draw_without_the_module(spark, sf_dir):
+    """``sampled`` from the query's own weights and the stated noise: the largest of those kept."""
+    got = run(spark, "op7_quality", sf_dir)
+    rows = spark.createDataFrame(got[["doc_id"]])
+    hashes = {r.doc_id: r.h for r in rows.select("doc_id", F.xxhash64(F.lit("gumbel"), "doc_id").alias("h")).collect()}
+    noise = {i: -np.log(-np.log((((h % (1 << 64)) >> 11) + 0.5) * 2.0**-53)) for i, h in hashes.items()}
+    kept = sorted((r.doc_id for r in got.itertuples() if r.kept), key=lambda i: -(dict(zip(got.doc_id, got.log_weight, strict=True))[i] + noise[i]))
+    assert set(got.doc_id[got.sampled]) == set(kept[: len(got) // 2])
+
+
+def test_samples_of_a_hot_group(spark):
+    """The least hashes of each group, where one holds most rows; nothing is lost and no group is ranked whole."""
+    rows = [(i, "hot" if i % 10 else "cold" if i % 20 else "few") for i in range(20_000)] + [(20_000, None), (20_001, "one")]
+    df = spark.createDataFrame(rows, "id long, g string").repartition(7)
+    hashed = {r.id: r.h for r in df.select("id", F.shiftrightunsigned(F.xxhash64(F.lit("s"), "id"), 1).alias("h")).collect()}
+    for k in (1, 50, 1500):
+        got = sorted((r.g, r.id) for r in least_hashed(df, "id", "g", k, "s").collect())
+        want = sorted((g, i) for g in ("hot", "cold", "few", "one") for i in sorted((i for i, x in rows if x == g), key=hashed.get)[:k])
+        assert got == want
+    assert least_hashed(df.limit(0), "id", "g", 5, "s").count() == 0

@@ -41,3 +41,20 @@ def test_repeated_rows_and_empty_table(spark, library):
 def test_any_text(library, text):
     machine = tokencount.transducer(PATH)
     assert (machine.count(tokencount.SPACE + tokencount.escape(text)) if text else 0) == library(text)
+
+
+@pytest.mark.parametrize("text", ["aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "internationalisation", "日本語のテキスト漢字", "a  b\n\nc"])
+def test_wrong_entry_states_are_mended(spark, library, text):
+    """Without characters to go over first, chunks begin in states that aren't theirs; rounds add the right ones."""
+    rows = tokencount.token_counts(awkward(spark, [text, None, text]), PATH, chunk=7, warm=0).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in rows) == [(0, library(text)), (1, 0), (2, library(text))]
+
+
+def test_maps_compose(library):
+    machine = tokencount.transducer(PATH)
+    text = tokencount.SPACE + tokencount.escape("the state after one part is where the next one begins 漢字漢字 " * 9)
+    state, total = tokencount.START, 0
+    for k in range(0, len(text), 11):
+        n, state = machine.map(text[k : k + 11], state)
+        total += n
+    assert total == machine.count(text) == library(text[1:].replace(tokencount.SPACE, " "))

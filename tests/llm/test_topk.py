@@ -52,3 +52,27 @@ def test_a_hot_group_and_many_rings(spark, ring):
     rows = [(i, [0.5] * 8) for i in range(200)] + [(200 + i, (0.5 + 0.01 * rng.standard_normal(8)).tolist()) for i in range(200)] + [(400 + i, rng.standard_normal(8).tolist()) for i in range(200)]
     rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
     assert search(spark, rows, ring=ring) == plain(scaled(rows), 3, lambda i: i % 2 == 0)
+
+
+def test_scores_beyond_doubles(spark):
+    """Components of 3e8 and more: sums beyond 2^53 that differ in their last digits."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-(3 * 10**8), 3 * 10**8, 6)]) for i in range(60)]
+    rows += [(60 + i, [3e8, 3e8, 3e8, 3e8, 3e8, float(3 * 10**8 - i)]) for i in range(20)]
+    vectors = spark.createDataFrame(rows, "id long, v array<double>")
+    found = topk.PivotIndex(vectors, 4, ring=8).search(vectors.where("id % 3 = 0"))
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found.collect())
+    assert got == plain(rows, 4, lambda i: i % 3 == 0) and max(s for *_, s in got) > 2**53
+
+
+def test_scores_beyond_longs_are_clamped(spark):
+    vectors = spark.createDataFrame([(i, [s * 1e12, 1e12]) for i, s in enumerate((1.0, 1.0, -1.0, 3.0))], "id long, v array<double>")
+    got = topk.PivotIndex(vectors, 2).search(vectors.where("id = 0")).collect()
+    assert [(r["rank"], r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1, topk.LONG), (2, 3, topk.LONG)]
+
+
+def test_one_id_with_two_vectors_and_other_columns(spark):
+    rows = [(0, [1.0, 2.0], "a"), (0, [3.0, 0.0], "b"), (1, [1.0, 1.0], "c"), (1, [1.0, 1.0], "d"), (2, [0.0, 1.0], "e")]
+    vectors = spark.createDataFrame(rows, "id long, v array<double>, score string")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.PivotIndex(vectors, 2).search(vectors.where("id < 2")).collect())
+    assert got == plain([(0, [1.0, 2.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])], 2, lambda i: i < 2)
