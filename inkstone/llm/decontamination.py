@@ -276,7 +276,8 @@ class Index:
         if slop is not None and slop > self.most_slop:
             raise ValueError("the index leaves no gaps between documents for such a slop")
         spark, found = self.index.sparkSession, []
-        terms = lambda listed: spark.createDataFrame([(w.decode(),) for w in listed], "term string")
+        # the words of one slice
+        terms = lambda listed: F.broadcast(spark.createDataFrame([(w.decode(),) for w in listed], "term string"))
         for i, tests in enumerate(self.slices(slice_bytes)):
             counts = self.postings.join(terms(tests.vocabulary), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
             needed = tests.order({r.term.encode(): r.n for r in counts.collect()})
