@@ -14,7 +14,8 @@ one component yet. What is left are buckets that still hold more than one compon
 are not similar enough to be linked. Their classes are compared by a *prefix filter* and not by bucket. Sets of n <= m shingles
 that are similar enough share 6/7 n and 3/4 m at least (of which 0.75 x (n + m) / 1.75 is more than either). So with the
 shingles of all of them ordered from the rarest, one of the first ``n - ceil(6/7 n) + 1`` of the smaller set is among the
-first ``m - ceil(3/4 m) + 1`` of the larger. What many have in common makes no pair then, and no pair is lost. Of the classes
+first ``m - ceil(3/4 m) + 1`` of the larger; and where the first that they share has its place late in either order, too few
+are left after it, so the pair is not made. What many have in common makes no pair then, and no pair is lost. Of the classes
 that share a rare shingle, those of its largest component are not compared with each other.
 
 Components come from repeated min-label joins on the verified links; nothing of this goes through the driver but counts (of
@@ -220,30 +221,35 @@ def rarity(texts: DataFrame) -> np.ndarray:
 
 
 def prefix(text: Column, counts: np.ndarray) -> Column:
-    """The rarest shingles of a set, one of which any similar set holds too, from the rarest; the first ``short`` of them are those
-    that a larger set must hold. Shingles that are in no other set are left out."""
-    kind = pa.struct([("short", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    """The rarest shingles of a set, one of which any similar set holds too, each with its place in the set ordered from the
+    rarest. Shingles that are in no other set are left out, but have their places."""
+    kind = pa.struct([("places", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
 
-    @F.arrow_udf("struct<short:long,tokens:array<long>>")
+    @F.arrow_udf("struct<places:array<long>,tokens:array<long>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         shingler = Shingler()
         for batch in batches:
-            short, tokens = [], []
+            places, tokens = [], []
             for value in batch.to_pylist():
                 s = shingler.of(value)
                 n = counts[_place(s)]
-                order = np.lexsort((s, n))
-                first = order[: len(s) - -(-LINK[0] * len(s) // LINK[1]) + 1]
-                shared = n[first] > 1
-                short.append(int(shared[: len(s) - -(-2 * LINK[0] * len(s) // (LINK[0] + LINK[1])) + 1].sum()))
+                first = np.lexsort((s, n))[: len(s) - -(-LINK[0] * len(s) // LINK[1]) + 1]
+                shared = np.flatnonzero(n[first] > 1)
+                places.append(shared)
                 tokens.append(s[first[shared]].view(np.int64))
-            yield pa.StructArray.from_arrays([pa.array(short, pa.int64()), _lists(tokens)], fields=list(kind))
+            yield pa.StructArray.from_arrays([_lists(places), _lists(tokens)], fields=list(kind))
         del shingler
         release()
 
     return run(F.encode(text, "UTF-8"))
 
 
+def reachable(n: Column, place: Column, m: Column, other: Column) -> Column:
+    """Sets of n and m shingles whose first common shingle has these places share no more than what comes after it in either
+    set, and linked sets share ``LINK[0] * (n + m) / (LINK[0] + LINK[1])`` at least."""
+    return (LINK[0] + LINK[1]) * F.least(n - place, m - other) >= LINK[0] * (n + m)
+
+
 def sized_alike(n: Column, m: Column) -> Column:
     """Sets of which one is too small for the other cannot be linked."""
     return LINK[1] * F.least(n, m) >= LINK[0] * F.greatest(n, m)
@@ -363,17 +369,18 @@ def sharing_rare(held: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFra
     For each shingle, the classes outside its largest component are joined with all, and those inside with those outside; so a
     large group of near copies is never joined with itself.
     """
-    found = texts.select("id", prefix(F.col("text"), rarity(texts)).alias("p")).select("id", "p.short", F.posexplode("p.tokens").alias("pos", "token"))
-    tokens = found.select("id", "token", (F.col("pos") < F.col("short")).alias("short")).join(held, "id")
-    tokens = scratch.keep(tokens, "tokens")
+    found = texts.select("id", prefix(F.col("text"), rarity(texts)).alias("p")).select("id", F.explode(F.arrays_zip("p.places", "p.tokens")).alias("p")).select("id", "p.*")
+    tokens = found.select("id", F.col("places").alias("place"), F.col("tokens").alias("token")).join(held, "id")
+    tokens = scratch.keep(tokens.withColumn("short", reachable(F.col("n"), F.col("place"), F.col("n"), F.col("place"))), "tokens")
     by_component = tokens.groupBy("token", "component").agg(F.count("*").alias("size"), F.max("short").alias("short"))
     main = by_component.groupBy("token").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.count("*").alias("components"), F.max("short").alias("short")).where("components > 1 and short").select("token", "main")
     met = scratch.keep(tokens.join(main, "token"), "met")
     small = met.where("short").drop("short")
-    large = met.select("token", *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "component")])
+    large = met.select("token", *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "component", "place")])
     inside = F.col("component") == F.col("main")
     across = small.where(~inside).join(large, "token").unionByName(small.where(inside).join(large.join(main, "token").where("o_component != main").drop("main"), "token"))
     across = across.where((F.col("component") != F.col("o_component")) & (F.col("n") <= F.col("o_n")) & sized_alike(F.col("n"), F.col("o_n")))
+    across = across.where(reachable(F.col("n"), F.col("place"), F.col("o_n"), F.col("o_place")))
     first = F.col("id") > F.col("o_id")
     side = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
     return across.select(side("id", "o_id").alias("a"), side("n", "o_n").alias("an"), side("o_id", "id").alias("b"), side("o_n", "n").alias("bn"))
