@@ -166,6 +166,10 @@ class Page:
         if self.rows is not None:
             self.rows.append(np.array(row + rest if rest else row, np.int32))
 
+    def close(self) -> None:
+        """Forgets the stretches; their words' numbers are kept."""
+        self.stretches.clear()
+
     def name(self) -> int:
         """A digest of what is in the page."""
         return self.digest.intdigest() - (1 << 63)
@@ -216,9 +220,12 @@ def _pages(batches: Iterator[pa.RecordBatch], path: str, rows: bool) -> Iterator
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             page.add(doc_id, text)
             if page.size >= PAGE:
+                page.close()
                 yield page, kind
-                page = Page(page.split, rows)
+                del page  # before the next one begins
+                page = Page(splitter(path), rows)
     if page.ids:
+        page.close()
         yield page, kind
 
 
@@ -242,13 +249,18 @@ _BLOCKS = ["page", "bucket", "n", "packed"]
 
 
 def _word_blocks(path: str, buckets: int):
+    def blocks_of(page: Page) -> pa.RecordBatch:
+        words, _, sizes = page.words(buckets)
+        held = np.flatnonzero(sizes)
+        ends = np.cumsum(sizes[held])
+        packed = [block([w.encode() for w in words[end - n : end]]) for n, end in zip(sizes[held].tolist(), ends.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(held), page.name())), pa.array(held.astype(np.int32)), pa.array(sizes[held].astype(np.int32)), pa.array(packed, pa.binary())], _BLOCKS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page, _ in _pages(batches, path, rows=False):
-            words, _, sizes = page.words(buckets)
-            held = np.flatnonzero(sizes)
-            ends = np.cumsum(sizes[held])
-            packed = [block([w.encode() for w in words[end - n : end]]) for n, end in zip(sizes[held].tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), page.name())), pa.array(held.astype(np.int32)), pa.array(sizes[held].astype(np.int32)), pa.array(packed, pa.binary())], _BLOCKS)
+            yield blocks_of(page)
+            del page  # or it would stay while the next one is gathered
+        release()
 
     return run
 
@@ -257,6 +269,8 @@ def _page_rows(path: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page, kind in _pages(batches, path, rows=True):
             yield pa.RecordBatch.from_arrays([pa.array([page.name()], pa.int64()), pa.array([page.packed(kind, buckets)], pa.binary())], ["page", "packed"])
+            del page
+        release()
 
     return run
 
