@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm import bpe, decontamination, langid, licenses, neardup, oracles, pii, quality, sharding, tokencount, topk
+from inkstone.llm import bpe, decontamination, langid, licenses, neardup, ngramlm, oracles, pii, quality, repair, sharding, tokencount, topk, whitening
 from inkstone.llm.scratch import Scratch
 
 #: The part of all documents that op7 draws.
@@ -93,6 +93,21 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents")).drop("pii")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` is exact; beyond the range of a long, which takes over ten million vectors of common size, it is null."""
+    return whitening.components(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    found = ngramlm.lm_scores(table(spark, sf_dir, "documents"), held_out)
+    return found.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"), damage=True)
+
+
 def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
@@ -106,6 +121,9 @@ def queries() -> dict:
         "op8_language_id": op8_language_id,
         "op9_bpe": op9_bpe,
         "op10_pii": op10_pii,
+        "op11_whitening": op11_whitening,
+        "op12_lm_scores": op12_lm_scores,
+        "op13_repair": op13_repair,
     }
 
 
