@@ -11,8 +11,8 @@ blocks and sends each page back the counts of what the page asked for. So each d
 however often it occurs, and one that a third of all tokens are costs one entry a page. The number of buckets grows with the
 tokens. Nothing of the vocabulary is ever in one place; the driver gets totals and sums by bucket of counts.
 
-Words are told apart by their bytes, so that ``base_score`` is exact; bigrams by 64 bits of a hash, so among 10^9 distinct ones
-the chance that any two are taken as one is some three per cent.
+Words are told apart by their bytes, so that ``base_score`` is exact; bigrams by ``KEY_BITS`` bits of a hash, so that among 10^9
+distinct ones some seven pairs are taken as one. Keys are sent sorted, as differences, which leaves under five bytes each.
 
 Defined results: a null text is empty (its end alone is scored); a null id is in training and not held out. With no training
 document all counts are zero: ``base_score`` is log10(1) a token, ``score`` is finite too. Repeated rows and ids count as often
@@ -37,19 +37,20 @@ from inkstone.llm.scratch import Scratch
 #: Bytes of text in a page, but for a text that is longer.
 PAGE = 8 << 20
 #: Tokens for each bucket of words and bigrams.
-BUCKET = 3 << 20
+BUCKET = 2 << 20
 #: One of so many training documents gives the weights, not the counts, while the weights are learned.
 DELETED = 8
 #: Buckets of context counts: 0, 1, 2-3, 4-7 and so on.
 CONTEXTS = 64
 ROUNDS = 12
+KEY_BITS = 56
 #: Least weight of the uniform share, so that no word is impossible.
 FLOOR = 1e-6
 
 TRAIN, GONE, HELD_OUT = 0, 1, 2  # counted; counted, but not for the weights; only scored
 
-PAGES = "page long, ids array<{id}>, parts binary, lengths binary, words array<binary>, tokens binary, n_tokens long, n_train long, n_gone long"
-BLOCKS = "bucket int, page long, words array<binary>, word_counts binary, bigrams binary, bigram_counts binary"
+PAGES = "page long, ids array<{id}>, parts binary, lengths binary, words binary, tokens binary, n_tokens long, n_train long, n_gone long"
+BLOCKS = "bucket int, page long, words binary, word_counts binary, bigrams binary, bigram_counts binary"
 ANSWERS = "page long, bucket int, word_counts binary, bigram_counts binary, distinct long"
 COUNTED = "page long, ids array<{id}>, parts binary, lengths binary, tokens binary, words binary, pairs binary, distinct long"
 
@@ -68,6 +69,23 @@ def unpacked(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, n).T).view(dtype).reshape(n)
 
 
+def packed_words(words: pa.Array) -> bytes:
+    """A large binary array, compressed."""
+    lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.uint32)
+    start, end = (words.offset, words.offset + len(words))
+    offsets = np.frombuffer(words.buffers()[1], dtype=np.int64)[start : end + 1] if len(words) else np.zeros(1, dtype=np.int64)
+    data = np.frombuffer(words.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if len(words) and words.buffers()[2] else np.zeros(0, dtype=np.uint8)
+    head = packed(lengths)
+    return np.array([len(head)], dtype=np.int64).tobytes() + head + packed(data)
+
+
+def unpacked_words(b: bytes) -> pa.Array:
+    n = int(np.frombuffer(b[:8], dtype=np.int64)[0])
+    lengths, data = unpacked(b[8 : 8 + n], np.uint32), unpacked(b[8 + n :], np.uint8)
+    offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
 def _strings(column: pa.Array) -> pa.Array:
     return column.cast(pa.large_string()).fill_null("")
 
@@ -101,7 +119,7 @@ def pages(rows: DataFrame) -> DataFrame:
         parts = column("part").to_numpy(zero_copy_only=False).astype(np.int8)
         of = np.bincount(parts, weights=lengths, minlength=3).astype(np.int64)
         ids = column("id")
-        row = [pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([packed(a)]) for a in (parts, lengths.astype(np.int64))), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.binary()))]
+        row = [pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([packed(a)]) for a in (parts, lengths.astype(np.int64))), pa.array([packed_words(words)])]
         row += [pa.array([packed(tokens)]), *(pa.array([int(v)]) for v in (len(tokens), of[TRAIN] + of[GONE], of[GONE]))]
         return pa.RecordBatch.from_arrays(row, ["page", "ids", "parts", "lengths", "words", "tokens", "n_tokens", "n_train", "n_gone"])
 
@@ -139,13 +157,15 @@ class Page:
         pairs, self.pair_of = np.unique(last.astype(np.int64) * len(words) + tokens, return_inverse=True)
         keys = hashed[pairs // len(words)] * np.uint64(0x9E3779B97F4A7C15) ^ hashed[pairs % len(words)]
         keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        self.last = last
-        self.word_bucket, pair_bucket = (hashed % np.uint64(buckets)).astype(np.int32), (keys >> np.uint64(33)) % np.uint64(buckets)
-        self.word_order = np.argsort(self.word_bucket, kind="stable")
-        self.pair_order = np.lexsort((keys, pair_bucket))  # by bucket and key: neighbours' differences are small
-        self.keys, self.n_pairs = keys[self.pair_order], len(pairs)
-        self.word_cuts = np.searchsorted(self.word_bucket[self.word_order], np.arange(buckets + 1))
-        self.pair_cuts = np.searchsorted(pair_bucket[self.pair_order], np.arange(buckets + 1))
+        keys = (keys ^ (keys >> np.uint64(32))) >> np.uint64(64 - KEY_BITS)
+        word_bucket = (hashed % np.uint64(buckets)).astype(np.int64)
+        self.word_order = np.argsort(word_bucket, kind="stable")
+        self.word_cuts = np.searchsorted(word_bucket[self.word_order], np.arange(buckets + 1))
+        # buckets are ranges of keys
+        self.pair_order, self.n_pairs = np.argsort(keys), len(pairs)
+        self.keys = keys[self.pair_order]
+        bounds = np.array([(b << KEY_BITS) // buckets for b in range(buckets)], dtype=np.uint64)
+        self.pair_cuts = np.append(np.searchsorted(self.keys, bounds), len(pairs))
 
     def counts(self, of: np.ndarray, size: int, order: np.ndarray) -> np.ndarray:
         """[counted, deleted] of each distinct word or bigram."""
@@ -153,7 +173,7 @@ class Page:
 
 
 def _page_of(row: dict, buckets: int) -> Page:
-    return Page(row["words"].values if isinstance(row["words"], pa.ListScalar) else row["words"], unpacked(row["tokens"].as_py(), np.int32), unpacked(row["parts"].as_py(), np.int8), unpacked(row["lengths"].as_py(), np.int64), buckets)
+    return Page(unpacked_words(row["words"].as_py()), unpacked(row["tokens"].as_py(), np.int32), unpacked(row["parts"].as_py(), np.int8), unpacked(row["lengths"].as_py(), np.int64), buckets)
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -169,14 +189,13 @@ def blocks(paged: DataFrame, buckets: int) -> DataFrame:
             for row in _rows(batch):
                 page = _page_of(row, buckets)
                 word_counts, pair_counts = page.counts(page.tokens, len(page.words), page.word_order), page.counts(page.pair_of, page.n_pairs, page.pair_order)
-                words = page.words.take(pa.array(page.word_order)).cast(pa.binary())
+                words = page.words.take(pa.array(page.word_order))
                 made = []
                 for b in range(buckets):
                     w, p = slice(page.word_cuts[b], page.word_cuts[b + 1]), slice(page.pair_cuts[b], page.pair_cuts[b + 1])
                     keys = page.keys[p]
-                    made.append((packed(word_counts[w].ravel()), packed(np.diff(keys, prepend=np.uint64(0))), packed(pair_counts[p].ravel())))
-                listed = pa.ListArray.from_arrays(pa.array(page.word_cuts.astype(np.int32)), words)
-                columns = [pa.array(np.arange(buckets, dtype=np.int32)), pa.array(np.full(buckets, row["page"].as_py())), listed, *(pa.array([m[i] for m in made], pa.binary()) for i in range(3))]
+                    made.append((packed_words(words.slice(w.start, w.stop - w.start)), packed(word_counts[w].ravel()), packed(np.diff(keys, prepend=np.uint64(0))), packed(pair_counts[p].ravel())))
+                columns = [pa.array(np.arange(buckets, dtype=np.int32)), pa.array(np.full(buckets, row["page"].as_py())), *(pa.array([m[i] for m in made], pa.binary()) for i in range(4))]
                 yield pa.RecordBatch.from_arrays(columns, ["bucket", "page", "words", "word_counts", "bigrams", "bigram_counts"])
         release()
 
@@ -192,11 +211,11 @@ def answers(asked: DataFrame) -> DataFrame:
     """For each page and bucket the counts over all pages, in the order of the block; and the words of the bucket in training."""
 
     def run(table: pa.Table) -> pa.Table:
-        words = table.column("words").combine_chunks()
+        words = pa.concat_arrays([unpacked_words(b.as_py()) for b in table.column("words")])
         word_counts = [unpacked(b.as_py(), np.uint32).reshape(-1, 2) for b in table.column("word_counts")]
         keys = [np.cumsum(unpacked(b.as_py(), np.uint64), dtype=np.uint64) for b in table.column("bigrams")]
         pair_counts = [unpacked(b.as_py(), np.uint32).reshape(-1, 2) for b in table.column("bigram_counts")]
-        coded = words.flatten().dictionary_encode()
+        coded = words.dictionary_encode()
         numbers = coded.indices.to_numpy(zero_copy_only=False)
         totals = _summed(numbers, len(coded.dictionary), np.concatenate(word_counts))
         distinct = int((totals[:, 0] > 0).sum())
@@ -224,7 +243,9 @@ def counted(paged: DataFrame, answered: DataFrame, buckets: int) -> DataFrame:
             join = lambda name: np.concatenate([unpacked(b.as_py(), np.int64) for b in by_bucket.column(name)]).reshape(-1, 2)
             words, pairs = np.empty((len(page.words), 2), dtype=np.int64), np.empty((page.n_pairs, 2), dtype=np.int64)
             words[page.word_order], pairs[page.pair_order] = join("word_counts"), join("bigram_counts")
-            out.append({"page": row["page"], "ids": row["ids"], "parts": row["parts"], "lengths": row["lengths"], "tokens": row["tokens"], "words": packed(words.ravel()), "pairs": packed(pairs[page.pair_of].ravel()), "distinct": distinct})
+            pairs = pairs[page.pair_of]
+            pairs[page.part != GONE, 1] = 0  # asked for in deleted documents alone
+            out.append({"page": row["page"], "ids": row["ids"], "parts": row["parts"], "lengths": row["lengths"], "tokens": row["tokens"], "words": packed(words.ravel()), "pairs": packed(pairs.ravel()), "distinct": distinct})
         release()
         id_type = left.schema.field("ids").type
         types = [("page", pa.int64()), ("ids", id_type), ("parts", pa.binary()), ("lengths", pa.binary()), ("tokens", pa.binary()), ("words", pa.binary()), ("pairs", pa.binary()), ("distinct", pa.int64())]
