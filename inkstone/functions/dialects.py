@@ -52,57 +52,105 @@ ALNUM = r"[\p{L}\p{N}_]"
 CONTINUES = r"[\p{L}_0-9\".?$#/@!]"
 OPERATOR = r"[-+*/=<>!&|^%~?@:#]"
 #: What may follow a keyword.
-BOUNDARY = r"[(),;.:\[\]{} \t\n\r]|/\*|\z"
+BOUNDARY = r"[(),;.:\[\]{} \t\n\r\x00]|/\*|\z"
+
+#: A letter for each type of token; keywords and commands that a table name may follow and quoted names that need no quotes have
+#: letters of their own.
+LETTERS = {
+    "s": "SPACE", "c": "COMMENT", "m": "MULTILINE_COMMENT",
+    "C": "COMMAND", "D": "COMMAND", "K": "KEYWORD", "T": "KEYWORD", "B": "BOOLEAN", "N": "NULL", "R": "PROC_INDICATOR", "W": "CTE_INDICATOR", "A": "ALIAS_INDICATOR",
+    "f": "FUNCTION", "i": "IDENT", "q": "QUOTED_IDENT", "Q": "QUOTED_IDENT",
+    "S": "STRING", "O": "INCOMPLETE_STRING", "n": "NUMBER", "d": "DOLLAR_QUOTED_STRING", "F": "DOLLAR_QUOTED_FUNCTION",
+    "P": "POSITIONAL_PARAMETER", "b": "BIND_PARAMETER", "v": "SYSTEM_VARIABLE",
+    "p": "PUNCTUATION", "o": "OPERATOR", "w": "WILDCARD", "j": "JSON_OP", "E": "ERROR", "U": "UNKNOWN",
+}
 
 
 def string(quote: str, escapes: bool) -> str:
     """A closed string."""
-    return rf"{quote}[^{quote}\\]*+(?:\\[\s\S][^{quote}\\]*+)*+{quote}" if escapes else f"{quote}[^{quote}]*+{quote}"
+    return rf"{quote}[^{quote}\\\x00]*+(?:\\[^\x00][^{quote}\\\x00]*+)*+{quote}" if escapes else rf"{quote}[^{quote}\x00]*+{quote}"
 
 
-def quoted(opening: str, closing: str) -> str:
-    """A closed quoted identifier; ``"a"."b"`` is one."""
+def quoted(opening: str, closing: str) -> tuple[str, str]:
+    """A closed quoted identifier that is a plain name, and any; ``"a"."b"`` is one."""
     o, c = f"\\{opening}", f"\\{closing}"
-    return rf"{o}(?:[^{c}]++|{c}\.{o})*+{c}"
+    return rf"{o}{LETTER}{ALNUM}*+{c}(?!\.{o})", rf"{o}(?:[^{c}\x00]++|{c}\.{o})*+{c}"
+
+
+def words_pattern(words: list[str]) -> str:
+    """Any of the words, as a tree of their letters: a text is compared once with each common beginning."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for letter in word:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def shown(node: dict) -> str:
+        ways = [letter + shown(below) for letter, below in sorted(node.items(), reverse=True)]  # the longer word first
+        return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+    return shown(tree)
+
+
+#: Words by letter; a word in two lists has the type of the later one.
+WORDS: dict[str, list[str]] = {}
+for _word, _letter in {
+    word: letter
+    for words, letter in (
+        *(((c,), "D" if c in TABLE_INDICATORS else "C") for c in COMMANDS),
+        *(((k,), "T" if k in TABLE_INDICATORS else "K") for k in KEYWORDS),
+        (BOOLEANS, "B"), (NULLS, "N"), (PROCEDURE_WORDS, "R"), (CTE_WORDS, "W"), (ALIAS_WORDS, "A"),
+    )
+    for word in words
+}.items():
+    WORDS.setdefault(_letter, []).append(_word)
 
 
 @lru_cache(maxsize=None)
-def token_pattern(dialect: Dialect) -> str:
-    """Ordered alternatives that cut any text into tokens without loss. Each token that may be left open is followed by
-    its open form, to the end of the text. Group 1 is the tag of a dollar quote."""
+def token_patterns(dialect: Dialect) -> tuple[tuple[str, str], ...]:
+    """Ordered alternatives that cut any text into tokens without loss, each with its letter. A token that may be left open is
+    followed by its open form, to the end of the text. A NUL ends the text but inside a dollar quote; it has no letter. ``{tag}``
+    stands for the number of a dollar quote's tag as a group."""
     mysql, mssql, oracle, snowflake = (dialect == d for d in (Dialect.MYSQL, Dialect.MSSQL, Dialect.ORACLE, Dialect.SNOWFLAKE))
-    words = sorted({*COMMANDS, *KEYWORDS, *BOOLEANS, *NULLS, *PROCEDURE_WORDS, *CTE_WORDS, *ALIAS_WORDS})
-    rest = r"[\s\S]*+"
-    parts = [
-        r"[ \t\n\r]++",
-        f"(?i:{'|'.join(words)})(?={BOUNDARY})",
-        f"{LETTER}{CONTINUES}*+",
-        string('"', True) if mysql else quoted('"', '"'),
-        f'"{rest}',
-        string("'", dialect.backslash_escapes),
-        f"'{rest}",
-        r"--[^\n]*+",
-        r"/\*[\s\S]*?\*/",
-        rf"/\*{rest}",
-        r"[+-](?=[0-9.])(?:[0-9.]++|[eE][+-]?+)*+",
-        r"0[xX][0-9a-fA-F]*+",
-        r"0[0-7]++",
-        r"[0-9](?:[0-9.]++|[eE][+-]?+)*+",
-        r"\*",
-        r"\$[0-9]++",
-        *([rf"\$(?={LETTER}){CONTINUES}*+"] if mssql else []),
-        r"\$([^$]*+)\$[\s\S]*?\$\1\$",
-        rf"\${rest}",
-        *([f":{ALNUM}++"] if oracle else []),
-        *([quoted("`", "`"), f"`{rest}"] if mysql else []),
-        *([f"#{CONTINUES}*+"] if mssql else [r"#[^\n]*+"] if mysql else []),
-        f"@@{ALNUM}++",
-        "@@",
-        f"@(?={ALNUM}){CONTINUES}*+" if snowflake else f"@{ALNUM}++",
-        "@[?>]",
-        *([quoted("[", "]"), rf"\[{rest}"] if mssql else []),
-        r"->>?|#>>?|#-|\?[|&]|<@",
-        f"{OPERATOR}(?:(?!(?<==)[?@]){OPERATOR})*+",
-        r"[\s\S]",
-    ]
-    return "|".join(parts)
+    rest = r"[^\x00]*+"
+    escapes = dialect.backslash_escapes
+    #: left open, but the last escape was of the quote itself, as in ESCAPE '\\'
+    escaped = lambda q: [("S", rf"{q}(?=[^\x00]*\\{q}[^\\\x00]*+\\?(?:\x00|\z)){rest}")] if escapes else []
+    strings = lambda q: [("S", string(q, escapes)), *escaped(q), ("O", q + rest)]
+    names = lambda o, c: [("q", quoted(o, c)[0]), ("Q", quoted(o, c)[1]), ("E", f"\\{o}{rest}")]
+    ident = lambda pattern: [("f", rf"{pattern}(?=\()"), ("i", pattern)]
+    return (
+        ("s", r"[ \t\n\r]++"),
+        ("p", r"[(),;.\]{}]" if mssql else r"[(),;.\[\]{}]"),
+        *((letter, f"(?i:{words_pattern(words)})(?={BOUNDARY})") for letter, words in WORDS.items()),
+        ("f", rf"[A-Za-z_]{CONTINUES}*+(?=\()"),
+        ("i", f"{LETTER}{CONTINUES}*+"),
+        *(strings('"') if mysql else names('"', '"')),
+        *strings("'"),
+        ("c", r"--[^\n\x00]*+"),
+        ("m", r"/\*[^\x00]*?\*/"),
+        ("E", rf"/\*{rest}"),
+        ("n", r"[+-](?=[0-9.])(?:[0-9.]++|[eE][+-]?+)*+"),
+        ("n", r"0[xX][0-9a-fA-F]*+"),
+        ("n", r"0[0-7]++"),
+        ("n", r"[0-9](?:[0-9.]++|[eE][+-]?+)*+"),
+        ("w", r"\*"),
+        ("P", r"\$[0-9]++"),
+        *(ident(rf"\$(?={LETTER}){CONTINUES}*+") if mssql else []),
+        ("F", r"\$func\$[\s\S]*?\$func\$"),
+        ("d", r"\$([^$]*+)\$[\s\S]*?\$\{tag}\$"),
+        ("E", r"\$[\s\S]*+"),
+        *([("b", f":{ALNUM}++")] if oracle else []),
+        *(names("`", "`") if mysql else []),
+        *(ident(f"#{CONTINUES}*+") if mssql else [("c", r"#[^\n\x00]*+")] if mysql else []),
+        ("v", f"@@{ALNUM}++"),
+        ("j", "@@"),
+        *(ident(f"@(?={ALNUM}){CONTINUES}*+") if snowflake else [("b", f"@{ALNUM}++")]),
+        ("j", "@[?>]"),
+        *(names("[", "]") if mssql else []),
+        ("j", r"->>?|#>>?|#-|\?[|&]|<@"),
+        ("o", f"{OPERATOR}(?:(?!(?<==)[?@]){OPERATOR})*+"),
+        ("U", r"\x03[\x04-\x06]|[^\x00]"),
+        ("", r"\x00[\s\S]*+"),
+    )

@@ -1,8 +1,8 @@
-"""Canonical SQL text and statement metadata.
+"""Canonical SQL text and statement metadata, as a chain of replacements over marked texts (see :mod:`inkstone.functions.marks`).
 
-Almost everything that the rules ask of a token depends on it and the two value tokens before it, and is worked out in maps
-over the token array. What is left for the fold over the tokens is small: the texts written so far, the flag that collapses
-lists of placeholders, and the depth of a leading parenthesis.
+Each rule is one replacement over all tokens of a statement, so its cost grows with the statement's length. Rules that look at
+the token before run while all tokens are still there; a token that a rule drops may leave an empty one behind. Only a statement that
+begins with a parenthesis is taken apart into an array, to find where that parenthesis ends.
 """
 
 from __future__ import annotations
@@ -13,11 +13,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkstone.functions.dialects import Dialect
-from inkstone.functions.obfuscate import PLACEHOLDER, ObfuscatorConfig, body, is_extract_field, obfuscated_value, trim
-from inkstone.functions.tokens import COMMENTS, NAMES, TRIVIA, is_simple_identifier, is_table_indicator, let, typed_tokens
+from inkstone.functions.marks import ESCAPE, MARK, TIGHT, escaped, let, marked, unescaped
+from inkstone.functions.obfuscate import ObfuscatorConfig, each_body, hide, shown_letters, trim
 
 STRINGS = "array<string>"
 
+SEP, TEXT = f"[{MARK}{TIGHT}]", f"[^{MARK}{TIGHT}]"
+END = rf"(?={SEP}|\z)"
+HOLE, COMMA, CLOSE = (rf"[A-Za-z]{what}{END}" for what in (r"\?", ",", r"[)\]]"))
+#: Letters of identifiers; G: a quoted one that keeps its quotes as an alias. Those of names: identifiers and functions.
+IDENTS, NAMES = "[iqQG]", "[iqQf]"
+#: An empty token that the collapse of lists leaves behind.
+EMPTY = rf"(?:{TIGHT}b{END})?+"
+
 
 @dataclass(frozen=True)
 class NormalizerConfig:
@@ -32,165 +40,142 @@ class NormalizerConfig:
     keep_identifier_quotation: bool = False
 
 
-def _no(condition: Column) -> Column:
-    return F.coalesce(condition, F.lit(False))
-
-
-def unquoted(value: Column) -> Column:
-    return F.translate(value, '"[]`', "")
-
-
-def _values(tokens: Column, config: NormalizerConfig, obfuscator: ObfuscatorConfig | None, dialect: Dialect) -> Column:
-    """Value tokens after obfuscation and quote stripping: array<struct<type, value, name, table>>."""
-
-    def read(value_tokens: Column) -> Column:
-        def one(t: Column, i: Column) -> Column:
-            last, before = F.get(value_tokens, i - 1), F.get(value_tokens, i - 2)
-            kind, value = t["type"], t["value"]
-            if obfuscator is not None:
-                value = F.when(is_extract_field(kind, value, last, before), PLACEHOLDER).otherwise(obfuscated_value(kind, value, last["type"], obfuscator, dialect))
-            return let(value, lambda v: _stripped(t, v, last))
-
-        def _stripped(t: Column, value: Column, last: Column) -> Column:
-            quoted = t["type"] == "QUOTED_IDENT"
-            shown = value
-            if not config.keep_identifier_quotation:
-                needed = (_no(last["type"] == "ALIAS_INDICATOR") & ~is_simple_identifier(t["type"], t["value"])) | value.rlike(r"[ \t\n\r]")
-                shown = F.when(quoted & ~needed, unquoted(value)).otherwise(value)
-            return F.struct(t["type"].alias("type"), shown.alias("value"), F.when(quoted, unquoted(value)).otherwise(value).alias("name"), (is_table_indicator(t["type"], t["value"]) if config.collect_tables else F.lit(False)).alias("table"))
-
-        return F.transform(value_tokens, one)
-
-    return let(F.filter(tokens, lambda t: ~t["type"].isin(*TRIVIA)), read)
-
-
-def _steps(values: Column, config: NormalizerConfig) -> Column:
-    """What the fold needs of each value token."""
-
-    def one(t: Column, i: Column) -> Column:
-        last, before = F.get(values, i - 1), F.get(values, i - 2)
-        kind, value = t["type"], t["value"]
-        lv = F.coalesce(last["value"], F.lit(""))
-        named = kind.isin(*NAMES)
-        after_alias = _no(last["type"] == "ALIAS_INDICATOR")
-        closes = value.isin(")", "]")
-        hole = value == PLACEHOLDER
-
-        space = F.when((F.char_length(lv) > 1) & lv.endswith(".") & named, "").when((lv == ":") & named & ~_no(before["type"].isin(*NAMES)), "").when(value.isin(",", ";"), "").when((value == "=") & (lv == ":"), "").otherwise(" ")
-        if config.remove_space_between_parentheses:
-            space = F.when(_no(last["type"] == "FUNCTION") | lv.isin("(", "[") | closes, "").otherwise(space)
-        text = value
-        if config.uppercase_keywords:
-            text = F.when(kind.isin("COMMAND", "KEYWORD"), F.upper(value)).otherwise(text)
-        drop, again = F.lit(False), F.lit("")
-        if not config.keep_sql_alias:
-            drop = (kind == "ALIAS_INDICATOR") | (after_alias & named)
-            again = F.when(after_alias & ~drop, F.concat(space, lv)).otherwise("")
-        return F.struct(
-            F.concat(space, text).alias("text"),
-            drop.alias("drop"),
-            again.alias("again"),
-            (hole & lv.isin("(", "[")).alias("opens"),
-            closes.alias("closes"),
-            ((hole & (lv == ",")) | ((lv == PLACEHOLDER) & (value == ","))).alias("joins"),
-            (~hole & ~closes & (lv == ",")).alias("comma"),
-            F.when(kind == "PUNCTUATION", F.when(value == "(", 1).when(value == ")", -1).otherwise(0)).otherwise(0).alias("nest"),
-            (kind == "COMMAND").alias("command"),
-            ((i == 0) & (kind == "PUNCTUATION") & (value == "(")).alias("leads"),
-        )
-
-    return F.transform(values, one)
-
-
-def _written(steps: Column) -> Column:
-    """The text of all steps.
-
-    A parenthesis that begins the statement is gathered in ``lead``: it is written when a command was inside or when
-    nothing follows it, and dropped otherwise. What grouping and aliases put back goes to the main text even inside it.
-    """
-    zero = F.struct(F.lit("").alias("out"), F.lit("").alias("lead"), F.lit(False).alias("group"), F.lit(0).alias("depth"), F.lit(False).alias("pending"), F.lit(False).alias("command"))
-
-    def step(acc: Column, t: Column) -> Column:
-        group = acc["group"] | t["opens"]
-        skip = t["drop"] | (group & t["joins"]) | t["leads"]
-        inside = acc["depth"] > 0
-        piece = F.when(skip, "").otherwise(t["text"])
-        nest = F.when(skip, 0).otherwise(t["nest"])
-        back = F.when(t["drop"] | t["leads"], "").otherwise(F.concat(t["again"], F.when(group & t["comma"], ",").otherwise("")))
-        return F.struct(
-            F.concat(acc["out"], F.when(acc["pending"] & acc["command"], acc["lead"]).otherwise(""), back, F.when(inside, "").otherwise(piece)).alias("out"),
-            F.when(t["leads"], "(").when(inside, F.concat(acc["lead"], piece)).otherwise(acc["lead"]).alias("lead"),
-            F.when(t["drop"] | t["leads"], acc["group"]).otherwise(group & ~t["closes"]).alias("group"),
-            F.when(t["leads"], 1).when(inside, acc["depth"] + nest).otherwise(acc["depth"]).alias("depth"),
-            (inside & (acc["depth"] + nest == 0)).alias("pending"),
-            F.when(inside, acc["command"] | (t["command"] & ~skip)).otherwise(acc["command"]).alias("command"),
-        )
-
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["out"], F.when(acc["pending"] | (acc["depth"] > 0), acc["lead"]).otherwise(""))
-
-    return F.aggregate(steps, zero, step, finish)
-
-
-def _text(values: Column, config: NormalizerConfig, nested: bool = True) -> Column:
-    if nested:
-        quote = F.lit("$func$")
-
-        def inner(t: Column) -> Column:
-            whole = (t["type"] == "DOLLAR_QUOTED_FUNCTION") & (t["value"] != PLACEHOLDER)
-            below = _text(_values(typed_tokens(body(t["value"]), Dialect.GENERIC), config, None, Dialect.GENERIC), config, nested=False)
-            return F.struct(t["type"].alias("type"), F.when(whole, F.concat(quote, below, quote)).otherwise(t["value"]).alias("value"))
-
-        has_body = F.exists(values, lambda t: t["type"] == "DOLLAR_QUOTED_FUNCTION")
-        plain = F.transform(values, lambda t: F.struct(t["type"].alias("type"), t["value"].alias("value")))
-        values = F.when(has_body, F.transform(values, inner)).otherwise(plain)
-    text = _written(let(values, lambda v: _steps(v, config)))
+def _letters(config: NormalizerConfig, obfuscator: ObfuscatorConfig | None) -> dict[str, str]:
+    letters = shown_letters(obfuscator) if obfuscator else {"F": "F"}
+    letters |= {x: x for x in "CKAfiqQ"} | {"D": "D" if config.collect_tables else "C", "T": "T" if config.collect_tables else "K"}
+    letters |= dict.fromkeys("scm", "s") | (dict.fromkeys("cm", "c") if config.collect_comments else {})
+    return letters | ({"W": "W"} if config.collect_tables else {}) | ({"R": "R"} if config.collect_procedures else {})
+
+
+def _values(marks: Column, obfuscator: ObfuscatorConfig | None, dialect: Dialect) -> Column:
+    """Without spaces and comments, and obfuscated."""
+    values = F.regexp_replace(marks, rf"{MARK}[sc][^{MARK}]*+", "")
+    return values if obfuscator is None else hide(values, obfuscator, dialect, trivia=False)
+
+
+def _without_quotes(marks: Column, only_if: str = "") -> Column:
+    """``only_if``: a pattern that a quoted identifier must match."""
+    return F.regexp_replace(marks, rf'({MARK}[qQ]{only_if}[^{MARK}"\[\]`]*+|(?!\A)\G[^{MARK}"\[\]`]*+)["\[\]`]++', "$1")
+
+
+def _spaced(values: Column, config: NormalizerConfig) -> Column:
+    """``TIGHT`` before tokens that no space goes before."""
+    # a colon after a name is a label or a path, others belong to a bind variable
+    values = F.regexp_replace(values, rf"({MARK}{IDENTS}[^{MARK}]*+{MARK})x(?=:(?:{MARK}|\z))", "$1y")
+    tight = [rf"{MARK}(?=[A-Za-z][,;](?:{MARK}|\z))", rf"(?<={MARK}[xy]:){MARK}(?=[A-Za-z]=(?:{MARK}|\z))", rf"(?<={MARK}x:){MARK}(?={IDENTS})", rf"(?<=[^{MARK}][^{MARK}]\.){MARK}(?={IDENTS})"]
+    if config.remove_space_between_parentheses:
+        tight += [rf"(?<={MARK}[A-Za-z][(\[]){MARK}", rf"{MARK}(?=[A-Za-z][)\]](?:{MARK}|\z))"]
+    values = F.regexp_replace(values, "|".join(tight), TIGHT)
+    return F.regexp_replace(values, rf"({SEP}f{TEXT}*+){MARK}", f"$1{TIGHT}") if config.remove_space_between_parentheses else values
+
+
+def _collapsed(values: Column, config: NormalizerConfig) -> Column:
+    """Lists of placeholders as one. From a placeholder right after an opening bracket to the next closing one, placeholders after
+    commas go, and commas after placeholders. A comma before anything else is put back, under ``b``, even if it never went."""
+    after_hole = rf"(?<={SEP}[A-Za-z]\?)"
+    last = rf"(?={SEP}(?:{CLOSE}{'' if config.keep_sql_alias else '|A'})|\z)"
+    inside = [
+        rf"{after_hole}{SEP}{COMMA}{SEP}{HOLE}",
+        rf"{after_hole}{SEP}{COMMA}{last}",
+        rf"{after_hole}{SEP}[A-Za-z](,){END}",
+        rf"({SEP}{COMMA}){SEP}{HOLE}",
+        rf"({SEP}{COMMA}){last}",
+        rf"({SEP}[A-Za-z](,){END})",
+        rf"({SEP}(?!{CLOSE}){TEXT}++)",
+    ]
+    pattern = rf"({SEP}[A-Za-z][(\[]{SEP}{HOLE})|(?!\A)\G(?:{'|'.join(inside)})"
+    return F.regexp_replace(values, pattern, f"$1$3$4$5$7{TIGHT}b$2$6")
+
+
+def _without_aliases(values: Column) -> Column:
+    """AS goes, and an identifier after it; before anything else AS is put back."""
+    values = F.regexp_replace(values, rf"{SEP}A({TEXT}*+){EMPTY}({SEP})(?=[^AiqQG])", f"{TIGHT}e$2b$1$2")
+    return F.regexp_replace(values, rf"{SEP}A{TEXT}*+(?:{EMPTY}{SEP}{IDENTS}{TEXT}*+)?+", f"{TIGHT}e")
+
+
+def _led(values: Column) -> Column:
+    """A parenthesis that begins the statement is kept when a command is inside or nothing follows it. What was put back inside it
+    goes before it."""
+
+    def taken_apart(tokens: Column) -> Column:
+        def step(acc: Column, token: Column) -> Column:
+            value = F.substring(token, F.lit(2), F.length(token))
+            depth = acc["depth"] + F.when(value == "x(", 1).when(value == "x)", -1).otherwise(0)
+            return F.struct(depth.alias("depth"), (acc["at"] + 1).alias("at"), F.when((acc["end"] == 0) & (depth == 0), acc["at"] + 1).otherwise(acc["end"]).alias("end"))
+
+        zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+        end = F.aggregate(tokens, zero, step, lambda acc: F.when(acc["end"] > 0, acc["end"]).otherwise(acc["at"]))
+        return let(end, lambda e: joined(F.slice(tokens, F.lit(1), e), F.slice(tokens, e + 1, F.size(tokens))))
+
+    def joined(lead: Column, rest: Column) -> Column:
+        put_back = lambda t: F.substring(t, 2, 1) == "b"
+        command = F.exists(lead, lambda t: F.substring(t, 2, 1).isin("C", "D"))
+        inside = F.array_join(F.filter(lead, lambda t: ~put_back(t)), "")
+        inside = F.concat(F.lit(TIGHT), F.substring(inside, F.lit(2), F.length(inside)))
+        return F.concat(F.array_join(F.filter(lead, put_back), ""), F.when(command | (F.size(rest) == 0), inside).otherwise(""), F.array_join(rest, ""))
+
+    tokens = F.regexp_extract_all(values, F.lit(f"{SEP}{TEXT}++"), F.lit(0))
+    return F.when(values.startswith(f"{MARK}x("), let(tokens, taken_apart)).otherwise(values)
+
+
+def _text(values: Column, config: NormalizerConfig, bodies: bool) -> Column:
+    """The canonical text, still escaped. ``bodies``: whether function bodies may be there, which are statements of their own."""
+    if not config.keep_identifier_quotation:
+        # an alias that is no plain name keeps its quotes, and so does a name with white space inside
+        values = _without_quotes(F.regexp_replace(values, rf"({MARK}A[^{MARK}]*+{MARK})Q", "$1G"), rf"(?![^{MARK}]*[ \t\n\r])")
+    if bodies:
+        values = each_body(values, lambda body: _text(_values(marked(body, Dialect.GENERIC, _letters(config, None)), None, Dialect.GENERIC), config, bodies=False))
+    if config.uppercase_keywords:
+        upper = lambda t: F.when(t.rlike(r"\A[CDKT]"), F.concat(F.substring(t, 1, 1), F.upper(F.substring(t, F.lit(2), F.length(t))))).otherwise(t)
+        values = F.array_join(F.transform(F.split(values, MARK), upper), MARK)
+    values = _collapsed(_spaced(values, config), config)
+    if not config.keep_sql_alias:
+        values = _without_aliases(values)
+    values = let(values, _led)
+    text = F.translate(F.regexp_replace(values, rf"{TIGHT}[A-Za-z]|({MARK})[A-Za-z]", "$1"), MARK, " ")
     return trim(text if config.keep_trailing_semicolon else F.regexp_replace(text, r";\z", ""))
 
 
-def _tables(values: Column) -> Column:
+def _tables(names: Column) -> Column:
     """Names right after a table word, and after commas in the list that one begins; not the first name after WITH."""
+    end = rf"(?:[CDKT]|x[()](?:{MARK}|\z))"
+    comma = rf"{MARK}x,(?={MARK}{NAMES})"
+    before = rf"{MARK}[DT][^{MARK}]*+|(?!\A)\G(?:(?!{comma}){MARK}(?!{end})[^{MARK}]*+)*+{comma}"
+    plain = F.array_distinct(F.regexp_extract_all(names, F.lit(rf"(?:{before}){MARK}{NAMES}([^{MARK}]*+)"), F.lit(1)))
 
-    def marked(t: Column, i: Column) -> Column:
-        last = F.get(values, i - 1)
-        name = t["type"].isin(*NAMES, "FUNCTION") & last.isNotNull()
-        ends = t["type"].isin("COMMAND", "KEYWORD") | ((t["type"] == "PUNCTUATION") & t["value"].isin("(", ")"))
-        role = F.when(ends, "end").when(name & (last["type"] == "CTE_INDICATOR"), "cte").when(name & last["table"], "first").when(name & (last["type"] == "PUNCTUATION") & (last["value"] == ","), "next")
-        return F.struct(role.alias("role"), t["name"].alias("name"))
-
-    def step(acc: Column, t: Column) -> Column:
-        known = F.array_contains(acc["ctes"], t["name"]) | F.array_contains(acc["found"], t["name"])
-        add = ((t["role"] == "first") | ((t["role"] == "next") & acc["listing"])) & ~known
-        return F.struct(
-            F.when(t["role"] == "end", False).when(t["role"] == "first", True).otherwise(acc["listing"]).alias("listing"),
-            F.when(t["role"] == "cte", F.array_append(acc["ctes"], t["name"])).otherwise(acc["ctes"]).alias("ctes"),
-            F.when(add, F.array_append(acc["found"], t["name"])).otherwise(acc["found"]).alias("found"),
-        )
+    def first_seen(found: Column) -> Column:
+        """Tables whose names did not come first as those of common table expressions."""
+        name = lambda t: F.regexp_extract(t, rf"[A-Za-z]([^{MARK}]*)\z", 1)
+        every = F.transform(found, name)
+        return F.transform(F.filter(found, lambda t, i: t.startswith(f"{MARK}t") & (F.array_position(every, name(t)) == i + 1)), name)
 
-    none = F.array().cast(STRINGS)
-    zero = F.struct(F.lit(False).alias("listing"), none.alias("ctes"), none.alias("found"))
-    return F.aggregate(F.filter(F.transform(values, marked), lambda t: t["role"].isNotNull()), zero, step, lambda acc: acc["found"])
+    tagged = F.regexp_replace(names, rf"({before}){MARK}{NAMES}([^{MARK}]*+)", f"$1{MARK}t$2")
+    found = F.regexp_extract_all(tagged, F.lit(rf"{MARK}(?:t|W[^{MARK}]*+{MARK}{NAMES})[^{MARK}]*+"), F.lit(0))
+    return F.when(F.contains(names, F.lit(f"{MARK}W")), let(found, first_seen)).otherwise(plain)
 
 
-def _metadata(tokens: Column, values: Column, config: NormalizerConfig) -> Column:
+def _metadata(marks: Column, values: Column, config: NormalizerConfig) -> Column:
     none = F.array().cast(STRINGS)
-    tables = _tables(values) if config.collect_tables else none
-    comments = F.array_distinct(F.transform(F.filter(tokens, lambda t: t["type"].isin(*COMMENTS)), lambda t: t["value"])) if config.collect_comments else none
-    commands = F.array_distinct(F.transform(F.filter(values, lambda t: t["type"] == "COMMAND"), lambda t: F.upper(t["value"]))) if config.collect_commands else none
-    procedures = none
-    if config.collect_procedures:
-        named = F.filter(values, lambda t, i: t["type"].isin(*NAMES, "FUNCTION") & _no(F.get(values, i - 1)["type"] == "PROC_INDICATOR"))
-        procedures = F.array_distinct(F.transform(named, lambda t: t["name"]))
-    lists = F.struct(tables.alias("tables"), comments.alias("comments"), commands.alias("commands"), procedures.alias("procedures"))
-    size = lambda m: F.aggregate(F.concat(*[m[c] for c in ("tables", "comments", "commands", "procedures")]), F.lit(0), lambda n, x: n + F.octet_length(x))
-    return let(lists, lambda m: F.struct(size(m).alias("size"), *[m[c].alias(c) for c in ("tables", "comments", "commands", "procedures")]))
+    texts = lambda of, pattern: F.array_distinct(F.regexp_extract_all(of, F.lit(pattern), F.lit(1)))
+    found = {
+        "tables": let(_without_quotes(values), _tables) if config.collect_tables else none,
+        "comments": texts(marks, rf"{MARK}c([^{MARK}]*+)") if config.collect_comments else none,
+        # upper case changes letters of types too, but makes no other a C or D
+        "commands": texts(F.upper(values), rf"{MARK}[CD]([^{MARK}]*+)") if config.collect_commands else none,
+        "procedures": texts(_without_quotes(values), rf"{MARK}R[^{MARK}]*+{MARK}{NAMES}([^{MARK}]*+)") if config.collect_procedures else none,
+    }
+    plain = {k: v if v is none else let(v, lambda a: F.when(F.contains(marks, F.lit(ESCAPE)), F.transform(a, unescaped)).otherwise(a)) for k, v in found.items()}
+    lists = F.struct(*[v.alias(k) for k, v in plain.items()])
+    return let(lists, lambda m: F.struct(F.octet_length(F.array_join(F.concat(*[m[k] for k in plain]), "")).alias("size"), *[m[k].alias(k) for k in plain]))
 
 
 def _statement(sql: Column, config: NormalizerConfig, obfuscator: ObfuscatorConfig | None, dialect: Dialect) -> Column:
-    def both(tokens: Column) -> Column:
-        return let(_values(tokens, config, obfuscator, dialect), lambda values: F.struct(_text(values, config).alias("sql"), _metadata(tokens, values, config).alias("metadata")))
+    bodies = obfuscator is None or obfuscator.dollar_quoted_func
+
+    def both(marks: Column) -> Column:
+        return let(_values(marks, obfuscator, dialect), lambda values: F.struct(unescaped(_text(values, config, bodies)).alias("sql"), _metadata(marks, values, config).alias("metadata")))
 
-    return F.when(sql.isNotNull(), let(typed_tokens(sql, dialect), both))
+    return F.when(sql.isNotNull(), let(marked(escaped(sql), dialect, _letters(config, obfuscator)), both))
 
 
 def normalize(sql: Column, config: NormalizerConfig | None = None, dialect: Dialect | str | None = None) -> Column:

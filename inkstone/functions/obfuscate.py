@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
@@ -9,10 +10,12 @@ from pyspark.sql import functions as F
 
 from inkstone.functions import dialects as D
 from inkstone.functions.dialects import Dialect
-from inkstone.functions.tokens import NAMES, TRIVIA, raw_tokens, typed_tokens
+from inkstone.functions.marks import MARK, escaped, let, marked, marking, unescaped
 
 PLACEHOLDER = "?"
 _BODY = "$func$"
+#: Letters of literals.
+LITERALS = "SOnd"
 
 
 @dataclass(frozen=True)
@@ -25,80 +28,81 @@ class ObfuscatorConfig:
     keep_json_path: bool = False
     replace_bind_parameter: bool = False
 
+    @property
+    def hidden(self) -> str:
+        """Letters of the tokens that are replaced whatever stands before them."""
+        wanted = (("P", self.replace_positional_parameter), ("b", self.replace_bind_parameter), ("B", self.replace_boolean), ("N", self.replace_null), ("F", not self.dollar_quoted_func))
+        return "".join(letter for letter, hide in wanted if hide)
+
 
 def trim(text: Column) -> Column:
     """Without Unicode white space at the ends."""
     return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
 
 
-def body(value: Column) -> Column:
-    """What stands between the tags of a ``$func$`` quote."""
-    return F.substring(value, F.lit(7), F.greatest(F.char_length(value) - 12, F.lit(0)))
+def shown_letters(config: ObfuscatorConfig) -> dict[str, str]:
+    """What :func:`hide` needs to know of tokens: ``l`` literals, ``r`` others to replace, ``F`` function bodies that stay."""
+    letters = dict.fromkeys(LITERALS, "l") | dict.fromkeys(config.hidden, "r" if config.keep_json_path else "l")
+    letters |= {"f": "f", "i": "i", "q": "q", "Q": "q", "K": "K", "T": "K", "s": "s", "c": "s", "m": "s"}
+    return letters | ({"j": "j"} if config.keep_json_path else {}) | ({"F": "F"} if config.dollar_quoted_func else {})
 
 
-def obfuscate_token_value(kind: Column, value: Column, last_kind: Column | None = None, config: ObfuscatorConfig | None = None, dialect: Dialect | str | None = None) -> Column:
-    """A token's value after obfuscation, for tokens as rows. ``last_kind``: type of the value token before it, if there is one."""
-    last = F.lit(None).cast("string") if last_kind is None else last_kind
-    return obfuscated_value(kind, value, last, config or ObfuscatorConfig(), Dialect.of(dialect))
+def each_body(marks: Column, rewrite: Callable[[Column], Column]) -> Column:
+    """The bodies of ``$func$`` quotes rewritten. Statements without one, which are most, pass as they are."""
+
+    def one(piece: Column) -> Column:
+        body = F.substring(piece, F.lit(8), F.length(piece) - 13)
+        return F.when(piece.startswith(f"F{_BODY}"), F.concat(F.lit(f"F{_BODY}"), rewrite(body), F.lit(_BODY))).otherwise(piece)
 
+    return let(marks, lambda m: F.when(F.contains(m, F.lit(f"{MARK}F")), F.array_join(F.transform(F.split(m, MARK), one), MARK)).otherwise(m))
 
-def obfuscated_value(kind: Column, value: Column, last_kind: Column, config: ObfuscatorConfig, dialect: Dialect) -> Column:
-    """A token's value after obfuscation. ``last_kind``: type of the value token before it, null if there is none."""
-    literal = kind.isin("NUMBER", "STRING", "INCOMPLETE_STRING", "DOLLAR_QUOTED_STRING")
+
+def hide(marks: Column, config: ObfuscatorConfig, dialect: Dialect, trivia: bool) -> Column:
+    """A marked text with placeholders. ``trivia``: whether spaces and comments are still in it, under ``s``."""
+    gap = rf"(?:{MARK}s[^{MARK}]*+)*+" if trivia else ""
     if config.keep_json_path:
-        literal &= ~F.coalesce(last_kind == "JSON_OP", F.lit(False))
-    out = F.when(literal, PLACEHOLDER)
+        marks = F.regexp_replace(marks, rf"({MARK}j[^{MARK}]*+{gap}{MARK})l", "$1y")
+    # the field of EXTRACT(field FROM ...)
+    marks = F.regexp_replace(marks, rf"({MARK}f(?i:EXTRACT){MARK}x\({gap}{MARK}[iKT])(?i:{D.words_pattern(D.EXTRACT_FIELDS)})(?={MARK}|\z)", f"$1{PLACEHOLDER}")
+    marks = F.regexp_replace(marks, rf"{MARK}[lr][^{MARK}]*+", f"{MARK}x{PLACEHOLDER}")
+    if config.replace_digits:
+        marks = F.regexp_replace(marks, rf"({MARK}[iqQ][^{MARK}0-9]*+|(?!\A)\G[^{MARK}0-9]*+)[0-9]++", f"$1{PLACEHOLDER}")
     if config.dollar_quoted_func:
         # a body holds no further $func$ quote, so one level is all there is
-        inner = obfuscate(body(value), replace(config, dollar_quoted_func=False), dialect)
-        out = out.when(kind == "DOLLAR_QUOTED_FUNCTION", F.concat(F.lit(_BODY), inner, F.lit(_BODY)))
-    else:
-        out = out.when(kind == "DOLLAR_QUOTED_FUNCTION", PLACEHOLDER)
-    for wanted, name in ((config.replace_positional_parameter, "POSITIONAL_PARAMETER"), (config.replace_bind_parameter, "BIND_PARAMETER"), (config.replace_boolean, "BOOLEAN"), (config.replace_null, "NULL")):
-        if wanted:
-            out = out.when(kind == name, PLACEHOLDER)
-    if config.replace_digits:
-        out = out.when(kind.isin(*NAMES), F.regexp_replace(value, "[0-9]+", PLACEHOLDER))
-    return out.otherwise(value)
-
+        marks = each_body(marks, lambda body: _obfuscated(body, replace(config, dollar_quoted_func=False), dialect))
+    return marks
 
-def is_extract_field(kind: Column, value: Column, last: Column, before: Column) -> Column:
-    """Whether a token is the field of EXTRACT(field FROM ...). ``last`` and ``before``: the two value tokens before it."""
-    return kind.isin("IDENT", "KEYWORD") & F.upper(value).isin(D.EXTRACT_FIELDS) & F.coalesce((last["type"] == "PUNCTUATION") & (last["value"] == "(") & (before["type"] == "FUNCTION") & (F.upper(before["value"]) == "EXTRACT"), F.lit(False))
 
-
-def is_literal(value: Column, dialect: Dialect) -> Column:
-    """Whether a token text is a number or a string, closed or not, or a dollar quote: its first characters tell."""
-    first = F.substring(value, 1, 1)
-    number = first.between("0", "9") | (first.isin("+", "-") & F.substring(value, 2, 1).rlike("[0-9.]"))
-    string = first.isin("'", '"') if dialect == Dialect.MYSQL else first == "'"
-    quote = (first == "$") & value.rlike(r"\A\$([^$]*+)\$[\s\S]*?\$\1\$\z")
-    if dialect == Dialect.MSSQL:  # a name there
-        quote &= ~value.rlike(rf"\A\${D.LETTER}")
-    return string | number | quote
+def _obfuscated(text: Column, config: ObfuscatorConfig, dialect: Dialect) -> Column:
+    """Of an escaped text."""
+    hidden = hide(marked(text, dialect, shown_letters(config)), config, dialect, trivia=True)
+    whole = F.regexp_replace(hidden, rf"{MARK}[A-Za-z]", "")
+    if not (config.keep_json_path or config.replace_digits or config.dollar_quoted_func):
+        # only an EXTRACT call needs to know what tokens are; else the text of a token to replace is left out as it is cut
+        pattern, shown = marking(dialect, dict.fromkeys(LITERALS + config.hidden, "l"))
+        kept = next(part for part in shown.split(MARK) if part.startswith("x"))
+        cut = F.regexp_replace(text, pattern, MARK + kept[1:])
+        plain = F.replace(F.regexp_replace(cut, rf"{MARK}(?={MARK}|\z)", PLACEHOLDER), F.lit(MARK), F.lit(""))
+        whole = F.when(text.rlike(r"(?i)extract\("), whole).otherwise(plain)
+    return trim(whole)
 
 
 def obfuscate(sql: Column, config: ObfuscatorConfig | None = None, dialect: Dialect | str | None = None) -> Column:
     """The text with placeholders; white space and comments stay, but for white space at the ends."""
-    config, dialect = config or ObfuscatorConfig(), Dialect.of(dialect)
-    tokens = typed_tokens(sql, dialect)
-    nothing = F.lit(None).cast("struct<type:string,value:string>")
-
-    def step(acc: Column, t: Column) -> Column:
-        value = F.when(is_extract_field(t["type"], t["value"], acc["last"], acc["before"]), PLACEHOLDER).otherwise(obfuscated_value(t["type"], t["value"], acc["last"]["type"], config, dialect))
-        trivia = t["type"].isin(*TRIVIA)
-        return F.struct(
-            F.concat(acc["out"], value).alias("out"),
-            F.when(trivia, acc["last"]).otherwise(F.struct(t["type"].alias("type"), t["value"].alias("value"))).alias("last"),
-            F.when(trivia, acc["before"]).otherwise(acc["last"]).alias("before"),
-        )
-
-    folded = F.aggregate(tokens, F.struct(F.lit("").alias("out"), nothing.alias("last"), nothing.alias("before")), step, lambda acc: acc["out"])
-    if config.keep_json_path:
-        return trim(folded)
-    # only an EXTRACT call needs to look back; all other texts go token by token, and by default without their types
-    if config == ObfuscatorConfig():
-        plain = F.transform(raw_tokens(sql, dialect), lambda v: F.when(is_literal(v, dialect), PLACEHOLDER).otherwise(v))
-    else:
-        plain = F.transform(tokens, lambda t: obfuscated_value(t["type"], t["value"], F.lit(None).cast("string"), config, dialect))
-    return trim(F.when(sql.rlike(r"(?i)extract\("), folded).otherwise(F.array_join(plain, "")))
+    return unescaped(_obfuscated(escaped(sql), config or ObfuscatorConfig(), Dialect.of(dialect)))
+
+
+def obfuscate_token_value(kind: Column, value: Column, last_kind: Column | None = None, config: ObfuscatorConfig | None = None, dialect: Dialect | str | None = None) -> Column:
+    """A token's value after obfuscation, for tokens as rows. ``last_kind``: type of the value token before it, null if there is none."""
+    config = config or ObfuscatorConfig()
+    literal = kind.isin([D.LETTERS[x] for x in LITERALS])
+    if config.keep_json_path and last_kind is not None:
+        literal &= ~F.coalesce(last_kind == "JSON_OP", F.lit(False))
+    out = F.when(literal | kind.isin([D.LETTERS[x] for x in config.hidden] or [""]), PLACEHOLDER)
+    if config.dollar_quoted_func:
+        body = F.substring(value, F.lit(7), F.greatest(F.length(value) - 12, F.lit(0)))
+        inner = obfuscate(body, replace(config, dollar_quoted_func=False), dialect)
+        out = out.when(kind == "DOLLAR_QUOTED_FUNCTION", F.concat(F.lit(_BODY), inner, F.lit(_BODY)))
+    if config.replace_digits:
+        out = out.when(kind.isin("IDENT", "QUOTED_IDENT"), F.regexp_replace(value, "[0-9]+", PLACEHOLDER))
+    return out.otherwise(value)

@@ -2,139 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkstone.functions import dialects as D
 from inkstone.functions.dialects import Dialect
+from inkstone.functions.marks import ESCAPE, escaped, marked, pieces, unescaped
 
-TRIVIA = ("SPACE", "COMMENT", "MULTILINE_COMMENT")
-COMMENTS = ("COMMENT", "MULTILINE_COMMENT")
-NAMES = ("IDENT", "QUOTED_IDENT")
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
-def raw_tokens(sql: Column, dialect: Dialect) -> Column:
-    """The token texts. Scanning ends at the first NUL character."""
-    return F.regexp_extract_all(F.substring_index(sql, "\0", 1), F.lit(D.token_pattern(dialect)), F.lit(0))
-
-
-#: Word to its type, by lists from the weakest.
-WORD_TYPES = {
-    word: kind
-    for words, kind in (
-        (D.COMMANDS, "COMMAND"),
-        (D.KEYWORDS, "KEYWORD"),
-        (D.BOOLEANS, "BOOLEAN"),
-        (D.NULLS, "NULL"),
-        (D.PROCEDURE_WORDS, "PROC_INDICATOR"),
-        (D.CTE_WORDS, "CTE_INDICATOR"),
-        (D.ALIAS_WORDS, "ALIAS_INDICATOR"),
-    )
-    for word in words
-}
-
-
-def _word(value: Column, after: Column) -> Column:
-    """Type of a token that starts with a letter: a keyword needs a boundary after it."""
-    ascii_start = value.rlike("\\A[A-Za-z_]")
-    plain = F.when(after.startswith("(") & ascii_start, "FUNCTION").otherwise("IDENT")
-
-    def known(name: Column) -> Column:
-        ascii_only = F.octet_length(value) == F.char_length(value)
-        keyword = name.isin(list(WORD_TYPES)) & ascii_only & (after.isNull() | after.rlike(rf"\A(?:{D.BOUNDARY})"))
-        of_kind = lambda kind: [w for w, k in WORD_TYPES.items() if k == kind]
-        kinds = dict.fromkeys(("KEYWORD", *WORD_TYPES.values()))
-        kind = reduce(lambda c, k: c.when(name.isin(of_kind(k)), k), kinds, F.when(F.lit(False), ""))
-        return F.when(keyword, kind).otherwise(plain)
-
-    return let(F.upper(value), known)
-
-
-def _string_type(value: Column, quote: str, escapes: bool) -> Column:
-    closed = value.rlike(rf"\A{D.string(quote, escapes)}\z")
-    if not escapes:
-        return F.when(closed, "STRING").otherwise("INCOMPLETE_STRING")
-    # left open, but the last escape was of the quote itself, as in ESCAPE '\'
-    return F.when(closed | value.rlike(rf"\\{quote}[^\\]*\\?\z"), "STRING").otherwise("INCOMPLETE_STRING")
+ALL = {letter: letter for letter in D.LETTERS}
+_ORDER = "".join(D.LETTERS)
 
 
-def _type(value: Column, after: Column, dialect: Dialect) -> Column:
-    """Type of a token; the frequent ones are found by their first character alone."""
-    first = F.substring(value, 1, 1)
-    second = F.substring(value, 2, 1)
-    ident = F.when(after.startswith("("), "FUNCTION").otherwise("IDENT")
-    closed = lambda o, c: F.when(value.rlike(rf"\A{D.quoted(o, c)}\z"), "QUOTED_IDENT").otherwise("ERROR")
-    letter = first.between("a", "z") | first.between("A", "Z") | (first == "_") | ((first > "\x7f") & first.rlike(D.LETTER))
-    out = F.when(first.isin(" ", "\t", "\n", "\r"), "SPACE").when(letter, _word(value, after))
-    out = out.when(first.isin(",", ".", "(", ")", ";", "]", "{", "}"), "PUNCTUATION").when(value == "=", "OPERATOR")
-    out = out.when(first == '"', _string_type(value, '"', True) if dialect == Dialect.MYSQL else closed('"', '"'))
-    out = out.when(first == "'", _string_type(value, "'", dialect.backslash_escapes))
-    out = out.when(first.between("0", "9"), "NUMBER")
-    out = out.when(value.startswith("--"), "COMMENT")
-    out = out.when(value.startswith("/*"), F.when(value.endswith("*/") & (F.char_length(value) > 3), "MULTILINE_COMMENT").otherwise("ERROR"))
-    out = out.when(first.isin("+", "-") & second.rlike("[0-9.]"), "NUMBER")
-    out = out.when(value == "*", "WILDCARD")
-    if dialect == Dialect.MSSQL:
-        out = out.when((first == "$") & second.rlike(D.LETTER), ident).when(first == "#", ident).when((first == "[") & (F.char_length(value) > 1), closed("[", "]")).when(first == "[", "ERROR")
-    function = value.startswith("$func$") & value.endswith("$func$") & (F.char_length(value) >= 12)
-    quote = F.when(function, "DOLLAR_QUOTED_FUNCTION").when(value.rlike(r"\A\$([^$]*+)\$[\s\S]*?\$\1\$\z"), "DOLLAR_QUOTED_STRING").otherwise("ERROR")
-    out = out.when(first == "$", F.when(second.rlike("[0-9]"), "POSITIONAL_PARAMETER").otherwise(quote))
-    if dialect == Dialect.MYSQL:
-        out = out.when(first == "`", closed("`", "`")).when(first == "#", "COMMENT")
-    if dialect == Dialect.ORACLE:
-        out = out.when((first == ":") & second.rlike(D.ALNUM), "BIND_PARAMETER")
-    named = ident if dialect == Dialect.SNOWFLAKE else F.lit("BIND_PARAMETER")
-    out = out.when(value.startswith("@@") & (F.char_length(value) > 2) & F.substring(value, 3, 1).rlike(D.ALNUM), "SYSTEM_VARIABLE")
-    out = out.when((first == "@") & second.rlike(D.ALNUM), named)
-    out = out.when(value.isin("->", "->>", "#>", "#>>", "#-", "?|", "?&", "<@", "@@", "@?", "@>"), "JSON_OP")
-    out = out.when(first.rlike(D.OPERATOR), "OPERATOR").when(first.rlike(r"[(),;.:\[\]{}]"), "PUNCTUATION")
-    return out.otherwise("UNKNOWN")
+def token_pieces(sql: Column, dialect: Dialect | str | None = None) -> Column:
+    """array<string>: each token as a letter for its type and its text. For :func:`described`, also of tokens as rows."""
+    return pieces(marked(escaped(sql), Dialect.of(dialect), ALL))
 
 
-def typed_tokens(sql: Column, dialect: Dialect) -> Column:
-    """array<struct<type, value>>"""
-
-    def typed(tokens: Column) -> Column:
-        return F.transform(tokens, lambda v, i: F.struct(_type(v, F.get(tokens, i + 1), dialect).alias("type"), v.alias("value")))
-
-    return let(raw_tokens(sql, dialect), typed)
-
-
-def is_table_indicator(kind: Column, value: Column) -> Column:
-    return kind.isin("COMMAND", "KEYWORD") & F.upper(value).isin(D.TABLE_INDICATORS)
-
-
-def is_simple_identifier(kind: Column, value: Column) -> Column:
-    return (kind == "QUOTED_IDENT") & value.rlike(rf"\A.{D.LETTER}{D.ALNUM}*+.\z")
-
-
-def described(kind: Column, value: Column) -> list[Column]:
-    """The fields of a token."""
-    digits = kind.isin(*NAMES, "FUNCTION") & value.rlike("[0-9]")
-    return [kind.alias("type"), value.alias("value"), is_table_indicator(kind, value).alias("is_table_indicator"), digits.alias("has_digits"), is_simple_identifier(kind, value).alias("is_simple_identifier")]
+def described(piece: Column, escapes: bool = True) -> list[Column]:
+    """The fields of a token. ``escapes``: whether its text may hold escaped marks."""
+    letter = F.substring(piece, 1, 1)
+    text = F.substring(piece, F.lit(2), F.length(piece))
+    kind = F.get(F.array(*[F.lit(D.LETTERS[x]) for x in _ORDER]), F.instr(F.lit(_ORDER), letter) - 1)
+    return [
+        kind.alias("type"),
+        (unescaped(text) if escapes else text).alias("value"),
+        letter.isin("D", "T").alias("is_table_indicator"),
+        (letter.isin("i", "q", "Q", "f") & text.rlike("[0-9]")).alias("has_digits"),
+        (letter == "q").alias("is_simple_identifier"),
+    ]
 
 
 def tokenize(sql: Column, dialect: Dialect | str | None = None) -> Column:
     """array<struct<type, value, is_table_indicator, has_digits, is_simple_identifier>>; joined values give the text.
 
-    Null gives null. Text from a NUL character on is left out.
+    Null gives null. Text from a NUL character on is left out, unless it is inside a dollar quote.
     """
-    return F.transform(typed_tokens(sql, Dialect.of(dialect)), lambda t: F.struct(*described(t["type"], t["value"])))
-
-
-def token_fields(value: Column, after: Column, dialect: Dialect | str | None = None) -> Column:
-    """struct<type, value> of one token text, given the next one (null at the end): for tokens as rows."""
-    return F.struct(_type(value, after, Dialect.of(dialect)).alias("type"), value.alias("value"))
-
-
-def neighbours(sql: Column, dialect: Dialect | str | None = None) -> Column:
-    """array<struct<value, after>>: each token text with the next one."""
-    return let(raw_tokens(sql, Dialect.of(dialect)), lambda t: F.arrays_zip(t.alias("value"), F.slice(t, 2, F.greatest(F.size(t), F.lit(1))).alias("after")))
+    found = token_pieces(sql, dialect)
+    each = lambda escapes: F.transform(found, lambda p: F.struct(*described(p, escapes)))
+    return F.when(F.contains(sql, F.lit("\x01")) | F.contains(sql, F.lit("\x02")) | F.contains(sql, F.lit(ESCAPE)), each(True)).otherwise(each(False))

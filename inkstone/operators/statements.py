@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from inkstone.functions.dialects import Dialect
 from inkstone.functions.normalize import NormalizerConfig, normalize, obfuscate_and_normalize
 from inkstone.functions.obfuscate import ObfuscatorConfig, obfuscate
-from inkstone.functions.tokens import described, neighbours, token_fields, tokenize
+from inkstone.functions.tokens import described, token_pieces, tokenize
 
 
 def _by_dialect(df: DataFrame, dialect: Dialect | str | None, dialect_col: str | None, of: Callable[[Dialect], Column]) -> Column:
@@ -32,11 +32,10 @@ def with_tokens(df: DataFrame, sql_col: str = "sql", dialect: Dialect | str | No
 def token_rows(df: DataFrame, sql_col: str = "sql", dialect: Dialect | str | None = None, dialect_col: str | None = None) -> DataFrame:
     """One row per token, with its position from 0; the other columns but the text stay."""
     kept = [c for c in df.columns if c != sql_col]
-    texts = df.withColumn("__tokens", _by_dialect(df, dialect, dialect_col, lambda d: neighbours(F.col(sql_col), d)))
-    # typed as rows, where expressions are compiled; fields that nobody asks for are left out
-    rows = texts.select(*df.columns, F.posexplode("__tokens").alias("pos", "__t"))
-    rows = rows.withColumn("__t", _by_dialect(df, dialect, dialect_col, lambda d: token_fields(F.col("__t.value"), F.col("__t.after"), d)))
-    return rows.select(*kept, "pos", *described(F.col("__t.type"), F.col("__t.value")))
+    cut = df.withColumn("__pieces", _by_dialect(df, dialect, dialect_col, lambda d: token_pieces(F.col(sql_col), d)))
+    # described as rows, where expressions are compiled; fields that nobody asks for are left out
+    rows = cut.select(*kept, F.posexplode("__pieces").alias("pos", "__piece"))
+    return rows.select(*kept, "pos", *described(F.col("__piece")))
 
 
 def with_obfuscated(df: DataFrame, config: ObfuscatorConfig | None = None, sql_col: str = "sql", dialect: Dialect | str | None = None, dialect_col: str | None = None, out: str = "obfuscated_sql") -> DataFrame:
