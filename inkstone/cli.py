@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from inkstone.functions.normalize import NormalizerConfig
 from inkstone.functions.obfuscate import ObfuscatorConfig
 from inkstone.operators.statements import token_rows, with_normalized, with_obfuscated
-from inkstone.sources.statements import read_statements, write_results
+from inkstone.sources.statements import read_statements, write_file, write_results
 
 MODES = ("obfuscate_and_normalize", "obfuscate", "normalize", "tokenize")
 OBFUSCATOR = {"replace_digits": True, "replace_boolean": True, "replace_null": True, "replace_positional_parameter": False, "replace_bind_parameter": False, "keep_json_path": False, "dollar_quoted_func": False}
@@ -28,7 +28,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-mode", choices=MODES, default=MODES[0])
     p.add_argument("-input", help="path or pattern; standard input if left out")
     p.add_argument("-format", default="text", help="text (a statement a file), lines, or any format that Spark reads")
-    p.add_argument("-output", help="folder for the results; standard output if left out")
+    p.add_argument("-output", help="file for the results, or folder for their parts if it ends with a slash; standard output if left out")
     p.add_argument("-dbms", default="")
     for name, default in {"with_metadata": False, **OBFUSCATOR, **NORMALIZER}.items():
         flag = name.replace("_", "-")
@@ -71,8 +71,10 @@ def main(argv: Sequence[str] | None = None) -> None:
 
 
 def show(out: DataFrame, args: argparse.Namespace) -> None:
-    if args.output is not None:
+    if args.output is not None and args.output.endswith("/"):
         write_results(out, args.output, "text")
+    elif args.output is not None:
+        write_file(out, args.output)
     else:
         for row in out.toLocalIterator():
             print(row.value)

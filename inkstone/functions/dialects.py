@@ -26,6 +26,10 @@ TOKEN_TYPES = (
 ).split()
 
 
+#: Other names of dialects.
+ALIASES = {"sql-server": "mssql", "sqlserver": "mssql", "postgres": "postgresql"}
+
+
 class Dialect(str, Enum):
     GENERIC = ""
     MSSQL = "mssql"
@@ -39,7 +43,7 @@ class Dialect(str, Enum):
         """By name or alias; any other name is generic."""
         if isinstance(name, cls):
             return name
-        alias = {"sql-server": "mssql", "sqlserver": "mssql", "postgres": "postgresql"}.get(name or "", name or "")
+        alias = ALIASES.get(name or "", name or "")
         return cls(alias) if alias in {d.value for d in cls} else cls.GENERIC
 
     @property
@@ -87,6 +91,8 @@ def words_pattern(words: list[str]) -> str:
         node[""] = {}
 
     def shown(node: dict) -> str:
+        if not node:
+            return ""
         ways = [letter + shown(below) for letter, below in sorted(node.items(), reverse=True)]  # the longer word first
         return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
 

@@ -11,7 +11,9 @@ themselves are escaped first and put back last.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,6 +32,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def any_of(column: Column, values: Iterable[str]) -> Column:
+    """Whether a column has one of the values; unlike ``isin`` it can be written as SQL."""
+    return reduce(or_, [column == v for v in values])
+
+
 def escaped(text: Column) -> Column:
     for plain, sent in _ESCAPES.items():
         text = F.replace(text, F.lit(plain), F.lit(sent))
@@ -42,6 +49,28 @@ def unescaped(text: Column) -> Column:
     return text
 
 
+#: A dialect, its name, or a column with names.
+AnyDialect = Dialect | str | Column | None
+
+
+def dialect_of(dialect: AnyDialect) -> Dialect | Column:
+    return dialect if isinstance(dialect, Column) else Dialect.of(dialect)
+
+
+def by_dialect(dialect: Dialect | Column, of: Callable[[Dialect], Column]) -> Column:
+    """The expression for a dialect. For a column of names it is a choice, so it should be no more than what dialects read
+    differently, which is the cut alone. Case doesn't matter; other names, and null, are generic. A constant leaves one branch."""
+    if isinstance(dialect, Dialect):
+        return of(dialect)
+    name = F.lower(dialect)
+    plain = of(Dialect.GENERIC)
+    chosen = None
+    for d in (Dialect.MSSQL, Dialect.MYSQL, Dialect.ORACLE, Dialect.SNOWFLAKE):  # PostgreSQL has no rule of its own
+        names = [d.value, *(alias for alias, of_ in D.ALIASES.items() if of_ == d.value)]
+        chosen = (F if chosen is None else chosen).when(any_of(name, names), of(d))
+    return chosen.otherwise(plain)
+
+
 def marking(dialect: Dialect, letters: Mapping[str, str]) -> tuple[str, str]:
     """Pattern and replacement that put a mark and a letter before each token. ``letters``: those shown instead of the letters of
     :data:`~inkstone.functions.dialects.LETTERS`; the others are shown as ``OTHER``."""
@@ -60,10 +89,10 @@ def marking(dialect: Dialect, letters: Mapping[str, str]) -> tuple[str, str]:
     return "|".join(parts), "".join(f"{MARK}{shown}" + "".join(f"${k}" for k in numbers) for shown, numbers in groups.items())
 
 
-def marked(text: Column, dialect: Dialect, letters: Mapping[str, str]) -> Column:
+def marked(text: Column, dialect: Dialect | Column, letters: Mapping[str, str]) -> Column:
     """An escaped text with its tokens marked."""
-    pattern, replacement = marking(dialect, letters)
-    return F.regexp_replace(F.regexp_replace(text, pattern, replacement), rf"(?:{MARK}[A-Za-z](?={MARK}|\z))++", "")
+    cut = by_dialect(dialect, lambda d: F.regexp_replace(text, *marking(d, letters)))
+    return F.regexp_replace(cut, rf"(?:{MARK}[A-Za-z](?={MARK}|\z))++", "")
 
 
 def pieces(marks: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkstone.functions.dialects import Dialect
-from inkstone.functions.marks import ESCAPE, MARK, TIGHT, escaped, let, marked, unescaped
+from inkstone.functions.marks import ESCAPE, MARK, TIGHT, AnyDialect, any_of, dialect_of, escaped, let, marked, unescaped
 from inkstone.functions.obfuscate import ObfuscatorConfig, each_body, hide, shown_letters, trim
 
 STRINGS = "array<string>"
@@ -47,7 +47,7 @@ def _letters(config: NormalizerConfig, obfuscator: ObfuscatorConfig | None) -> d
     return letters | ({"W": "W"} if config.collect_tables else {}) | ({"R": "R"} if config.collect_procedures else {})
 
 
-def _values(marks: Column, obfuscator: ObfuscatorConfig | None, dialect: Dialect) -> Column:
+def _values(marks: Column, obfuscator: ObfuscatorConfig | None, dialect: Dialect | Column) -> Column:
     """Without spaces and comments, and obfuscated."""
     values = F.regexp_replace(marks, rf"{MARK}[sc][^{MARK}]*+", "")
     return values if obfuscator is None else hide(values, obfuscator, dialect, trivia=False)
@@ -109,7 +109,7 @@ def _led(values: Column) -> Column:
 
     def joined(lead: Column, rest: Column) -> Column:
         put_back = lambda t: F.substring(t, 2, 1) == "b"
-        command = F.exists(lead, lambda t: F.substring(t, 2, 1).isin("C", "D"))
+        command = F.exists(lead, lambda t: any_of(F.substring(t, 2, 1), "CD"))
         inside = F.array_join(F.filter(lead, lambda t: ~put_back(t)), "")
         inside = F.concat(F.lit(TIGHT), F.substring(inside, F.lit(2), F.length(inside)))
         return F.concat(F.array_join(F.filter(lead, put_back), ""), F.when(command | (F.size(rest) == 0), inside).otherwise(""), F.array_join(rest, ""))
@@ -169,7 +169,7 @@ def _metadata(marks: Column, values: Column, config: NormalizerConfig) -> Column
     return let(lists, lambda m: F.struct(F.octet_length(F.array_join(F.concat(*[m[k] for k in plain]), "")).alias("size"), *[m[k].alias(k) for k in plain]))
 
 
-def _statement(sql: Column, config: NormalizerConfig, obfuscator: ObfuscatorConfig | None, dialect: Dialect) -> Column:
+def _statement(sql: Column, config: NormalizerConfig, obfuscator: ObfuscatorConfig | None, dialect: Dialect | Column) -> Column:
     bodies = obfuscator is None or obfuscator.dollar_quoted_func
 
     def both(marks: Column) -> Column:
@@ -178,11 +178,11 @@ def _statement(sql: Column, config: NormalizerConfig, obfuscator: ObfuscatorConf
     return F.when(sql.isNotNull(), let(marked(escaped(sql), dialect, _letters(config, obfuscator)), both))
 
 
-def normalize(sql: Column, config: NormalizerConfig | None = None, dialect: Dialect | str | None = None) -> Column:
+def normalize(sql: Column, config: NormalizerConfig | None = None, dialect: AnyDialect = None) -> Column:
     """struct<sql, metadata struct<size, tables, comments, commands, procedures>>; null for null."""
-    return _statement(sql, config or NormalizerConfig(), None, Dialect.of(dialect))
+    return _statement(sql, config or NormalizerConfig(), None, dialect_of(dialect))
 
 
-def obfuscate_and_normalize(sql: Column, obfuscator: ObfuscatorConfig | None = None, config: NormalizerConfig | None = None, dialect: Dialect | str | None = None) -> Column:
+def obfuscate_and_normalize(sql: Column, obfuscator: ObfuscatorConfig | None = None, config: NormalizerConfig | None = None, dialect: AnyDialect = None) -> Column:
     """As :func:`normalize`, of the obfuscated tokens."""
-    return _statement(sql, config or NormalizerConfig(), obfuscator or ObfuscatorConfig(), Dialect.of(dialect))
+    return _statement(sql, config or NormalizerConfig(), obfuscator or ObfuscatorConfig(), dialect_of(dialect))

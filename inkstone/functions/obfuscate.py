@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from inkstone.functions import dialects as D
 from inkstone.functions.dialects import Dialect
-from inkstone.functions.marks import MARK, escaped, let, marked, marking, unescaped
+from inkstone.functions.marks import MARK, AnyDialect, by_dialect, dialect_of, escaped, let, marked, marking, unescaped
 
 PLACEHOLDER = "?"
 _BODY = "$func$"
@@ -57,7 +57,7 @@ def each_body(marks: Column, rewrite: Callable[[Column], Column]) -> Column:
     return let(marks, lambda m: F.when(F.contains(m, F.lit(f"{MARK}F")), F.array_join(F.transform(F.split(m, MARK), one), MARK)).otherwise(m))
 
 
-def hide(marks: Column, config: ObfuscatorConfig, dialect: Dialect, trivia: bool) -> Column:
+def hide(marks: Column, config: ObfuscatorConfig, dialect: Dialect | Column, trivia: bool) -> Column:
     """A marked text with placeholders. ``trivia``: whether spaces and comments are still in it, under ``s``."""
     gap = rf"(?:{MARK}s[^{MARK}]*+)*+" if trivia else ""
     if config.keep_json_path:
@@ -73,26 +73,29 @@ def hide(marks: Column, config: ObfuscatorConfig, dialect: Dialect, trivia: bool
     return marks
 
 
-def _obfuscated(text: Column, config: ObfuscatorConfig, dialect: Dialect) -> Column:
+def _obfuscated(text: Column, config: ObfuscatorConfig, dialect: Dialect | Column) -> Column:
     """Of an escaped text."""
     hidden = hide(marked(text, dialect, shown_letters(config)), config, dialect, trivia=True)
     whole = F.regexp_replace(hidden, rf"{MARK}[A-Za-z]", "")
     if not (config.keep_json_path or config.replace_digits or config.dollar_quoted_func):
         # only an EXTRACT call needs to know what tokens are; else the text of a token to replace is left out as it is cut
-        pattern, shown = marking(dialect, dict.fromkeys(LITERALS + config.hidden, "l"))
-        kept = next(part for part in shown.split(MARK) if part.startswith("x"))
-        cut = F.regexp_replace(text, pattern, MARK + kept[1:])
+        def cut_in(d: Dialect) -> Column:
+            pattern, shown = marking(d, dict.fromkeys(LITERALS + config.hidden, "l"))
+            kept = next(part for part in shown.split(MARK) if part.startswith("x"))
+            return F.regexp_replace(text, pattern, MARK + kept[1:])
+
+        cut = by_dialect(dialect, cut_in)
         plain = F.replace(F.regexp_replace(cut, rf"{MARK}(?={MARK}|\z)", PLACEHOLDER), F.lit(MARK), F.lit(""))
         whole = F.when(text.rlike(r"(?i)extract\("), whole).otherwise(plain)
     return trim(whole)
 
 
-def obfuscate(sql: Column, config: ObfuscatorConfig | None = None, dialect: Dialect | str | None = None) -> Column:
+def obfuscate(sql: Column, config: ObfuscatorConfig | None = None, dialect: AnyDialect = None) -> Column:
     """The text with placeholders; white space and comments stay, but for white space at the ends."""
-    return unescaped(_obfuscated(escaped(sql), config or ObfuscatorConfig(), Dialect.of(dialect)))
+    return unescaped(_obfuscated(escaped(sql), config or ObfuscatorConfig(), dialect_of(dialect)))
 
 
-def obfuscate_token_value(kind: Column, value: Column, last_kind: Column | None = None, config: ObfuscatorConfig | None = None, dialect: Dialect | str | None = None) -> Column:
+def obfuscate_token_value(kind: Column, value: Column, last_kind: Column | None = None, config: ObfuscatorConfig | None = None, dialect: AnyDialect = None) -> Column:
     """A token's value after obfuscation, for tokens as rows. ``last_kind``: type of the value token before it, null if there is none."""
     config = config or ObfuscatorConfig()
     literal = kind.isin([D.LETTERS[x] for x in LITERALS])

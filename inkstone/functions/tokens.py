@@ -6,16 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkstone.functions import dialects as D
-from inkstone.functions.dialects import Dialect
-from inkstone.functions.marks import ESCAPE, escaped, marked, pieces, unescaped
+from inkstone.functions.marks import ESCAPE, MARK, TIGHT, AnyDialect, any_of, dialect_of, escaped, marked, pieces, unescaped
 
 ALL = {letter: letter for letter in D.LETTERS}
 _ORDER = "".join(D.LETTERS)
 
 
-def token_pieces(sql: Column, dialect: Dialect | str | None = None) -> Column:
+def token_pieces(sql: Column, dialect: AnyDialect = None) -> Column:
     """array<string>: each token as a letter for its type and its text. For :func:`described`, also of tokens as rows."""
-    return pieces(marked(escaped(sql), Dialect.of(dialect), ALL))
+    return pieces(marked(escaped(sql), dialect_of(dialect), ALL))
 
 
 def described(piece: Column, escapes: bool = True) -> list[Column]:
@@ -26,17 +25,17 @@ def described(piece: Column, escapes: bool = True) -> list[Column]:
     return [
         kind.alias("type"),
         (unescaped(text) if escapes else text).alias("value"),
-        letter.isin("D", "T").alias("is_table_indicator"),
-        (letter.isin("i", "q", "Q", "f") & text.rlike("[0-9]")).alias("has_digits"),
+        any_of(letter, "DT").alias("is_table_indicator"),
+        (any_of(letter, "iqQf") & text.rlike("[0-9]")).alias("has_digits"),
         (letter == "q").alias("is_simple_identifier"),
     ]
 
 
-def tokenize(sql: Column, dialect: Dialect | str | None = None) -> Column:
+def tokenize(sql: Column, dialect: AnyDialect = None) -> Column:
     """array<struct<type, value, is_table_indicator, has_digits, is_simple_identifier>>; joined values give the text.
 
     Null gives null. Text from a NUL character on is left out, unless it is inside a dollar quote.
     """
     found = token_pieces(sql, dialect)
     each = lambda escapes: F.transform(found, lambda p: F.struct(*described(p, escapes)))
-    return F.when(F.contains(sql, F.lit("\x01")) | F.contains(sql, F.lit("\x02")) | F.contains(sql, F.lit(ESCAPE)), each(True)).otherwise(each(False))
+    return F.when(sql.rlike(f"[{MARK}{TIGHT}{ESCAPE}]"), each(True)).otherwise(each(False))

@@ -14,13 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone import cli
+from inkstone.functions.catalog import create_functions
 from inkstone.functions.dialects import Dialect
 from inkstone.functions.normalize import NormalizerConfig, normalize, obfuscate_and_normalize
 from inkstone.functions.obfuscate import ObfuscatorConfig, obfuscate, obfuscate_token_value
 from inkstone.functions.tokens import tokenize
 from inkstone.functions.views import create_statement_view
-from inkstone.operators.statements import distinct_statements, fingerprint_counts, token_rows, with_normalized, with_obfuscated
-from inkstone.sources.statements import read_statements, spread, write_results
+from inkstone.operators.statements import distinct_statements, fingerprint_counts, token_rows, with_normalized, with_normalized_by_row, with_obfuscated
+from inkstone.sources.statements import read_statements, shared_folder, spread, write_file, write_results
 from inkstone.streaming.statements import windowed_fingerprints
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,7 +119,9 @@ def obfuscate_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalize_in_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of any length collapse to one placeholder."""
     lists = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list("l_linenumber")).cast("array<string>"), ", ").alias("l"))
-    return fingerprint_counts(lists.select(said("SELECT * FROM lineitem WHERE l_orderkey = ", F.col("l_orderkey"), " AND l_linenumber IN (", F.col("l"), ")").alias("sql")))
+    statements = lists.select(said("SELECT * FROM lineitem WHERE l_orderkey = ", F.col("l_orderkey"), " AND l_linenumber IN (", F.col("l"), ")").alias("sql"))
+    # each order is in one statement, so none repeats; dealt anew, since few bytes are much work
+    return fingerprint_counts(statements.repartition(spark.sparkContext.defaultParallelism), repeats=False)
 
 
 @registered("SELECT n_nationkey, 'SELECT n.n_name FROM nation WHERE n.n_nationkey = ' || n_nationkey AS dropped, 'SELECT n.n_name AS name FROM nation AS n WHERE n.n_nationkey = ' || n_nationkey AS kept FROM nation")
@@ -238,6 +241,81 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_counts(prioritised(spark, sf_dir))
 
 
+#: The same with an order's key in each, so that no two texts are alike.
+KEYED = {
+    "1": "WITH c AS (SELECT * FROM a) SELECT * FROM c, b JOIN d ON c.x = d.x AND d.y = {} /* join */",
+    "2": "INSERT INTO a (x) VALUES ({}) -- add",
+    "3": "UPDATE a SET x = {}; DELETE FROM b",
+    "4": "CREATE PROCEDURE p AS SELECT {}",
+    "5": "SELECT {} -- one",
+}
+
+
+def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.substring("o_orderpriority", 1, 1)
+    text = reduce(lambda c, kv: c.when(k == kv[0], kv[1]), list(KEYED.items())[1:], F.when(k == "1", KEYED["1"]))
+    return read(spark, sf_dir, "orders").select(F.replace(text, F.lit("{}"), F.col("o_orderkey").cast("string")).alias("sql"))
+
+
+@registered("""
+SELECT v.normalized_sql, count(*) AS statements FROM orders JOIN (VALUES
+('1', 'WITH c AS ( SELECT * FROM a ) SELECT * FROM c, b JOIN d ON c.x = d.x AND d.y = ?'), ('2', 'INSERT INTO a ( x ) VALUES ( ? )'), ('3', 'UPDATE a SET x = ?; DELETE FROM b'),
+('4', 'CREATE PROCEDURE p AS SELECT ?'), ('5', 'SELECT ?')) v(k, normalized_sql) ON v.k = substr(o_orderpriority, 1, 1) GROUP BY 1""")
+def fingerprints_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements of which no two are alike: each is read where it is, and only fingerprints are shuffled."""
+    return fingerprint_counts(keyed(spark, sf_dir))
+
+
+@registered("""
+SELECT v.found, count(*) AS statements FROM orders JOIN (VALUES
+('1', 'a|b|d;SELECT|JOIN;/* join */;;23'), ('2', 'a;INSERT;-- add;;13'), ('3', 'a|b;UPDATE|DELETE;;;14'), ('4', ';CREATE|SELECT;;p;13'), ('5', ';SELECT;-- one;;12')) v(k, found) ON v.k = substr(o_orderpriority, 1, 1) GROUP BY 1""")
+def metadata_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metadata of statements of which no two are alike."""
+    every = NormalizerConfig(collect_tables=True, collect_commands=True, collect_comments=True, collect_procedures=True)
+    m = with_normalized(keyed(spark, sf_dir), every).select(F.concat_ws(";", *[F.array_join(f"metadata.{k}", "|") for k in ("tables", "commands", "comments", "procedures")], "metadata.size").alias("found"))
+    return counted(m, "found")
+
+
+@registered("""
+SELECT d.dialect, d.normalized_sql, count(*) AS statements FROM orders JOIN (VALUES (0, '', 'SELECT [ a b ], ` c ` FROM t WHERE k = ? AND v = @p # x'), (1, 'postgresql', 'SELECT [ a b ], ` c ` FROM t WHERE k = ? AND v = @p # x'), (2, 'mysql', 'SELECT [ a b ], c FROM t WHERE k = ? AND v = @p'),
+(3, 'sqlserver', 'SELECT [a b], ` c ` FROM t WHERE k = ? AND v = @p # x'), (4, 'oracle', 'SELECT [ a b ], ` c ` FROM t WHERE k = ? AND v = @p # x'), (5, 'snowflake', 'SELECT [ a b ], ` c ` FROM t WHERE k = ? AND v = @p # x')) d(k, dialect, normalized_sql) ON d.k = o_orderkey % 6 GROUP BY ALL""")
+def dialects_by_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six dialects in one table: the cut of tokens is chosen by a column, all later rules are shared."""
+    names = F.array(*[F.lit(d) for d in ("", "postgresql", "mysql", "sqlserver", "oracle", "snowflake")])
+    rows = read(spark, sf_dir, "orders").select(F.get(names, (F.col("o_orderkey") % 6).cast("int")).alias("dialect"), said("SELECT [a b], `c` FROM t WHERE k = ", F.col("o_orderkey"), " AND v = @p # x").alias("sql"))
+    made = with_normalized(rows, obfuscator=ObfuscatorConfig(), dialect_col="dialect")
+    return made.groupBy("dialect", "normalized_sql").agg(F.count("*").alias("statements"))
+
+
+@registered("""
+SELECT v.k, v.normalized_sql, v.tables, count(*) AS statements FROM supplier JOIN (VALUES
+(0, 'SELECT "a" AS b FROM t1 WHERE c = TRUE', ''), (1, 'SELECT a FROM t? WHERE c = ?', 't?'), (2, 'SELECT "a" FROM t1 WHERE c = TRUE;', '')) v(k, normalized_sql, tables) ON v.k = s_suppkey % 3 GROUP BY ALL""")
+def configs_by_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row has its own configurations."""
+    k = (F.col("s_suppkey") % 3).cast("int")
+    options = lambda *names: F.map_from_entries(F.array(*[F.struct(F.lit(n), F.lit(True)) for n in names]))
+    none = F.lit(None).cast("map<string,boolean>")
+    rows = read(spark, sf_dir, "supplier").select(
+        k.alias("k"),
+        F.lit('SELECT "a" AS b FROM t1 WHERE c = TRUE;').alias("sql"),
+        F.when(k == 1, options("replace_digits", "Replace_Boolean")).otherwise(none).alias("obfuscator"),
+        F.when(k == 0, options("keep_sql_alias", "keep_identifier_quotation")).when(k == 1, options("collect_tables")).otherwise(options("keep_trailing_semicolon", "keep_identifier_quotation")).alias("normalizer"),
+    )
+    made = with_normalized_by_row(rows)
+    return made.groupBy("k", "normalized_sql", F.array_join("metadata.tables", "|").alias("tables")).agg(F.count("*").alias("statements"))
+
+
+@registered("""
+SELECT 'SELECT ?, ? FROM `t` # ' || n_nationkey AS mysql, 'SELECT ?, "q" FROM `t` # ?' AS generic, 'SELECT ?, ? FROM `t`' AS normalized, 't' AS tables, 12 AS tokens, n_nationkey FROM nation""")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions in SQL."""
+    create_functions(spark, config=NormalizerConfig(collect_tables=True, keep_identifier_quotation=True), prefix="inkstone_")
+    read(spark, sf_dir, "nation").select("n_nationkey", said("SELECT 'it\\'s', \"q\" FROM `t` # ", F.col("n_nationkey")).alias("sql")).createOrReplaceTempView("inkstone_nation_statements")
+    return spark.sql("""
+        SELECT inkstone_obfuscate(sql, 'mysql') AS mysql, inkstone_obfuscate(sql) AS generic, made.sql AS normalized, array_join(made.metadata.tables, ',') AS tables, size(inkstone_tokenize(sql, 'mysql')) AS tokens, n_nationkey
+        FROM (SELECT *, inkstone_obfuscate_and_normalize(sql, 'MySQL') AS made FROM inkstone_nation_statements)""")
+
+
 @registered("""
 SELECT d.dialect, d.obfuscated_sql, c.statements FROM (SELECT count(*) AS statements FROM nation) c, (VALUES
 ('', 'SELECT ?, "q", @v, :w # ?'), ('postgresql', 'SELECT ?, "q", @v, :w # ?'), ('mysql', 'SELECT ?, ?, @v, :w # 1'), ('mssql', 'SELECT ?x?'), ('oracle', 'SELECT ?x?'), ('snowflake', 'SELECT ?, "q", @v, :w # ?')) d(dialect, obfuscated_sql)""")
@@ -372,6 +450,25 @@ def cli_over_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(cli.results(read_statements(spark, path, "lines"), cli.parser().parse_args(["-replace-digits=true"])), "value")
 
 
+@registered("""
+SELECT v.mode, replace(v.value, '{}', s_suppkey::VARCHAR) AS value, count(*) AS n FROM supplier, (VALUES ('tokenize', 'SELECT'), ('tokenize', ' '), ('tokenize', '{}'), ('tokenize', ' '), ('tokenize', 'FROM'), ('tokenize', ' '), ('tokenize', 't'), ('tokenize', ';'),
+('obfuscate', 'SELECT ? FROM t;'), ('normalize', '{"sql":"SELECT {} FROM t","metadata":{"size":7,"tables":["t"],"comments":[],"commands":["SELECT"],"procedures":[]}}')) v(mode, value) GROUP BY ALL""")
+def cli_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command line's other modes, the last one with metadata."""
+    rows = read(spark, sf_dir, "supplier").select(said("SELECT ", F.col("s_suppkey"), " FROM t;").alias("sql"))
+    made = [cli.results(rows, cli.parser().parse_args(["-mode", mode, "-with-metadata"])).select(F.lit(mode).alias("mode"), "value") for mode in ("tokenize", "obfuscate", "normalize")]
+    return reduce(DataFrame.unionAll, made).groupBy("mode", "value").agg(F.count("*").alias("n"))
+
+
+@registered("SELECT 'SELECT ? FROM t?' AS value, count(*) AS statements FROM supplier")
+def cli_one_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results in one file, whose lines are those of the parts."""
+    path = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}.sql"
+    rows = read(spark, sf_dir, "supplier").select(said("SELECT ", F.col("s_suppkey"), " FROM t", F.col("s_nationkey")).alias("sql"))
+    write_file(cli.results(rows, cli.parser().parse_args([])), path)
+    return counted(read_statements(spark, path, "lines"), "sql").withColumnRenamed("sql", "value")
+
+
 @registered("SELECT 'SELECT ? FROM t' AS obfuscated_sql, 'SELECT ? FROM t' AS normalized_sql, 't' AS tables, count(*) AS statements FROM supplier")
 def view_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "supplier").select(said("SELECT ", F.col("s_suppkey"), " FROM t").alias("sql"))
@@ -394,8 +491,3 @@ def stream_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = windowed_fingerprints(statements, "at", "1 hour")
     counts.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/counts").select("window_start", "normalized_sql", "statements")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or the warehouse where it is unset: both are shared by a cluster."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")

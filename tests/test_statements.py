@@ -110,10 +110,18 @@ def test_many_parameters(spark):
 
 
 def test_plans_stay_in_the_jvm(spark):
-    df = spark.createDataFrame([("SELECT 1",)], "sql string")
-    plan = fingerprint_counts(df)._jdf.queryExecution().executedPlan().toString()
-    # one shuffle for equal texts, one for equal fingerprints
-    assert "Python" not in plan and plan.count("Exchange hashpartitioning") == 2
+    exchanges = lambda df, **how: fingerprint_counts(df, **how)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    distinct = spark.range(500).select(F.concat(F.lit("SELECT "), "id").alias("sql"))
+    repetitive = distinct.select(F.concat(F.lit("SELECT "), F.length("sql")).alias("sql"))
+    assert "Python" not in fingerprint_counts(distinct)._jdf.queryExecution().executedPlan().toString()
+    # one shuffle for equal fingerprints, and one for equal texts if the first rows tell that there are any to speak of
+    assert (exchanges(distinct), exchanges(repetitive)) == (1, 2)
+    assert (exchanges(distinct, repeats=True), exchanges(repetitive, repeats=False)) == (2, 1)
+    for df in (distinct, repetitive):
+        assert {tuple(r) for r in fingerprint_counts(df).collect()} == {("SELECT ?", 500)}
+    # a text is cut once: no filter that Spark infers cuts it another time
+    rows = token_rows(distinct).groupBy("type").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.count("array_remove") == 1
 
 
 def test_sources_cli_and_views(spark, tmp_path, capsys, monkeypatch):
@@ -127,8 +135,11 @@ def test_sources_cli_and_views(spark, tmp_path, capsys, monkeypatch):
     assert shown["sql"] == "SELECT ? FROM t?" and shown["metadata"]["tables"] == ["t?"]
     cli.main(["-input", str(tmp_path / "a.sql"), "-mode", "tokenize"])
     assert capsys.readouterr().out.split() == ["SELECT", "1", "FROM", "t7", ";"]
-    cli.main(["-input", str(tmp_path / "a.sql"), "-mode", "obfuscate", "-output", str(tmp_path / "o"), "--no-replace-digits"])
+    cli.main(["-input", str(tmp_path / "a.sql"), "-mode", "obfuscate", "-output", f"{tmp_path / 'o'}/", "--no-replace-digits"])
     assert [r.value for r in spark.read.text(str(tmp_path / "o"), wholetext=True).collect()][0].strip().endswith("t7;")
+    for _ in range(2):  # the second time it is replaced
+        cli.main(["-input", str(tmp_path / "a.sql"), "-mode", "obfuscate", "-output", str(tmp_path / "o.sql"), "--no-replace-digits"])
+    assert (tmp_path / "o.sql").read_text() == "SELECT ?\nFROM t7;\n" and not list(tmp_path.glob("o.sql.*"))
     cli.main(["-input", str(tmp_path / "a.sql"), "-mode", "obfuscate", "-replace-digits=false", "-replace-null"])
     assert capsys.readouterr().out.strip().endswith("t7;")
     monkeypatch.setattr(sys, "stdin", io.StringIO("SELECT 1\r\nFROM t\r\n"))
@@ -151,7 +162,7 @@ def test_streams(spark, tmp_path):
     assert sorted(r.statements for r in spark.table("counts").collect()) == [1, 2]
 
 
-REGISTERED = ["tokens_numbers", "tokens_open_and_quoted", "tokens_signs", "tokens_names", "obfuscate_unchanged", "obfuscate_token", "normalize_names_mssql", "normalize_statements", "cli_over_files", "view_columns", "stream_fingerprints", "fingerprints", "metadata_tables"]
+REGISTERED = ["fingerprints_distinct", "metadata_distinct", "dialects_by_row", "configs_by_row", "sql_functions", "cli_modes", "cli_one_file", "tokenize_counts", "normalize_in_list", "dialects", "dialect_tokens", "tokens_numbers", "tokens_open_and_quoted", "tokens_signs", "tokens_names", "obfuscate_unchanged", "obfuscate_token", "normalize_names_mssql", "normalize_statements", "cli_over_files", "view_columns", "stream_fingerprints", "fingerprints", "metadata_tables"]
 
 
 @pytest.mark.parametrize("name", REGISTERED)
