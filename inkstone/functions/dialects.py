@@ -116,7 +116,7 @@ for _word, _letter in {
 @lru_cache(maxsize=None)
 def token_patterns(dialect: Dialect) -> tuple[tuple[str, str], ...]:
     """Ordered alternatives that cut any text into tokens without loss, each with its letter. A token that may be left open is
-    followed by its open form, to the end of the text. A NUL ends the text but inside a dollar quote; it has no letter. ``{tag}``
+    followed by its open form, to the end of the text. A NUL ends the text but inside a dollar quote; it has no letter, and is a group of its own. ``{tag}``
     stands for the number of a dollar quote's tag as a group."""
     mysql, mssql, oracle, snowflake = (dialect == d for d in (Dialect.MYSQL, Dialect.MSSQL, Dialect.ORACLE, Dialect.SNOWFLAKE))
     rest = r"[^\x00]*+"
@@ -158,5 +158,5 @@ def token_patterns(dialect: Dialect) -> tuple[tuple[str, str], ...]:
         ("j", r"->>?|#>>?|#-|\?[|&]|<@"),
         ("o", f"{OPERATOR}(?:(?!(?<==)[?@]){OPERATOR})*+"),
         ("U", r"\x03[\x04-\x06]|[^\x00]"),
-        ("", r"\x00[\s\S]*+"),
+        ("", r"(\x00)[\s\S]*+"),
     )

@@ -71,12 +71,13 @@ def by_dialect(dialect: Dialect | Column, of: Callable[[Dialect], Column]) -> Co
     return chosen.otherwise(plain)
 
 
-def marking(dialect: Dialect, letters: Mapping[str, str]) -> tuple[str, str]:
-    """Pattern and replacement that put a mark and a letter before each token. ``letters``: those shown instead of the letters of
+def marking(dialect: Dialect, letters: Mapping[str, str]) -> tuple[str, str, int]:
+    """Pattern and replacement that put a mark and a letter before each token, and the number of the group that a NUL which ends the
+    text is. ``letters``: those shown instead of the letters of
     :data:`~inkstone.functions.dialects.LETTERS`; the others are shown as ``OTHER``."""
     parts, groups, n = [], {}, 0
     for letter, pattern in D.token_patterns(dialect):
-        if not letter:
+        if not letter:  # the last one
             parts.append(pattern)
             continue
         n += 1
@@ -86,12 +87,12 @@ def marking(dialect: Dialect, letters: Mapping[str, str]) -> tuple[str, str]:
             pattern = pattern.replace("{tag}", str(n))
         parts.append(f"({pattern})")
     # a group's number ends where no digit follows it: the next is a mark or another group
-    return "|".join(parts), "".join(f"{MARK}{shown}" + "".join(f"${k}" for k in numbers) for shown, numbers in groups.items())
+    return "|".join(parts), "".join(f"{MARK}{shown}" + "".join(f"${k}" for k in numbers) for shown, numbers in groups.items()), n + 1
 
 
 def marked(text: Column, dialect: Dialect | Column, letters: Mapping[str, str]) -> Column:
     """An escaped text with its tokens marked."""
-    cut = by_dialect(dialect, lambda d: F.regexp_replace(text, *marking(d, letters)))
+    cut = by_dialect(dialect, lambda d: F.regexp_replace(text, *marking(d, letters)[:2]))
     return F.regexp_replace(cut, rf"(?:{MARK}[A-Za-z](?={MARK}|\z))++", "")
 
 

@@ -80,11 +80,12 @@ def _obfuscated(text: Column, config: ObfuscatorConfig, dialect: Dialect | Colum
     if not (config.keep_json_path or config.replace_digits or config.dollar_quoted_func):
         # only an EXTRACT call needs to know what tokens are; else the text of a token to replace is left out as it is cut
         def cut_in(d: Dialect) -> Column:
-            pattern, shown = marking(d, dict.fromkeys(LITERALS + config.hidden, "l"))
+            pattern, shown, end = marking(d, dict.fromkeys(LITERALS + config.hidden, "l"))
             kept = next(part for part in shown.split(MARK) if part.startswith("x"))
-            return F.regexp_replace(text, pattern, MARK + kept[1:])
+            return F.regexp_replace(text, pattern, f"{MARK}{kept[1:]}${end}")  # a NUL is no token to replace
 
         cut = by_dialect(dialect, cut_in)
+        cut = F.when(F.contains(text, F.lit("\0")), F.regexp_replace(cut, rf"{MARK}\x00\z", "")).otherwise(cut)
         plain = F.replace(F.regexp_replace(cut, rf"{MARK}(?={MARK}|\z)", PLACEHOLDER), F.lit(MARK), F.lit(""))
         whole = F.when(text.rlike(r"(?i)extract\("), whole).otherwise(plain)
     return trim(whole)
