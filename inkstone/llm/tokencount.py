@@ -11,11 +11,13 @@ whatever came before.
 Texts are cut into chunks of ``CHUNK`` characters, most into one. A chunk's *state map* takes an entry state to the exit state
 and the tokens emitted in between; a state is written as the endings that it stands for, so that any task can enter it. Maps
 are tabulated where they are needed: the first chunk's at the start state, any other's at the state that a run over the
-``WARM`` characters before it ends in, which is nearly always the right one, whatever the run began in. Then, in rounds over
-all chunks at once, each exit state that the next chunk's map lacks is looked up there, until the tables are closed. Then the
-maps of a text compose: a scan over its chunks, each entered at the exit state of the one before. What meets by text are
-states and counts, never characters. A round adds a state to a chunk's table; that is none or one for most texts, and for a
-text that repeats itself without end no more than the lengths of the pieces in it.
+``WARM`` characters before it ends in, which is nearly always the right one, whatever the run began in. Then, in rounds, exit
+states that the next chunk's map lacks are looked up there. A chunk with a space after another character has one exit state
+whatever it is entered in, so only in a run of chunks without one can a lacking state lead to others: it is looked up in the
+whole rest of its run at once. So rounds are no more than the distinct states of a run, however many chunks it has: none for
+most texts, and for a text that repeats a few letters without end the phases of the pieces in them. Then the maps of a text
+compose in pairs: half as many maps of twice as many chunks, until one is left, after a number of joins that grows with the
+logarithm of the chunks. What meets by text are states and counts of two neighbours, never characters.
 
 Defined cases: null counts as the empty text, which has no tokens; special strings are ordinary text; repeated rows each
 count; an empty table gives an empty result; only the id and text columns are read. A model that changes characters before
@@ -27,7 +29,9 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import accumulate
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -204,37 +208,53 @@ def _cut(chunk: int, warm: int):
                 keys = batch.select(["id", "n_bytes", "h"]).slice(i, 1)
                 columns = [pa.concat_arrays([c] * len(starts)) for c in keys.columns]
                 leads, parts = [text[max(0, k - warm) : k] for k in starts], [text[k : k + chunk] for k in starts]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(range(len(starts)), pa.int32()), pa.array(leads, pa.string()), pa.array(parts, pa.string())], ["id", "n_bytes", "h", "pos", "lead", "chunk"])
+                ends_run = [bool(KNOWN.search(escape(part))) for part in parts]  # whatever it is entered in, it is left in one state
+                runs = [0, *accumulate(map(int, ends_run))][:-1]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int32()) for x in (range(len(starts)), runs)), *(pa.array(x, pa.string()) for x in (leads, parts))], ["id", "n_bytes", "h", "pos", "run", "lead", "chunk"])
 
     return cut
 
 
+def _alike(x: str, y: str, *more: str) -> Column:
+    """Whether two rows are of one text, and equal in more columns."""
+    return reduce(and_, [F.col(f"{x}.{c}") == F.col(f"{y}.{c}") for c in ("h", *more)], F.col(f"{x}.id").eqNullSafe(F.col(f"{y}.id")))
+
+
 def closed(chunks: DataFrame, path: str, scratch: Scratch) -> DataFrame:
     """(id, h, pos, entry, n, exit): the maps of all chunks, at every entry state that the maps before them lead to."""
-    tabulated = lambda rows, entry: rows.select("id", "h", "pos", state_maps(F.col("chunk"), F.col("pos") == 0, F.col("lead"), entry, path).alias("m")).select("id", "h", "pos", "m.*").distinct()
-    fresh = maps = scratch.keep(tabulated(chunks, F.lit(None).cast("string")), "maps0")
-    i = 0
+    at = ("id", "h", "run", "pos")
+    tabulated = lambda rows, entry: rows.select(*at, state_maps(F.col("chunk"), F.col("pos") == 0, F.col("lead"), entry, path).alias("m")).select(*at, "m.*").distinct()
+    maps = scratch.keep(tabulated(chunks, F.lit(None).cast("string")), "maps0")
+    places = scratch.keep(chunks.select(*at).distinct(), "places")
+    fresh, i = maps, 0
     while True:
         i += 1
-        w, t, c = fresh.select("id", "h", (F.col("pos") + 1).alias("pos"), F.col("exit").alias("entry")).distinct().alias("w"), maps.alias("t"), chunks.alias("c")
-        same = lambda x, y: F.col(f"{x}.id").eqNullSafe(F.col(f"{y}.id")) & (F.col(f"{x}.h") == F.col(f"{y}.h")) & (F.col(f"{x}.pos") == F.col(f"{y}.pos"))
-        lacking = w.join(t, same("w", "t") & (F.col("w.entry") == F.col("t.entry")), "left_anti")
-        wanted = c.join(lacking.alias("w"), same("c", "w")).select("c.id", "c.h", "c.pos", "c.lead", "c.chunk", "w.entry")
-        fresh = scratch.keep(tabulated(wanted, F.col("entry")), f"maps{i}")
+        after = fresh.select("id", "h", (F.col("pos") + 1).alias("pos"), F.col("exit").alias("entry")).distinct().alias("w").join(places.alias("p"), _alike("w", "p", "pos")).select("w.*", "p.run").alias("w")
+        lacking = after.join(maps.alias("t"), _alike("w", "t", "pos") & (F.col("w.entry") == F.col("t.entry")), "left_anti")
+        # in the chunk that lacks it, and in all that follow in the same run
+        since = lacking.groupBy("id", "h", "run", "entry").agg(F.min("pos").alias("since")).alias("s")
+        wanted = places.alias("p").join(since, _alike("p", "s", "run") & (F.col("p.pos") >= F.col("s.since"))).select("p.*", "s.entry").alias("w")
+        wanted = wanted.join(maps.alias("t"), _alike("w", "t", "pos") & (F.col("w.entry") == F.col("t.entry")), "left_anti").alias("w")
+        texts = chunks.alias("c").join(wanted, _alike("c", "w", "pos")).select(*[f"c.{c}" for c in (*at, "lead", "chunk")], "w.entry")
+        fresh = scratch.keep(tabulated(texts, F.col("entry")), f"maps{i}")
         if fresh.isEmpty():
-            return maps
-        maps = maps.unionByName(fresh)
-
-
-def composed(maps: Column) -> Column:
-    """Tokens of a text: a scan over the maps of its chunks, structs (pos, entry, n, exit), from the start state."""
+            return maps.drop("run")
+        maps = scratch.keep(maps.unionByName(fresh), f"known{i}")
 
-    def step(acc: Column, m: Column) -> Column:
-        enters = (m["pos"] == acc["pos"]) & (m["entry"] == acc["state"])
-        return F.when(enters, F.struct((acc["pos"] + 1).alias("pos"), m["exit"].alias("state"), (acc["n"] + m["n"]).alias("n"))).otherwise(acc)
 
-    zero = F.struct(F.lit(0).alias("pos"), F.lit(START).alias("state"), F.lit(0).cast("long").alias("n"))
-    return F.aggregate(F.array_sort(maps), zero, step, lambda acc: acc["n"])
+def composed(maps: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, h, n_tokens) of each text: the maps of neighbours are joined into one, over and over."""
+    last = maps.groupBy("id", "h").agg(F.max("pos").alias("last"))
+    m, t = maps.alias("m"), last.alias("t")
+    maps = m.join(t, _alike("m", "t")).select("m.*", "t.last")
+    longest, i = last.agg(F.max("last")).first()[0] or 0, 0
+    while longest:
+        a, b = maps.where("pos % 2 = 0 AND pos < last").alias("a"), maps.where("pos % 2 = 1").withColumn("pos", F.col("pos") - 1).alias("b")
+        two = a.join(b, _alike("a", "b", "pos") & (F.col("a.exit") == F.col("b.entry"))).select("a.id", "a.h", "a.pos", "a.entry", (F.col("a.n") + F.col("b.n")).alias("n"), "b.exit", "a.last")
+        both = two.unionByName(maps.where("pos % 2 = 0 AND pos = last"))
+        maps = scratch.keep(both.withColumns({"pos": (F.col("pos") / 2).cast("int"), "last": F.floor(F.col("last") / 2).cast("int")}), f"composed{i}")
+        longest, i = longest // 2, i + 1
+    return maps.where(F.col("entry") == START).select("id", "h", F.col("n").alias("n_tokens"))
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, warm: int = WARM) -> DataFrame:
@@ -250,13 +270,12 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     long = rows.where(F.char_length("text") > chunk).withColumn("h", F.xxhash64("text"))
     id_type = rows.schema["id"].dataType.simpleString()
     scratch = Scratch(docs.sparkSession, "tokencount")
-    chunks = long.mapInArrow(_cut(chunk, warm), f"id {id_type}, n_bytes long, h long, pos int, lead string, chunk string")
+    chunks = long.mapInArrow(_cut(chunk, warm), f"id {id_type}, n_bytes long, h long, pos int, run int, lead string, chunk string")
     chunks = scratch.keep(chunks.repartition("id", "h", "pos"), "chunks")
     # a row that occurs n times has n chunks at position 0, and one set of maps
     texts = chunks.where("pos = 0").groupBy("id", "n_bytes", "h").agg(F.count("*").cast("int").alias("times"))
-    maps = closed(chunks, path, scratch).groupBy("id", "h").agg(composed(F.collect_set(F.struct("pos", "entry", "n", "exit"))).alias("n_tokens"))
-    t, m = texts.alias("t"), maps.alias("m")
-    counted = t.join(m, F.col("t.id").eqNullSafe(F.col("m.id")) & (F.col("t.h") == F.col("m.h"))).select("t.id", "n_bytes", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth"))
+    t, m = texts.alias("t"), composed(closed(chunks, path, scratch), scratch).alias("m")
+    counted = t.join(m, _alike("t", "m")).select("t.id", "n_bytes", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth"))
     counted = scratch.keep(counted.drop("nth"), "counted")
     scratch.drop_all_but("counted")
     return short.unionByName(counted).withColumnRenamed("id", id_col)

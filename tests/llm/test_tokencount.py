@@ -58,3 +58,14 @@ def test_maps_compose(library):
         n, state = machine.map(text[k : k + 11], state)
         total += n
     assert total == machine.count(text) == library(text[1:].replace(tokencount.SPACE, " "))
+
+
+@pytest.mark.parametrize("text, most", [("a" * (20 << 16), 9), ("word " * (3 << 16), 1), (("ab" * 40_000 + " ") * 9, 9)])
+def test_rounds_do_not_grow_with_chunks(spark, library, monkeypatch, text, most):
+    """At the production size of chunks: the rounds are those that looked up a state, and one that found none lacking."""
+    kept, keep = [], tokencount.Scratch.keep
+    monkeypatch.setattr(tokencount.Scratch, "keep", lambda self, df, name: kept.append(name) or keep(self, df, name))
+    rows = tokencount.token_counts(awkward(spark, [text, "a b"]), PATH).collect()
+    assert {r.doc_id: r.n_tokens for r in rows} == {0: library(text), 1: library("a b")}
+    assert sum(name.startswith("maps") for name in kept) - 1 <= most
+    assert sum(name.startswith("composed") for name in kept) <= (len(text) >> 16).bit_length()
