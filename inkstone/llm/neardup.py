@@ -244,6 +244,10 @@ def prefix(text: Column, counts: np.ndarray) -> Column:
     return run(F.encode(text, "UTF-8"))
 
 
+#: Parts of the pairs that name one class.
+SPREAD = 1024
+
+
 def reachable(n: Column, place: Column, m: Column, other: Column) -> Column:
     """Sets of n and m shingles whose first common shingle has these places share no more than what comes after it in either
     set, and linked sets share ``LINK[0] * (n + m) / (LINK[0] + LINK[1])`` at least."""
@@ -260,9 +264,18 @@ def sketched_alike(a: Column, b: Column, n: Column, m: Column) -> Column:
     return differ <= most_different(n, m)
 
 
+def attached(pairs: DataFrame, side: str, rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the columns of ``rows``, by ``id``, of one side. A large group names one class in all its pairs: its row is
+    copied, once for each of ``SPREAD`` parts of the pairs that there are, so that no task gets more than a part."""
+    other = "a" if side == "b" else "b"
+    parted = pairs.withColumn("part", F.pmod(F.xxhash64(other), F.lit(SPREAD)))
+    copies = parted.select(side, "part").distinct().join(rows.withColumnRenamed("id", side), side)
+    return parted.join(copies, [side, "part"]).drop("part")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (a, b) those whose full sets are similar enough. ``sets``: (id, s)."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    both = attached(attached(pairs, "a", sets.withColumnRenamed("s", "sa")), "b", sets.withColumnRenamed("s", "sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(LINK[1] * common >= LINK[0] * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
@@ -355,7 +368,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = components(links.union(rare), scratch, "components3")
 
     of_class = classes.join(found, classes["class"] == found["id"], "left").select("n", "f1", "f2", F.coalesce("component", "class").alias("component"))
-    out = made.select("id", "n", "f1", "f2").join(of_class, ["n", "f1", "f2"], "left")
+    # documents without shingles are linked with nothing, and would all be one key
+    out = made.where("n > 0").select("id", "n", "f1", "f2").join(of_class, ["n", "f1", "f2"], "left").unionByName(made.where("n = 0").select("id", "n", "f1", "f2"), allowMissingColumns=True)
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     out = scratch.keep(out.withColumn("kept", F.col(id_col) == F.col("component_id")), "result")
     scratch.drop_all_but("result")
@@ -388,8 +402,7 @@ def sharing_rare(held: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFra
 
 def _alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Of pairs (a, an, b, bn) those that odd sketches leave."""
-    side = lambda c: sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"{c}s"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = attached(attached(pairs, "a", sketches.select("id", F.col("sketch").alias("as"))), "b", sketches.select("id", F.col("sketch").alias("bs")))
     return both.where(sketched_alike(F.col("as"), F.col("bs"), F.col("an"), F.col("bn"))).select("a", "b")
 
 

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkstone.llm import neardup
 from inkstone.llm.scratch import Scratch
@@ -129,3 +130,22 @@ def test_one_id_with_two_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs.repartition(n)).collect()) for n in (1, 3)]
     assert got[0] == got[1] == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 2, 4)]
+
+
+def test_no_join_gathers_a_large_group(spark, monkeypatch):
+    """Near copies of one text: their pairs all name one class, and no key of a join gets more than its part of them."""
+    largest, attached = [], neardup.attached
+
+    def watched(pairs, side, rows):
+        other = "a" if side == "b" else "b"
+        keys = pairs.groupBy(side, F.pmod(F.xxhash64(other), F.lit(neardup.SPREAD))).count()
+        largest.append((pairs.groupBy(side).count().agg(F.max("count")).first()[0] or 0, keys.agg(F.max("count")).first()[0] or 0))
+        return attached(pairs, side, rows)
+
+    monkeypatch.setattr(neardup, "attached", watched)
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*words[: i % 199], f"x{i}", *words[i % 199 + 1 :]]) for i in range(2_000)] + [""] * 50
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = neardup.near_duplicates(rows).collect()
+    assert {r.component_id for r in got if r.n_shingles} == {0} and sum(r.kept for r in got) == 51
+    assert max(whole for whole, _ in largest) > 500 and max(part for _, part in largest) < 20
