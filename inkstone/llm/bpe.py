@@ -1,22 +1,18 @@
 """Byte-level BPE encoding and decoding by a distinct-word table.
 
-Texts are split into words by the tokenizer's own rule; a merge never crosses words, so each distinct word is encoded once
-in the whole table of documents and its ids are joined back to all its places. Tokens are decoded by a join of ids and pieces: the
-table of pieces (bounded by the vocabulary) has a row for each ``RANGE`` ids, each page lists the ranges that its ids lie in,
-and the join brings it their pieces.
+Texts are split into words by the tokenizer's own rule; a merge never crosses words, so each distinct word of the whole table of
+documents is encoded once and its ids are joined back to all its places. Tokens are decoded by a join of ids and pieces.
 
-Places are kept small: the documents of a task are gathered in *pages* of about ``PAGE`` characters, each with a list of its
-distinct words and, for each document, the row of numbers of its words. A page's words are dealt into buckets by their hash,
-and the words of a bucket travel as one compressed block. What is shuffled are these blocks, the blocks of ids on the way
-back, and the compressed pages: never a row per word.
+    documents -> (page, words, packed)    written once: the page's distinct words; its documents as rows of word numbers
+    words     -> (word)                   distinct over all pages, each encoded once: (word, ids)
+              -> (page, place, ids)       by a join on the word; written
+              -> (page, id)               distinct, joined with the table of pieces by id: (page, id, piece)
+    pages     -> documents                cogrouped by page: ids by position, pieces by id
 
-    documents -> (page, bucket, words)           sorted by bucket: each distinct word encoded once, its ids to all its pages
-              -> (page, bucket, ids), (page, range)
-              -> join pieces by range            cogrouped by page with
-    documents -> (page, documents as word numbers)            ids and pieces by position
-
-A page is named by a digest of its contents, so the two passes over the documents agree, and a page whose words don't come
-(the input gave its rows in another order the second time, so the digest is another) is encoded from its own list of words.
+Places are kept small: the documents of a task are gathered in *pages* of about ``PAGE`` characters, so what is shuffled is a row for
+each distinct word of a page and for each distinct id of a page, not for each token. A word has at most one row a page, however common it
+is; equal words are brought together after they were made distinct where they stand. Documents are read and split once: pages are
+written, and all later steps read them.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; the strings of special tokens are those tokens,
 as the library has it; repeated rows each get their own result; an empty table gives an empty result; only the id and text
@@ -26,24 +22,23 @@ columns are read, and other columns are left out of the result.
 from __future__ import annotations
 
 import os
-from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.llm.memory import modest_batches, release
+from inkstone.llm.scratch import Scratch
 
 PAGE = 8_000_000
-#: Words whose ids a task holds at a time; beyond, they are forgotten and encoded again.
-MOST_WORDS = 100_000
-#: Ids whose pieces make one row of the table of pieces.
-RANGE = 256
+#: Bytes of a row group of the written pages: what Spark's reader holds of them at a time.
+ROW_GROUP = 16 << 20
 #: The split rule of byte-level BPE.
 RULE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -65,8 +60,6 @@ class Splitter:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        #: How ids are written between tasks.
-        self.id_type = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.findall = regex.compile(RULE).findall
         added = self.tokenizer.get_added_tokens_decoder().values()
         if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added):
@@ -135,197 +128,118 @@ class Page:
     """Documents as rows of word numbers. Splitting is per distinct stretch between single spaces; a text with other white
     space next to a space or line end, or with special tokens, is split as a whole."""
 
-    def __init__(self, split: Splitter, rows: bool):
-        import xxhash
-
+    def __init__(self, split: Splitter):
         self.split, self.numbers = split, Numbers()
         self.stretches = Stretches(split, self.numbers)
-        self.rows: list[np.ndarray] | None = [] if rows else None
+        self.rows: list[np.ndarray] = []
         self.ids: list = []
         self.size = 0
-        self.digest = xxhash.xxh3_64()
 
     def add(self, doc_id, text: str | None) -> None:
         text = text or ""
         self.ids.append(doc_id)
         self.size += len(text)
-        self.digest.update(f"{doc_id!r}:{len(text)};{text}")
         first, *rest = text.replace("\n", " \n").split(" ")
         try:
             if any(s in text for s in self.split.special) or first[-1:].isspace():
                 raise Uneven
-            if self.rows is None:
-                deque(map(self.stretches.__getitem__, rest), maxlen=0)
-                rest = ()
-            else:
-                rest = list(chain.from_iterable(map(self.stretches.__getitem__, rest)))
+            rest = list(chain.from_iterable(map(self.stretches.__getitem__, rest)))
             words = self.split._plain(first)
         except Uneven:
-            words, rest = self.split.words(text), ()
-        row = [self.numbers[w] for w in words]
-        if self.rows is not None:
-            self.rows.append(np.array(row + rest if rest else row, np.int32))
+            words, rest = self.split.words(text), []
+        self.rows.append(np.array([self.numbers[w] for w in words] + rest, np.int32))
 
     def close(self) -> None:
         """Forgets the stretches; their words' numbers are kept."""
         self.stretches.clear()
 
-    def name(self) -> int:
-        """A digest of what is in the page."""
-        return self.digest.intdigest() - (1 << 63)
-
-    def words(self, buckets: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """The distinct words ordered by bucket and then by themselves, the place in it of each word's number, and the number
-        of words in each bucket. Words of stretches in texts that were split as a whole may be among them: both passes meet
-        the same."""
+    def packed(self, id_type: pa.DataType) -> tuple[list[str], bytes]:
+        """The distinct words in order, and ids of documents and rows, compressed. In the rows a word's number is its rank by
+        frequency, which packs best; the numbers' bytes are laid out by significance."""
         words = list(self.numbers)
-        order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
-        bucket = np.fromiter((crc32(w.encode()) % buckets for w in words), np.int64, len(words))
-        order = order[np.argsort(bucket[order], kind="stable")]
+        order = sorted(range(len(words)), key=words.__getitem__)
         place = np.empty(len(words), np.int32)
         place[order] = np.arange(len(words), dtype=np.int32)
-        return [words[i] for i in order], place, np.bincount(bucket, minlength=buckets)
-
-    def packed(self, id_type: pa.DataType, buckets: int) -> bytes:
-        """Ids, rows and words, compressed. In the rows a word's number is its rank by frequency, which packs best; the
-        numbers' bytes are laid out by significance."""
-        words, place, _ = self.words(buckets)
-        numbers = place[np.concatenate(self.rows)] if self.numbers else np.zeros(0, np.int32)
+        numbers = place[np.concatenate(self.rows)] if words else np.zeros(0, np.int32)
         by_rank = np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable").astype(np.int32)
         rank = np.empty_like(by_rank)
         rank[by_rank] = np.arange(len(words), dtype=np.int32)
         docs = pa.record_batch([pa.array(self.ids, id_type), pa.array([len(r) for r in self.rows], pa.int64())], ["id", "n"])
         sink = pa.BufferOutputStream()
-        for batch in (docs, planes(rank[numbers]), planes(by_rank), pa.record_batch([pa.array(words, pa.string())], ["word"])):
+        for batch in (docs, planes(rank[numbers]), planes(by_rank)):
             with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as writer:
                 writer.write_batch(batch)
-        return sink.getvalue().to_pybytes()
+        return [words[i] for i in order], sink.getvalue().to_pybytes()
 
 
 def planes(numbers: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel())], ["plane"])
 
 
-def unpacked(payload: bytes) -> tuple[pa.Table, np.ndarray, pa.Table]:
+def unpacked(payload: bytes) -> tuple[pa.Table, np.ndarray]:
+    """Ids of documents with the lengths of their rows, and the rows one after another."""
     source = pa.BufferReader(payload)
-    docs, ranks, by_rank, words = (pa.ipc.open_stream(source).read_all().combine_chunks() for _ in range(4))
+    docs, ranks, by_rank = (pa.ipc.open_stream(source).read_all().combine_chunks() for _ in range(3))
     whole = lambda t: np.ascontiguousarray(t["plane"].to_numpy().reshape(4, -1).T).view("<u4").ravel()
-    return docs, whole(by_rank)[whole(ranks)], words
-
-
-def _pages(batches: Iterator[pa.RecordBatch], path: str, rows: bool) -> Iterator[tuple[Page, pa.DataType]]:
-    page, kind = Page(splitter(path), rows), None
-    for batch in batches:
-        kind = batch.column(0).type
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            page.add(doc_id, text)
-            if page.size >= PAGE:
-                page.close()
-                yield page, kind
-                del page  # before the next one begins
-                page = Page(splitter(path), rows)
-    if page.ids:
-        page.close()
-        yield page, kind
+    return docs, whole(by_rank)[whole(ranks)]
 
 
-def block(runs: list[bytes]) -> bytes:
-    """Runs of bytes as their lengths, laid out by significance, and the bytes, compressed."""
-    lengths = np.array(list(map(len, runs)), "<u4")
-    raw = lengths.view(np.uint8).reshape(-1, 4).T.tobytes() + b"".join(runs)
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 5).compress(raw, asbytes=True)
-
-
-def unblocked(packed: bytes, n: int) -> tuple[np.ndarray, bytes]:
-    """Lengths of the runs, and their bytes."""
-    raw = pa.Codec("zstd").decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True)
-    lengths = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n).reshape(4, -1).T).view("<u4").ravel()
-    return lengths.astype(np.int64), raw[4 * n :]
-
-
-BLOCKS = "page long, bucket int, n int, packed binary"
-CODED = f"{BLOCKS}, range int"
-_BLOCKS = ["page", "bucket", "n", "packed"]
-
+def _paged(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, kind, page = TaskContext.get().partitionId() << 32, None, Page(splitter(path))
 
-def _word_blocks(path: str, buckets: int):
-    def blocks_of(page: Page) -> pa.RecordBatch:
-        words, _, sizes = page.words(buckets)
-        held = np.flatnonzero(sizes)
-        ends = np.cumsum(sizes[held])
-        packed = [block([w.encode() for w in words[end - n : end]]) for n, end in zip(sizes[held].tolist(), ends.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(held), page.name())), pa.array(held.astype(np.int32)), pa.array(sizes[held].astype(np.int32)), pa.array(packed, pa.binary())], _BLOCKS)
+        def closed() -> pa.RecordBatch:
+            page.close()
+            words, packed = page.packed(kind)
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([words], pa.list_(pa.string())), pa.array([packed], pa.binary())], ["page", "words", "packed"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for page, _ in _pages(batches, path, rows=False):
-            yield blocks_of(page)
-            del page  # or it would stay while the next one is gathered
+        for batch in batches:
+            kind = batch.column(0).type
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                page.add(doc_id, text)
+                if page.size >= PAGE:
+                    yield closed()
+                    del page  # before the next one begins
+                    number, page = number + 1, Page(splitter(path))
+        if page.ids:
+            yield closed()
+        del page
         release()
 
     return run
 
 
-def _page_rows(path: str, buckets: int):
+def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for page, kind in _pages(batches, path, rows=True):
-            yield pa.RecordBatch.from_arrays([pa.array([page.name()], pa.int64()), pa.array([page.packed(kind, buckets)], pa.binary())], ["page", "packed"])
-            del page
+        encode = splitter(path).encode
+        for batch in batches:
+            words = batch.column(0)
+            yield pa.RecordBatch.from_arrays([words, pa.array(encode(words.to_pylist()), pa.list_(pa.int32()))], ["word", "ids"])
         release()
 
     return run
 
 
-def _id_blocks(path: str):
-    """Blocks of words sorted by bucket to blocks of their ids, and to rows of the ranges that a page's ids lie in: each range
-    once in a task."""
+def pages_of(docs: DataFrame, path: str) -> DataFrame:
+    """Rows (page, words, packed) of a table of ids and texts. A page's number is that of its task and its place there: it holds for one
+    reading of the table, so pages must be written before they are used twice."""
+    return docs.mapInArrow(_paged(path), "page long, words array<string>, packed binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, known, last, ranges = splitter(path), {}, None, {}
-        for batch in batches:
-            out, pages, at = [], [], []
-            for page, bucket, n, packed in zip(*(batch.column(c).to_pylist() for c in _BLOCKS), strict=True):
-                if bucket != last or len(known) > MOST_WORDS:
-                    known, last = {}, bucket
-                lengths, raw = unblocked(packed, n)
-                ends = np.cumsum(lengths).tolist()
-                words = [raw[low:high] for low, high in zip([0, *ends[:-1]], ends, strict=True)]
-                fresh = [w for w in words if w not in known]
-                known.update(zip(fresh, (np.array(i, split.id_type).tobytes() for i in split.encode([w.decode() for w in fresh])), strict=True))
-                ids = [known[w] for w in words]
-                out.append(block(ids))
-                had = ranges.get(page, 0)
-                for r in np.unique(np.frombuffer(b"".join(ids), split.id_type) // RANGE).tolist():
-                    if not had >> r & 1:
-                        had |= 1 << r
-                        pages.append(page)
-                        at.append(r)
-                ranges[page] = had
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _BLOCKS[:3]), pa.array(out, pa.binary()), pa.nulls(len(out), pa.int32())], [*_BLOCKS, "range"])
-            none = [pa.nulls(len(at), t) for t in (pa.int32(), pa.int32(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), *none, pa.array(at, pa.int32())], [*_BLOCKS, "range"])
-        del known, ranges
-        release()
 
-    return run
+def word_table(words: DataFrame, path: str) -> DataFrame:
+    """One row (word, ids) for each distinct word."""
+    return words.select("word").distinct().mapInArrow(_encoded(path), "word string, ids array<int>")
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """Blocks of words with the words' ids in their place (the table is sorted by bucket, and each distinct word of a bucket is
-    encoded once for all its pages), and rows (page, range) of the ranges of these ids."""
-    return words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_id_blocks(path), CODED)
+    """Rows (page, place, ids) of rows (page, place, word)."""
+    return words.join(word_table(words, path), "word").select("page", "place", "ids")
 
 
 def with_pieces(coded: DataFrame, path: str) -> DataFrame:
-    """The join of ids and pieces: each range of a page, once, with its pieces; blocks of ids have none."""
-    held = coded.repartition("page").groupBy("page", "bucket", "range").agg(F.first("n").alias("n"), F.first("packed").alias("packed"))
-    return held.join(F.broadcast(piece_ranges(coded.sparkSession, path)), "range", "left").select(*_BLOCKS, "range", "pieces")
-
-
-def piece_ranges(spark: SparkSession, path: str) -> DataFrame:
-    """The table of pieces, ``RANGE`` ids a row."""
-    found = piece_bytes(path)
-    rows = [(r, [bytearray(p) for p in found[r * RANGE : (r + 1) * RANGE]]) for r in range(-(-len(found) // RANGE))]
-    return spark.createDataFrame(rows, "range int, pieces array<binary>")
+    """Rows (page, id, piece): the distinct ids of each page, joined with the table of pieces, which the vocabulary bounds."""
+    held = coded.select("page", F.explode("ids").alias("id")).distinct()
+    return held.join(F.broadcast(pieces(coded.sparkSession, path)), "id").select("page", "id", F.unhex("piece").alias("piece"))
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -369,44 +283,31 @@ class Gather:
         return self.flat[np.repeat(self.starts[rows] - (ends - n), n) + np.arange(ends[-1])]
 
 
-def _piece_table(ranges: list[int], pieces: list[list[bytes]]) -> Gather:
-    """Pieces by id, of the ranges that are there."""
-    found = dict(zip(ranges, pieces, strict=True))
-    listed = [p for r in range(max(found, default=-1) + 1) for p in found.get(r, [b""] * RANGE)]
-    return Gather(np.frombuffer(b"".join(listed), np.uint8), np.array(list(map(len, listed)), np.int64))
-
-
-def _assemble(path: str, id_type: pa.DataType):
+def _assemble(id_type: pa.DataType):
     schema = pa.schema([("id", id_type), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
-    def run(pages: pa.Table, words: pa.Table) -> pa.Table:
-        out, width = [], np.dtype(splitter(path).id_type)
-        blocks, ranges, pieces = {}, [], []
-        for r in words.select(["bucket", "n", "packed", "range", "pieces"]).to_pylist():
-            if r["range"] is None:
-                blocks[r["bucket"]] = unblocked(r["packed"], r["n"])
-            else:
-                ranges.append(r["range"])
-                pieces.append(r["pieces"])
-        parts = [blocks[b] for b in sorted(blocks)]
-        sizes = np.concatenate([np.zeros(0, np.int64), *(n for n, _ in parts)])
-        flat = np.frombuffer(b"".join(ids for _, ids in parts), width)
-        blocks.clear()
+    def by_number(rows: pa.Table, number: str, lists: str) -> tuple[np.ndarray, pa.Array]:
+        """The row of each number, and the values of the rows."""
+        rows = rows.filter(pc.is_valid(rows[number])).combine_chunks()
+        numbers = rows[number].to_numpy()
+        at = np.zeros(numbers.max(initial=-1) + 1, np.int64)
+        at[numbers] = np.arange(len(numbers))
+        return at, rows[lists].combine_chunks()
+
+    def run(pages: pa.Table, found: pa.Table) -> pa.Table:
+        word_row, lists = by_number(found, "place", "ids")
+        piece_row, listed = by_number(found, "id", "piece")
+        of_word = Gather(pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int32), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+        of_id = Gather(np.frombuffer(b"".join(listed.to_pylist()), np.uint8), pc.binary_length(listed).to_numpy(zero_copy_only=False).astype(np.int64))
+        out = []
         for packed in pages["packed"]:
-            docs, numbers, own = unpacked(packed.as_py())
-            if not len(sizes) and own.num_rows:
-                lists = [np.array(x, width).tobytes() for x in splitter(path).encode(own["word"].to_pylist())]
-                sizes, flat = np.array(list(map(len, lists)), np.int64), np.frombuffer(b"".join(lists), width)
-                every = piece_bytes(path)
-                ranges, pieces = list(range(-(-len(every) // RANGE))), [every[i : i + RANGE] for i in range(0, len(every), RANGE)]
-            table = Gather(flat.astype(np.int32), sizes // width.itemsize)
-            by_id = _piece_table(ranges, pieces)
+            docs, numbers = unpacked(packed.as_py())
             tokens, texts, at = [np.zeros(0, np.int32)], [], 0
             for n in docs["n"].to_pylist():
-                ids = table.of(numbers[at : at + n])
+                ids = of_word.of(word_row[numbers[at : at + n]])
                 at += n
                 tokens.append(ids)
-                texts.append(by_id.of(ids).tobytes().decode("utf-8", "replace"))
+                texts.append(of_id.of(piece_row[ids]).tobytes().decode("utf-8", "replace"))
             ends = np.cumsum([len(t) for t in tokens]).astype(np.int32)
             ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tokens)))
             out.append(pa.table([docs["id"].combine_chunks(), ids, pa.array(texts, pa.string())], schema))
@@ -421,12 +322,13 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     from pyspark.sql.pandas.types import to_arrow_type
 
     modest_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "bpe")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType
-    # as many buckets as tasks could share, twice over
-    buckets = max(256, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    words = rows.mapInArrow(_word_blocks(path, buckets), BLOCKS)
-    pages = rows.mapInArrow(_page_rows(path, buckets), "page long, packed binary")
-    coded = with_pieces(encode_words(words, path), path)
-    out = pages.groupBy("page").cogroup(coded.groupBy("page")).applyInArrow(_assemble(path, to_arrow_type(id_type)), f"id {id_type.simpleString()}, ids array<int>, decoded string")
+    pages = scratch.keep(pages_of(rows, path), "pages", {"parquet.block.size": ROW_GROUP, "parquet.block.size.row.check.min": 1})
+    words = pages.select("page", F.posexplode("words").alias("place", "word"))
+    coded = scratch.keep(encode_words(words, path), "coded")
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    found = coded.select("*", none("id", "int"), none("piece", "binary")).unionByName(with_pieces(coded, path).select("page", none("place", "int"), none("ids", "array<int>"), "id", "piece"))
+    out = pages.select("page", "packed").groupBy("page").cogroup(found.groupBy("page")).applyInArrow(_assemble(to_arrow_type(id_type)), f"id {id_type.simpleString()}, ids array<int>, decoded string")
     return out.withColumnRenamed("id", id_col)

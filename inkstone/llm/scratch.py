@@ -32,8 +32,8 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+    def keep(self, df: DataFrame, name: str, options: dict[str, int] | None = None) -> DataFrame:
+        df.write.mode("overwrite").options(**options or {}).parquet(self.path(name))
         self.kept.add(name)
         return self.spark.read.parquet(self.path(name))
 

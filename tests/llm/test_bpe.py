@@ -55,3 +55,17 @@ def test_decode_by_join(spark, library):
 def test_split_words_encode_as_the_text(library, text):
     split = bpe.splitter(PATH)
     assert [i for ids in split.encode(split.words(text)) for i in ids] == library(text)[0]
+
+
+def test_each_distinct_word_is_encoded_once(spark, library, monkeypatch):
+    """Many pages that share words: the word table has a row a word, and equal words get equal ids in all pages."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(bpe, "PAGE", 60)
+    docs = spark.createDataFrame([(i, "the shared words and one of its own " + "abcdefgh"[i % 8] * (i + 1)) for i in range(40)], "doc_id long, text string")
+    pages = bpe.pages_of(docs.select(F.col("doc_id").alias("id"), "text"), PATH)
+    words = pages.select("page", F.posexplode("words").alias("place", "word"))
+    table = bpe.word_table(words, PATH)
+    assert pages.count() > 10 and table.count() == words.select("word").distinct().count() == 8 + 40
+    assert words.count() > 3 * table.count()
+    assert {r.doc_id: (r.ids, r.decoded) for r in bpe.encode_decode(docs, PATH).collect()} == {r.doc_id: library(r.text) for r in docs.collect()}
