@@ -4,14 +4,14 @@ Texts are split into words by the tokenizer's own rule; a merge never crosses wo
 documents is encoded once and its ids are joined back to all its places. Tokens are decoded by a join of ids and pieces.
 
     documents -> (page, words, packed)    written once: the page's distinct words; its documents as rows of word numbers
-    words     -> (word)                   distinct over all pages, each encoded once: (word, ids)
-              -> (page, place, ids)       by a join on the word; written
+    words     -> (page, place, word)      shuffled and sorted by word: each distinct word is one run, encoded once
+              -> (page, place, ids)       written
               -> (page, id)               distinct, joined with the table of pieces by id: (page, id, piece)
     pages     -> documents                cogrouped by page: ids by position, pieces by id
 
 Places are kept small: the documents of a task are gathered in *pages* of about ``PAGE`` characters, so what is shuffled is a row for
 each distinct word of a page and for each distinct id of a page, not for each token. A word has at most one row a page, however common it
-is; equal words are brought together after they were made distinct where they stand. Documents are read and split once: pages are
+is, and the rows of equal words are read as a stream, so a task holds one batch of them. Documents are read and split once: pages are
 written, and all later steps read them.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; the strings of special tokens are those tokens,
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from inkstone.llm.memory import modest_batches, release
 from inkstone.llm.scratch import Scratch
 
-PAGE = 8_000_000
+PAGE = 32_000_000
 #: Bytes of a row group of the written pages: what Spark's reader holds of them at a time.
 ROW_GROUP = 16 << 20
 #: The split rule of byte-level BPE.
@@ -210,11 +210,18 @@ def _paged(path: str):
 
 
 def _encoded(path: str):
+    """Rows sorted by word to rows with ids: each run of equal words is encoded once, also where it goes on in the next batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = splitter(path).encode
+        encode, last, known = splitter(path).encode, None, []
         for batch in batches:
-            words = batch.column(0)
-            yield pa.RecordBatch.from_arrays([words, pa.array(encode(words.to_pylist()), pa.list_(pa.int32()))], ["word", "ids"])
+            runs = batch.column("word").dictionary_encode()
+            words = runs.dictionary.to_pylist()
+            if words:
+                held = [known] if words[0] == last else []
+                ids = held + encode(words[len(held) :])
+                last, known = words[-1], ids[-1]
+                yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("place"), pa.array(ids, pa.list_(pa.int32())).take(runs.indices)], ["page", "place", "ids"])
         release()
 
     return run
@@ -226,14 +233,10 @@ def pages_of(docs: DataFrame, path: str) -> DataFrame:
     return docs.mapInArrow(_paged(path), "page long, words array<string>, packed binary")
 
 
-def word_table(words: DataFrame, path: str) -> DataFrame:
-    """One row (word, ids) for each distinct word."""
-    return words.select("word").distinct().mapInArrow(_encoded(path), "word string, ids array<int>")
-
-
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """Rows (page, place, ids) of rows (page, place, word)."""
-    return words.join(word_table(words, path), "word").select("page", "place", "ids")
+    """Rows (page, place, ids) of rows (page, place, word): equal words are brought together and sorted, and each distinct one is encoded
+    once for all its pages."""
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded(path), "page long, place int, ids array<int>")
 
 
 def with_pieces(coded: DataFrame, path: str) -> DataFrame:
