@@ -5,12 +5,12 @@ documents is encoded once and its ids are joined back to all its places. Tokens
 
     documents -> (page, words, packed)    written once: the page's distinct words; its documents as rows of word numbers
     words     -> (page, place, word)      shuffled and sorted by word: each distinct word is one run, encoded once
-              -> (page, place, ids)       written
+              -> (page, block of ids)     places in the page with their ids, packed; written
               -> (page, id)               distinct, joined with the table of pieces by id: (page, id, piece)
     pages     -> documents                cogrouped by page: ids by position, pieces by id
 
 Places are kept small: the documents of a task are gathered in *pages* of about ``PAGE`` characters, so what is shuffled is a row for
-each distinct word of a page and for each distinct id of a page, not for each token. A word has at most one row a page, however common it
+each distinct word of a page and for each distinct id of a page, not for each token, and ids come back in blocks. A word has at most one row a page, however common it
 is, and the rows of equal words are read as a stream, so a task holds one batch of them. Documents are read and split once: pages are
 written, and all later steps read them.
 
@@ -36,7 +36,9 @@ from pyspark.sql import functions as F
 from inkstone.llm.memory import modest_batches, release
 from inkstone.llm.scratch import Scratch
 
-PAGE = 32_000_000
+PAGE = 16_000_000
+#: Rows of words with ids that a task gathers before it gives them out as one block for each page.
+BLOCK_ROWS = 1 << 18
 #: Bytes of a row group of the written pages: what Spark's reader holds of them at a time.
 ROW_GROUP = 16 << 20
 #: The split rule of byte-level BPE.
@@ -209,19 +211,61 @@ def _paged(path: str):
     return run
 
 
+def by_significance(*columns: np.ndarray) -> bytes:
+    """Numbers laid out by the significance of their bytes, compressed."""
+    raw = b"".join(c.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns)
+    return pa.Codec("zstd", 5).compress(raw, asbytes=True)
+
+
+def block(place: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
+    """Rising places in a page, and the ids of the words there, one after another."""
+    return by_significance(np.diff(place, prepend=0), lengths, ids)
+
+
+def unblocked(packed: bytes, rows: int, tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = np.frombuffer(pa.Codec("zstd").decompress(packed, 4 * (2 * rows + tokens), asbytes=True), np.uint8)
+    steps, lengths, ids = (np.ascontiguousarray(raw[4 * low : 4 * high].reshape(4, -1).T).view("<u4").ravel() for low, high in ((0, rows), (rows, 2 * rows), (2 * rows, 2 * rows + tokens)))
+    return np.cumsum(steps.astype(np.int64)), lengths.astype(np.int64), ids.astype(np.int32)
+
+
+def _blocks(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Rows (page, place, ids) as one row (page, rows, tokens, packed, ids) for each page, with the distinct ids."""
+    rows = pa.Table.from_batches(held).combine_chunks()
+    page, place, lists = rows["page"].to_numpy(), rows["place"].to_numpy(), rows["ids"].combine_chunks()
+    order = np.lexsort((place, page))
+    page, place = page[order], place[order]
+    lengths = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    flat = Gather(pc.list_flatten(lists).to_numpy(), lengths).of(order)
+    lengths = lengths[order]
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    names, low = np.unique(page, return_index=True)
+    high = np.append(low[1:], len(page))
+    own = [flat[ends[a] : ends[b]] for a, b in zip(low, high, strict=True)]
+    packed = [block(place[a:b], lengths[a:b], ids) for a, b, ids in zip(low, high, own, strict=True)]
+    counts = [pa.array((high - low).astype(np.int32)), pa.array(np.array(list(map(len, own)), np.int32))]
+    return pa.RecordBatch.from_arrays([pa.array(names), *counts, pa.array(packed, pa.binary()), pa.array([np.unique(ids) for ids in own], pa.list_(pa.int32()))], ["page", "rows", "tokens", "packed", "ids"])
+
+
 def _encoded(path: str):
-    """Rows sorted by word to rows with ids: each run of equal words is encoded once, also where it goes on in the next batch."""
+    """Rows sorted by word to blocks of ids: each run of equal words is encoded once, also where it goes on in the next batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last, known = splitter(path).encode, None, []
+        encode, last, known, held, n = splitter(path).encode, None, [], [], 0
         for batch in batches:
             runs = batch.column("word").dictionary_encode()
             words = runs.dictionary.to_pylist()
             if words:
-                held = [known] if words[0] == last else []
-                ids = held + encode(words[len(held) :])
+                again = [known] if words[0] == last else []
+                ids = again + encode(words[len(again) :])
                 last, known = words[-1], ids[-1]
-                yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("place"), pa.array(ids, pa.list_(pa.int32())).take(runs.indices)], ["page", "place", "ids"])
+                held.append(pa.RecordBatch.from_arrays([batch.column("page"), batch.column("place"), pa.array(ids, pa.list_(pa.int32())).take(runs.indices)], ["page", "place", "ids"]))
+                n += batch.num_rows
+            if n >= BLOCK_ROWS:
+                yield _blocks(held)
+                held, n = [], 0
+        if held:
+            yield _blocks(held)
+        del held
         release()
 
     return run
@@ -234,9 +278,9 @@ def pages_of(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """Rows (page, place, ids) of rows (page, place, word): equal words are brought together and sorted, and each distinct one is encoded
-    once for all its pages."""
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded(path), "page long, place int, ids array<int>")
+    """Blocks (page, rows, tokens, packed, ids) of rows (page, place, word): equal words are brought together and sorted, and each
+    distinct one is encoded once for all its pages. A block's ``ids`` are the distinct ones in it."""
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded(path), "page long, rows int, tokens int, packed binary, ids array<int>")
 
 
 def with_pieces(coded: DataFrame, path: str) -> DataFrame:
@@ -286,22 +330,24 @@ class Gather:
         return self.flat[np.repeat(self.starts[rows] - (ends - n), n) + np.arange(ends[-1])]
 
 
+def row_of(numbers: np.ndarray) -> np.ndarray:
+    """The row that holds each number."""
+    at = np.zeros(numbers.max(initial=-1) + 1, np.int64)
+    at[numbers] = np.arange(len(numbers))
+    return at
+
+
 def _assemble(id_type: pa.DataType):
     schema = pa.schema([("id", id_type), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
-    def by_number(rows: pa.Table, number: str, lists: str) -> tuple[np.ndarray, pa.Array]:
-        """The row of each number, and the values of the rows."""
-        rows = rows.filter(pc.is_valid(rows[number])).combine_chunks()
-        numbers = rows[number].to_numpy()
-        at = np.zeros(numbers.max(initial=-1) + 1, np.int64)
-        at[numbers] = np.arange(len(numbers))
-        return at, rows[lists].combine_chunks()
-
     def run(pages: pa.Table, found: pa.Table) -> pa.Table:
-        word_row, lists = by_number(found, "place", "ids")
-        piece_row, listed = by_number(found, "id", "piece")
-        of_word = Gather(pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int32), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
-        of_id = Gather(np.frombuffer(b"".join(listed.to_pylist()), np.uint8), pc.binary_length(listed).to_numpy(zero_copy_only=False).astype(np.int64))
+        blocks = found.filter(pc.is_valid(found["rows"])).select(["packed", "rows", "tokens"]).to_pylist()
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)), *(unblocked(**r) for r in blocks)]
+        place, lengths, flat = map(np.concatenate, zip(*parts, strict=True))
+        word_row, of_word = row_of(place), Gather(flat, lengths)
+        pieces = found.filter(pc.is_valid(found["id"])).combine_chunks()
+        listed = pieces["piece"].combine_chunks()
+        piece_row, of_id = row_of(pieces["id"].to_numpy()), Gather(np.frombuffer(b"".join(listed.to_pylist()), np.uint8), pc.binary_length(listed).to_numpy().astype(np.int64))
         out = []
         for packed in pages["packed"]:
             docs, numbers = unpacked(packed.as_py())
@@ -331,7 +377,6 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     pages = scratch.keep(pages_of(rows, path), "pages", {"parquet.block.size": ROW_GROUP, "parquet.block.size.row.check.min": 1})
     words = pages.select("page", F.posexplode("words").alias("place", "word"))
     coded = scratch.keep(encode_words(words, path), "coded")
-    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
-    found = coded.select("*", none("id", "int"), none("piece", "binary")).unionByName(with_pieces(coded, path).select("page", none("place", "int"), none("ids", "array<int>"), "id", "piece"))
+    found = coded.drop("ids").unionByName(with_pieces(coded, path), allowMissingColumns=True)
     out = pages.select("page", "packed").groupBy("page").cogroup(found.groupBy("page")).applyInArrow(_assemble(to_arrow_type(id_type)), f"id {id_type.simpleString()}, ids array<int>, decoded string")
     return out.withColumnRenamed("id", id_col)

@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -72,7 +73,13 @@ def test_each_distinct_word_is_encoded_once(spark, library, monkeypatch):
     monkeypatch.setattr(bpe.Splitter, "encode", lambda self, w: coded.extend(w) or encode(self, w))
     rows = sorted((r.word, r.page, r.place) for r in words.collect())
     batches = [pa.RecordBatch.from_pylist([dict(zip(("word", "page", "place"), r, strict=True)) for r in rows[i : i + 7]]) for i in range(0, len(rows), 7)]
+    monkeypatch.setattr(bpe, "BLOCK_ROWS", 20)
     found = [r for b in bpe._encoded(PATH)(iter(batches)) for r in b.to_pylist()]
     assert len(coded) == len(set(coded)) == 48
-    assert [(r["page"], r["place"], r["ids"]) for r in found] == [(p, n, library(w)[0]) for w, p, n in rows]
+    got = []
+    for r in found:
+        place, lengths, ids = bpe.unblocked(r["packed"], r["rows"], r["tokens"])
+        assert r["ids"] == sorted(set(ids.tolist()))
+        got += [(r["page"], p, i.tolist()) for p, i in zip(place.tolist(), np.split(ids, np.cumsum(lengths)[:-1]), strict=True)]
+    assert sorted(got) == sorted((p, n, library(w)[0]) for w, p, n in rows)
     assert {r.doc_id: (r.ids, r.decoded) for r in bpe.encode_decode(docs, PATH).collect()} == {r.doc_id: library(r.text) for r in docs.collect()}
