@@ -3,14 +3,15 @@
 Texts are split into words by the tokenizer's own rule; a merge never crosses words, so each distinct word of the whole table of
 documents is encoded once and its ids are joined back to all its places. Tokens are decoded by a join of ids and pieces.
 
-    documents -> (page, words, packed)    written once: the page's distinct words; its documents as rows of word numbers
-    words     -> (page, place, word)      shuffled and sorted by word: each distinct word is one run, encoded once
-              -> (page, block of ids)     places in the page with their ids, packed; written
-              -> (page, id)               distinct, joined with the table of pieces by id: (page, id, piece)
+    documents -> (page, words, packed)    written once: blocks of the page's distinct words by bucket; its documents as word numbers
+    words     -> (bucket, block)          shuffled, taken apart into (word, page, place) and sorted: each distinct word is one run,
+                                          encoded once
+              -> (page, block of ids)     places in the page with their ids; shuffled, one row a page; written
+              -> (page, id)               the page's distinct ids, joined with the table of pieces by id: (page, id, piece)
     pages     -> documents                cogrouped by page: ids by position, pieces by id
 
-Places are kept small: the documents of a task are gathered in *pages* of about ``PAGE`` characters, so what is shuffled is a row for
-each distinct word of a page and for each distinct id of a page, not for each token, and ids come back in blocks. A word has at most one row a page, however common it
+Places are kept small: the documents of a task are gathered in *pages* of about ``PAGE`` characters, and words go to their buckets and ids come
+back in packed blocks, not in a row for each token. A word has at most one row a page, however common it
 is, and the rows of equal words are read as a stream, so a task holds one batch of them. Documents are read and split once: pages are
 written, and all later steps read them.
 
@@ -25,6 +26,7 @@ import os
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,9 @@ from inkstone.llm.scratch import Scratch
 PAGE = 16_000_000
 #: Rows of words with ids that a task gathers before it gives them out as one block for each page.
 BLOCK_ROWS = 1 << 18
+#: Words that a task takes out of blocks at a time.
+WORD_ROWS = 1 << 14
+_BLOCKS = ["page", "rows", "tokens", "packed"]
 #: Bytes of a row group of the written pages: what Spark's reader holds of them at a time.
 ROW_GROUP = 16 << 20
 #: The split rule of byte-level BPE.
@@ -155,11 +160,13 @@ class Page:
         """Forgets the stretches; their words' numbers are kept."""
         self.stretches.clear()
 
-    def packed(self, id_type: pa.DataType) -> tuple[list[str], bytes]:
-        """The distinct words in order, and ids of documents and rows, compressed. In the rows a word's number is its rank by
-        frequency, which packs best; the numbers' bytes are laid out by significance."""
+    def packed(self, id_type: pa.DataType, buckets: int) -> tuple[list[dict], bytes]:
+        """Blocks of the distinct words, ordered by bucket and then by themselves, and ids of documents and rows, compressed. In the
+        rows a word's number is its rank by frequency, which packs best; the numbers' bytes are laid out by significance."""
         words = list(self.numbers)
-        order = sorted(range(len(words)), key=words.__getitem__)
+        order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+        bucket = np.fromiter((crc32(w.encode()) % buckets for w in words), np.int64, len(words))
+        order = order[np.argsort(bucket[order], kind="stable")]
         place = np.empty(len(words), np.int32)
         place[order] = np.arange(len(words), dtype=np.int32)
         numbers = place[np.concatenate(self.rows)] if words else np.zeros(0, np.int32)
@@ -171,7 +178,14 @@ class Page:
         for batch in (docs, planes(rank[numbers]), planes(by_rank)):
             with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as writer:
                 writer.write_batch(batch)
-        return [words[i] for i in order], sink.getvalue().to_pybytes()
+        sizes = np.bincount(bucket, minlength=buckets)
+        blocks = []
+        for b, n, end in zip(range(buckets), sizes.tolist(), np.cumsum(sizes).tolist(), strict=True):
+            if n:
+                runs = [words[i].encode() for i in order[end - n : end]]
+                raw = by_significance(np.array(list(map(len, runs)))) + b"".join(runs)
+                blocks.append({"bucket": b, "first": end - n, "n": n, "size": len(raw), "packed": pa.Codec("zstd", 5).compress(raw, asbytes=True)})
+        return blocks, sink.getvalue().to_pybytes()
 
 
 def planes(numbers: np.ndarray) -> pa.RecordBatch:
@@ -186,14 +200,17 @@ def unpacked(payload: bytes) -> tuple[pa.Table, np.ndarray]:
     return docs, whole(by_rank)[whole(ranks)]
 
 
-def _paged(path: str):
+WORDS = pa.list_(pa.struct([("bucket", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("size", pa.int32()), ("packed", pa.binary())]))
+
+
+def _paged(path: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, kind, page = TaskContext.get().partitionId() << 32, None, Page(splitter(path))
 
         def closed() -> pa.RecordBatch:
             page.close()
-            words, packed = page.packed(kind)
-            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([words], pa.list_(pa.string())), pa.array([packed], pa.binary())], ["page", "words", "packed"])
+            words, packed = page.packed(kind, buckets)
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([words], WORDS), pa.array([packed], pa.binary())], ["page", "words", "packed"])
 
         for batch in batches:
             kind = batch.column(0).type
@@ -211,25 +228,62 @@ def _paged(path: str):
     return run
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks (page, first, n, size, packed) to rows (word, page, place)."""
+    held, n = [], 0
+    for batch in batches:
+        for r in batch.to_pylist():
+            raw = pa.Codec("zstd").decompress(r["packed"], r["size"])
+            (lengths,) = from_significance(raw, [r["n"]])
+            ends = pa.py_buffer(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+            words = pa.StringArray.from_buffers(r["n"], ends, raw.slice(4 * r["n"]))
+            held.append(pa.RecordBatch.from_arrays([words, pa.array(np.full(r["n"], r["page"])), pa.array(np.arange(r["first"], r["first"] + r["n"], dtype=np.int32))], ["word", "page", "place"]))
+            n += r["n"]
+            if n >= WORD_ROWS:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def by_significance(*columns: np.ndarray) -> bytes:
-    """Numbers laid out by the significance of their bytes, compressed."""
-    raw = b"".join(c.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns)
-    return pa.Codec("zstd", 5).compress(raw, asbytes=True)
+    """Numbers laid out by the significance of their bytes."""
+    return b"".join(c.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns)
+
+
+def from_significance(raw: bytes, counts: list[int]) -> list[np.ndarray]:
+    at = np.frombuffer(raw, np.uint8)
+    ends = np.cumsum(counts).tolist()
+    return [np.ascontiguousarray(at[4 * (end - n) : 4 * end].reshape(4, -1).T).view("<u4").ravel() for n, end in zip(counts, ends, strict=True)]
 
 
 def block(place: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """Rising places in a page, and the ids of the words there, one after another."""
-    return by_significance(np.diff(place, prepend=0), lengths, ids)
+    return pa.Codec("zstd", 5).compress(by_significance(np.diff(place, prepend=0), lengths, ids), asbytes=True)
 
 
 def unblocked(packed: bytes, rows: int, tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = np.frombuffer(pa.Codec("zstd").decompress(packed, 4 * (2 * rows + tokens), asbytes=True), np.uint8)
-    steps, lengths, ids = (np.ascontiguousarray(raw[4 * low : 4 * high].reshape(4, -1).T).view("<u4").ravel() for low, high in ((0, rows), (rows, 2 * rows), (2 * rows, 2 * rows + tokens)))
+    steps, lengths, ids = from_significance(pa.Codec("zstd").decompress(packed, 4 * (2 * rows + tokens), asbytes=True), [rows, rows, tokens])
     return np.cumsum(steps.astype(np.int64)), lengths.astype(np.int64), ids.astype(np.int32)
 
 
+def joined(blocks: pa.Table) -> tuple[np.ndarray, Gather]:
+    """The row of each place of a page, and the rows' ids."""
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)), *(unblocked(**r) for r in blocks.select(["packed", "rows", "tokens"]).to_pylist())]
+    place, lengths, flat = map(np.concatenate, zip(*parts, strict=True))
+    return row_of(place), Gather(flat, lengths)
+
+
+def _merged(blocks: pa.Table) -> pa.Table:
+    """The blocks of one page as one, with the distinct ids. Every place of the page is in one of them."""
+    row, lists = joined(blocks)
+    ids, lengths = lists.of(row), lists.lengths[row]
+    found = [blocks["page"][:1].combine_chunks(), pa.array([len(row)], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([block(np.arange(len(row)), lengths, ids)], pa.binary())]
+    return pa.table([*found, pa.array([np.unique(ids)], pa.list_(pa.int32()))], ["page", "rows", "tokens", "packed", "ids"])
+
+
 def _blocks(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-    """Rows (page, place, ids) as one row (page, rows, tokens, packed, ids) for each page, with the distinct ids."""
+    """Rows (page, place, ids) as one row (page, rows, tokens, packed) for each page."""
     rows = pa.Table.from_batches(held).combine_chunks()
     page, place, lists = rows["page"].to_numpy(), rows["place"].to_numpy(), rows["ids"].combine_chunks()
     order = np.lexsort((place, page))
@@ -240,10 +294,9 @@ def _blocks(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     ends = np.concatenate([[0], np.cumsum(lengths)])
     names, low = np.unique(page, return_index=True)
     high = np.append(low[1:], len(page))
-    own = [flat[ends[a] : ends[b]] for a, b in zip(low, high, strict=True)]
-    packed = [block(place[a:b], lengths[a:b], ids) for a, b, ids in zip(low, high, own, strict=True)]
-    counts = [pa.array((high - low).astype(np.int32)), pa.array(np.array(list(map(len, own)), np.int32))]
-    return pa.RecordBatch.from_arrays([pa.array(names), *counts, pa.array(packed, pa.binary()), pa.array([np.unique(ids) for ids in own], pa.list_(pa.int32()))], ["page", "rows", "tokens", "packed", "ids"])
+    packed = [block(place[a:b], lengths[a:b], flat[ends[a] : ends[b]]) for a, b in zip(low, high, strict=True)]
+    counts = [pa.array(n.astype(np.int32)) for n in (high - low, ends[high] - ends[low])]
+    return pa.RecordBatch.from_arrays([pa.array(names), *counts, pa.array(packed, pa.binary())], _BLOCKS)
 
 
 def _encoded(path: str):
@@ -274,18 +327,27 @@ def _encoded(path: str):
 def pages_of(docs: DataFrame, path: str) -> DataFrame:
     """Rows (page, words, packed) of a table of ids and texts. A page's number is that of its task and its place there: it holds for one
     reading of the table, so pages must be written before they are used twice."""
-    return docs.mapInArrow(_paged(path), "page long, words array<string>, packed binary")
+    # as many buckets as tasks could share, twice over
+    buckets = max(256, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return docs.mapInArrow(_paged(path, buckets), "page long, words array<struct<bucket:int,first:int,n:int,size:int,packed:binary>>, packed binary")
+
+
+def words_of(pages: DataFrame) -> DataFrame:
+    """Rows (word, page, place), a bucket's in one task."""
+    return pages.select("page", F.inline("words")).repartition("bucket").mapInArrow(_words, "word string, page long, place int")
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """Blocks (page, rows, tokens, packed, ids) of rows (page, place, word): equal words are brought together and sorted, and each
-    distinct one is encoded once for all its pages. A block's ``ids`` are the distinct ones in it."""
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded(path), "page long, rows int, tokens int, packed binary, ids array<int>")
+    """A row (page, rows, tokens, packed, ids) for each page of rows (word, page, place), of which equal words are in one task: they are
+    sorted, and each distinct one is encoded once for all its pages. ``ids`` are the page's distinct ones."""
+    kinds = "page long, rows int, tokens int, packed binary"
+    blocks = words.sortWithinPartitions("word").mapInArrow(_encoded(path), kinds)
+    return blocks.groupBy("page").applyInArrow(_merged, f"{kinds}, ids array<int>")
 
 
 def with_pieces(coded: DataFrame, path: str) -> DataFrame:
     """Rows (page, id, piece): the distinct ids of each page, joined with the table of pieces, which the vocabulary bounds."""
-    held = coded.select("page", F.explode("ids").alias("id")).distinct()
+    held = coded.select("page", F.explode("ids").alias("id"))
     return held.join(F.broadcast(pieces(coded.sparkSession, path)), "id").select("page", "id", F.unhex("piece").alias("piece"))
 
 
@@ -341,10 +403,7 @@ def _assemble(id_type: pa.DataType):
     schema = pa.schema([("id", id_type), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def run(pages: pa.Table, found: pa.Table) -> pa.Table:
-        blocks = found.filter(pc.is_valid(found["rows"])).select(["packed", "rows", "tokens"]).to_pylist()
-        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)), *(unblocked(**r) for r in blocks)]
-        place, lengths, flat = map(np.concatenate, zip(*parts, strict=True))
-        word_row, of_word = row_of(place), Gather(flat, lengths)
+        word_row, of_word = joined(found.filter(pc.is_valid(found["rows"])))
         pieces = found.filter(pc.is_valid(found["id"])).combine_chunks()
         listed = pieces["piece"].combine_chunks()
         piece_row, of_id = row_of(pieces["id"].to_numpy()), Gather(np.frombuffer(b"".join(listed.to_pylist()), np.uint8), pc.binary_length(listed).to_numpy().astype(np.int64))
@@ -375,8 +434,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType
     pages = scratch.keep(pages_of(rows, path), "pages", {"parquet.block.size": ROW_GROUP, "parquet.block.size.row.check.min": 1})
-    words = pages.select("page", F.posexplode("words").alias("place", "word"))
-    coded = scratch.keep(encode_words(words, path), "coded")
+    coded = scratch.keep(encode_words(words_of(pages), path), "coded")
     found = coded.drop("ids").unionByName(with_pieces(coded, path), allowMissingColumns=True)
     out = pages.select("page", "packed").groupBy("page").cogroup(found.groupBy("page")).applyInArrow(_assemble(to_arrow_type(id_type)), f"id {id_type.simpleString()}, ids array<int>, decoded string")
     return out.withColumnRenamed("id", id_col)
