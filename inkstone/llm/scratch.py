@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,24 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Has Spark delete the shuffle files of a write when it ends, and not when the driver next collects its garbage. The session's
+    setting is put back."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 class Scratch:
     """Writes DataFrames as Parquet to cut their lineage; a lost executor takes nothing of them along."""
 
@@ -33,7 +53,8 @@ class Scratch:
         return f"{self.base}/{name}"
 
     def keep(self, df: DataFrame, name: str, options: dict[str, int] | None = None) -> DataFrame:
-        df.write.mode("overwrite").options(**options or {}).parquet(self.path(name))
+        with _shuffles_deleted(self.spark):
+            df.write.mode("overwrite").options(**options or {}).parquet(self.path(name))
         self.kept.add(name)
         return self.spark.read.parquet(self.path(name))
 
