@@ -326,18 +326,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # of rows with one id, the one whose text has the least hash
     one = full.join(classes.select("class").distinct(), full["id"] == classes["class"], "left_semi").groupBy("id").agg(F.min_by(F.struct("n", "buckets", "sketch", "h"), "h").alias("f")).select("id", "f.*")
     one = scratch.keep(one, "representatives")
-    sketches, texts = one.select("id", "n", "sketch"), rows.select("id", "h", "text")
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        """(id, text) of the representatives of some ids."""
-        wanted = one.select("id", "h").join(ids, "id", "left_semi")
-        return texts.join(wanted, ["id", "h"], "left_semi").groupBy("id").agg(F.any_value("text").alias("text"))
+    sums = scratch.keep(made.select("id", "n", "f1", "f2"), "sums")
+    scratch.drop("features")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         """Of pairs (a, an, b, bn) those that are similar enough."""
-        alike = scratch.keep(_alike(pairs.distinct(), sketches), f"pairs{name}")
+        alike = scratch.keep(_alike(pairs.distinct(), meeting.select("id", "n", "sketch")), f"pairs{name}")
         ends = alike.select(F.col("a").alias("id")).union(alike.select("b")).distinct()
-        return scratch.keep(verified(alike, sets_of(ends).select("id", shingles(F.col("text")).alias("s"))), f"links{name}")
+        return scratch.keep(verified(alike, texts.join(ends, "id", "left_semi").select("id", shingles(F.col("text")).alias("s"))), f"links{name}")
 
     def with_pivots(members: DataFrame) -> DataFrame:
         """Pairs of each class and its bucket's least."""
@@ -351,8 +347,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # 1. each class of a bucket with the bucket's least, over the first bands
     members = one.select("id", "n", F.posexplode("buckets").alias("band", "bucket"))
+    # kept, so that the join reads two tables and a bucket of very many classes can be split
     pivots = members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("least"), F.count("*").alias("size")).where("size > 1").select("bucket", F.col("least.id").alias("pivot"), F.col("least.n").alias("pivot_n"))
-    shared = scratch.keep(members.join(pivots, "bucket"), "shared")
+    shared = scratch.keep(members.join(scratch.keep(pivots, "pivots"), "bucket"), "shared")
+    # whole texts travel once, and those alone that share a bucket with another
+    meeting = scratch.keep(one.join(shared.select("id").distinct(), "id", "left_semi").select("id", "n", "sketch", "h"), "meeting")
+    scratch.drop("representatives", "pivots")
+    texts = rows.select("id", "h", "text").join(meeting.select("id", "h"), ["id", "h"], "left_semi").groupBy("id").agg(F.any_value("text").alias("text"))
+    texts = scratch.keep(texts, "texts")
     links = linked(with_pivots(shared.where(F.col("band") < FIRST_BANDS)), "1")
     found = components(links, scratch, "components1")
 
@@ -364,12 +366,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # 3. classes of different components that met in a bucket, by their rare shingles
     held = scratch.keep(mixed(held, found, "mixed2").select("id", "n", "component").distinct(), "held")
     if not held.isEmpty():
-        rare = linked(sharing_rare(held, scratch.keep(sets_of(held.select("id")), "texts"), scratch), "3")
+        rare = linked(sharing_rare(held, scratch.keep(texts.join(held.select("id"), "id", "left_semi"), "held_texts"), scratch), "3")
         found = components(links.union(rare), scratch, "components3")
 
     of_class = classes.join(found, classes["class"] == found["id"], "left").select("n", "f1", "f2", F.coalesce("component", "class").alias("component"))
     # documents without shingles are linked with nothing, and would all be one key
-    out = made.where("n > 0").select("id", "n", "f1", "f2").join(of_class, ["n", "f1", "f2"], "left").unionByName(made.where("n = 0").select("id", "n", "f1", "f2"), allowMissingColumns=True)
+    out = sums.where("n > 0").join(of_class, ["n", "f1", "f2"], "left").unionByName(sums.where("n = 0"), allowMissingColumns=True)
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     out = scratch.keep(out.withColumn("kept", F.col(id_col) == F.col("component_id")), "result")
     scratch.drop_all_but("result")
