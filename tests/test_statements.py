@@ -184,3 +184,10 @@ def test_equal_statements_are_read_once(spark):
 def test_token_rows_keep_other_columns(spark):
     rows = token_rows(spark.createDataFrame([(7, "SELECT a")], "k int, sql string")).orderBy("pos").collect()
     assert [(r.k, r.pos, r.type) for r in rows] == [(7, 0, "COMMAND"), (7, 1, "SPACE"), (7, 2, "IDENT")]
+
+
+def test_fields_of_tokens(spark):
+    """Only the wanted fields are made; they are those of all."""
+    row = spark.createDataFrame([("SELECT 'a\x01b' FROM t1 -- x",), (None,), ("",)], "sql string").select(tokenize(F.col("sql")).alias("a"), tokenize(F.col("sql"), fields=["value", "type"]).alias("b")).collect()
+    assert [None if r.a is None else [(t.value, t.type) for t in r.a] for r in row] == [None if r.b is None else [tuple(t) for t in r.b] for r in row]
+    assert [list(t.asDict()) for t in row[0].b[:1]] == [["value", "type"]]
