@@ -191,3 +191,21 @@ def test_fields_of_tokens(spark):
     row = spark.createDataFrame([("SELECT 'a\x01b' FROM t1 -- x",), (None,), ("",)], "sql string").select(tokenize(F.col("sql")).alias("a"), tokenize(F.col("sql"), fields=["value", "type"]).alias("b")).collect()
     assert [None if r.a is None else [(t.value, t.type) for t in r.a] for r in row] == [None if r.b is None else [tuple(t) for t in r.b] for r in row]
     assert [list(t.asDict()) for t in row[0].b[:1]] == [["value", "type"]]
+
+
+def test_parts_grow_in_number_and_not_in_size(spark, tmp_path):
+    """A table is worked on in more parts than it is read in, so that a part of a large one is not the work of hours; the parts of twice as
+    many are as large."""
+    from inkstone.sources.statements import spread
+
+    sizes = []
+    for n in (4, 8):
+        spark.range(n * 16_000).repartition(n).write.parquet(f"{tmp_path}/{n}")
+        spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))  # a part for each file
+        try:
+            table = spark.read.parquet(f"{tmp_path}/{n}")
+            assert table.rdd.getNumPartitions() == n
+            sizes.append(max(r["count"] for r in spread(table).groupBy(F.spark_partition_id()).count().collect()))
+        finally:
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert max(sizes) < 2_000
