@@ -3,7 +3,8 @@
 Texts are split into words by the tokenizer's own rule; a merge never crosses words, so each distinct word of the whole table of
 documents is encoded once and its ids are joined back to all its places. Tokens are decoded by a join of ids and pieces.
 
-    documents -> (page, words, packed)    written once: blocks of the page's distinct words by bucket; its documents as word numbers
+    documents -> (page, words)            written once: blocks of the page's distinct words by bucket; deleted when they are encoded
+              -> (page, packed)           written with them: the page's documents as word numbers
     words     -> (bucket, block)          shuffled, taken apart into (word, page, place) and sorted: each distinct word is one run,
                                           encoded once
               -> (page, block of ids)     places in the page with their ids; shuffled, one row a page; written
@@ -44,6 +45,8 @@ BLOCK_ROWS = 1 << 18
 #: Words that a task takes out of blocks at a time.
 WORD_ROWS = 1 << 14
 _BLOCKS = ["page", "rows", "tokens", "packed"]
+#: Words of documents whose ids and texts are one batch of the result.
+RESULT = 1 << 18
 #: Bytes of a row group of the written pages: what Spark's reader holds of them at a time.
 ROW_GROUP = 16 << 20
 #: The split rule of byte-level BPE.
@@ -162,7 +165,8 @@ class Page:
 
     def packed(self, id_type: pa.DataType, buckets: int) -> tuple[list[dict], bytes]:
         """Blocks of the distinct words, ordered by bucket and then by themselves, and ids of documents and rows, compressed. In the
-        rows a word's number is its rank by frequency, which packs best; the numbers' bytes are laid out by significance."""
+        rows a word's number is its rank by frequency, which packs best; the numbers' halves, and of ranks in order all bytes, are laid out by
+        significance."""
         words = list(self.numbers)
         order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
         bucket = np.fromiter((crc32(w.encode()) % buckets for w in words), np.int64, len(words))
@@ -175,8 +179,8 @@ class Page:
         rank[by_rank] = np.arange(len(words), dtype=np.int32)
         docs = pa.record_batch([pa.array(self.ids, id_type), pa.array([len(r) for r in self.rows], pa.int64())], ["id", "n"])
         sink = pa.BufferOutputStream()
-        for batch in (docs, planes(rank[numbers]), planes(by_rank)):
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as writer:
+        for batch in (docs, planes(rank[numbers], 2), planes(by_rank, 1)):
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9))) as writer:
                 writer.write_batch(batch)
         sizes = np.bincount(bucket, minlength=buckets)
         blocks = []
@@ -188,16 +192,17 @@ class Page:
         return blocks, sink.getvalue().to_pybytes()
 
 
-def planes(numbers: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel())], ["plane"])
+def planes(numbers: np.ndarray, width: int) -> pa.RecordBatch:
+    """Numbers laid out by the significance of their parts of ``width`` bytes."""
+    return pa.record_batch([pa.array(np.ascontiguousarray(numbers.astype("<u4").view(f"<u{width}").reshape(-1, 4 // width).T).ravel())], ["plane"])
 
 
 def unpacked(payload: bytes) -> tuple[pa.Table, np.ndarray]:
     """Ids of documents with the lengths of their rows, and the rows one after another."""
     source = pa.BufferReader(payload)
     docs, ranks, by_rank = (pa.ipc.open_stream(source).read_all().combine_chunks() for _ in range(3))
-    whole = lambda t: np.ascontiguousarray(t["plane"].to_numpy().reshape(4, -1).T).view("<u4").ravel()
-    return docs, whole(by_rank)[whole(ranks)]
+    whole = lambda t, width: np.ascontiguousarray(t["plane"].to_numpy().reshape(4 // width, -1).T).view("<u4").ravel()
+    return docs, whole(by_rank, 1)[whole(ranks, 2)]
 
 
 WORDS = pa.list_(pa.struct([("bucket", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("size", pa.int32()), ("packed", pa.binary())]))
@@ -210,7 +215,8 @@ def _paged(path: str, buckets: int):
         def closed() -> pa.RecordBatch:
             page.close()
             words, packed = page.packed(kind, buckets)
-            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([words], WORDS), pa.array([packed], pa.binary())], ["page", "words", "packed"])
+            columns = [pa.array(["words", "documents"]), pa.array([number] * 2), pa.array([words, None], WORDS), pa.array([None, packed], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["of", "page", "words", "packed"])
 
         for batch in batches:
             kind = batch.column(0).type
@@ -244,6 +250,8 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, n = [], 0
     if held:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+    del held
+    release()
 
 
 def by_significance(*columns: np.ndarray) -> bytes:
@@ -325,15 +333,16 @@ def _encoded(path: str):
 
 
 def pages_of(docs: DataFrame, path: str) -> DataFrame:
-    """Rows (page, words, packed) of a table of ids and texts. A page's number is that of its task and its place there: it holds for one
-    reading of the table, so pages must be written before they are used twice."""
+    """Rows (of, page, words, packed) of a table of ids and texts: for each page one of its ``words`` and one of its ``documents``. A page's
+    number is that of its task and its place there: it holds for one reading of the table, so pages must be written before they are used twice."""
     # as many buckets as tasks could share, twice over
     buckets = max(256, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return docs.mapInArrow(_paged(path, buckets), "page long, words array<struct<bucket:int,first:int,n:int,size:int,packed:binary>>, packed binary")
+    return docs.mapInArrow(_paged(path, buckets), "of string, page long, words array<struct<bucket:int,first:int,n:int,size:int,packed:binary>>, packed binary")
 
 
 def words_of(pages: DataFrame) -> DataFrame:
     """Rows (word, page, place), a bucket's in one task."""
+    pages = pages.where("words IS NOT NULL")
     return pages.select("page", F.inline("words")).repartition("bucket").mapInArrow(_words, "word string, page long, place int")
 
 
@@ -410,15 +419,17 @@ def _assemble(id_type: pa.DataType):
         out = []
         for packed in pages["packed"]:
             docs, numbers = unpacked(packed.as_py())
-            tokens, texts, at = [np.zeros(0, np.int32)], [], 0
-            for n in docs["n"].to_pylist():
-                ids = of_word.of(word_row[numbers[at : at + n]])
-                at += n
-                tokens.append(ids)
-                texts.append(of_id.of(piece_row[ids]).tobytes().decode("utf-8", "replace"))
-            ends = np.cumsum([len(t) for t in tokens]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tokens)))
-            out.append(pa.table([docs["id"].combine_chunks(), ids, pa.array(texts, pa.string())], schema))
+            named, sizes = docs["id"].combine_chunks(), docs["n"].to_numpy()
+            ends = np.cumsum(sizes)
+            # batches of about ``RESULT`` words: what Spark takes back at a time
+            cuts = np.append(np.unique(ends // RESULT, return_index=True)[1], len(sizes))
+            for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                ids = [of_word.of(word_row[numbers[end - n : end]]) for n, end in zip(sizes[low:high].tolist(), ends[low:high].tolist(), strict=True)]
+                texts = pa.array([of_id.of(piece_row[i]).tobytes().decode("utf-8", "replace") for i in ids], pa.string())
+                offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32()))
+                out.append(pa.table([named[low:high], lists, texts], schema))
+            del docs, numbers
         release()
         return pa.concat_tables(out) if out else schema.empty_table()
 
@@ -433,8 +444,11 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     scratch = Scratch(docs.sparkSession, "bpe")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType
-    pages = scratch.keep(pages_of(rows, path), "pages", {"parquet.block.size": ROW_GROUP, "parquet.block.size.row.check.min": 1})
-    coded = scratch.keep(encode_words(words_of(pages), path), "coded")
+    made = pages_of(rows, path)
+    scratch.keep_parts(made, "pages", "of", {"parquet.block.size": ROW_GROUP, "parquet.block.size.row.check.min": 1})
+    coded = scratch.keep(encode_words(words_of(scratch.part(made, "pages", "of", "words")), path), "coded")
+    scratch.drop("pages/of=words")
+    pages = scratch.part(made, "pages", "of", "documents")
     found = coded.drop("ids").unionByName(with_pieces(coded, path), allowMissingColumns=True)
     out = pages.select("page", "packed").groupBy("page").cogroup(found.groupBy("page")).applyInArrow(_assemble(to_arrow_type(id_type)), f"id {id_type.simpleString()}, ids array<int>, decoded string")
     return out.withColumnRenamed("id", id_col)

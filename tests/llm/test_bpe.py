@@ -82,3 +82,29 @@ def test_each_distinct_word_is_encoded_once(spark, library, monkeypatch):
         got += [(r["page"], p, i.tolist()) for p, i in zip(place.tolist(), np.split(ids, np.cumsum(lengths)[:-1]), strict=True)]
     assert sorted(got) == sorted((p, n, library(w)[0]) for w, p, n in rows)
     assert {r.doc_id: (r.ids, r.decoded) for r in bpe.encode_decode(docs, PATH).collect()} == {r.doc_id: library(r.text) for r in docs.collect()}
+
+
+def test_words_are_deleted_and_results_come_in_batches(spark, library, monkeypatch):
+    """When the result is read, the blocks of words are gone, and a page's documents come back in several batches."""
+    import glob
+
+    monkeypatch.setattr(bpe, "RESULT", 50)
+    docs = spark.createDataFrame([(i, f"the words of document {i} " * (i % 5)) for i in range(60)], "doc_id long, text string")
+    before = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/bpe-*"))
+    got = bpe.encode_decode(docs, PATH)
+    (made,) = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/bpe-*")) - before
+    assert [p.rsplit("/", 1)[1] for p in glob.glob(f"{made}/pages/of=*")] == ["of=documents"]
+    assert {r.doc_id: (r.ids, r.decoded) for r in got.collect()} == {r.doc_id: library(r.text) for r in docs.collect()}
+    page = bpe.Page(bpe.splitter(PATH))
+    for i in range(60):
+        page.add(i, "one two three")
+    _, packed = page.packed(pa.int64(), 1)
+    ids = [library(w)[0] for w in ("one", " two", " three")]
+    order = sorted(range(3), key=["one", " two", " three"].__getitem__)
+    flat = [i for k in order for i in ids[k]]
+    coded = {"rows": [3], "tokens": [len(flat)], "packed": [bpe.block(np.arange(3), np.array([len(ids[k]) for k in order]), np.array(flat))], "id": [None], "piece": [None]}
+    named = {"rows": [None] * len(flat), "tokens": [None] * len(flat), "packed": [None] * len(flat), "id": flat, "piece": [bpe.piece_bytes(PATH)[i] for i in flat]}
+    kinds = pa.schema([("rows", pa.int32()), ("tokens", pa.int32()), ("packed", pa.binary()), ("id", pa.int32()), ("piece", pa.binary())])
+    found = pa.table({k: coded[k] + named[k] for k in coded}, kinds)
+    out = bpe._assemble(pa.int64())(pa.table({"packed": pa.array([packed], pa.binary())}), found)
+    assert out["decoded"].to_pylist() == ["one two three"] * 60 and 3 <= out["decoded"].num_chunks <= 5
