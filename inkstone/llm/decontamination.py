@@ -362,6 +362,8 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", slop:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated. Only the keys of the others meet them."""
+    """The rows of ``docs`` that are not contaminated. Only the keys of the others meet them; they are written, so that Spark knows how few
+    they are before it moves a text."""
     found = _with_contamination(search(docs, benchmark, id_col=id_col, text_col=text_col, **options)).where("contaminated").select("id", "h")
+    found = Scratch(docs.sparkSession, "contaminated").keep(found, "keys")
     return _joined(docs.withColumn("__h", F.xxhash64(F.col(text_col))), found, "left_anti", id_col, "__h").select(*docs.columns)

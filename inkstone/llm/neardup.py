@@ -353,7 +353,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # whole texts travel once, and those alone that share a bucket with another
     meeting = scratch.keep(one.join(shared.select("id").distinct(), "id", "left_semi").select("id", "n", "sketch", "h"), "meeting")
     scratch.drop("representatives", "pivots")
-    texts = rows.select("id", "h", "text").join(meeting.select("id", "h"), ["id", "h"], "left_semi").groupBy("id").agg(F.any_value("text").alias("text"))
+    # by the id alone, so that the groups need no exchange of their own
+    chosen = F.when(F.col("h") == F.col("of_h"), F.col("text"))
+    texts = rows.select("id", "h", "text").join(meeting.select("id", F.col("h").alias("of_h")), "id").groupBy("id").agg(F.any_value(chosen, ignoreNulls=True).alias("text"))
     texts = scratch.keep(texts, "texts")
     links = linked(with_pivots(shared.where(F.col("band") < FIRST_BANDS)), "1")
     found = components(links, scratch, "components1")
@@ -409,9 +411,8 @@ def _alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their component: all but the one of least id go, and so do repeats of that row."""
-    found = near_duplicates(docs, id_col, text_col)
-    gone = found.where("not kept").select(id_col).distinct()
-    left = docs.join(gone, id_col, "left_anti")
-    repeated = found.where("kept").groupBy(id_col).count().where("count > 1").select(id_col)
-    return left.join(repeated, id_col, "left_anti").unionByName(left.join(repeated, id_col, "left_semi").dropDuplicates([id_col])).select(*docs.columns)
+    """The rows of ``docs`` that stand for their component: all but the one of least id go, and so do repeats of that row. Rows without an
+    id stay. Documents meet their verdicts in one join on the id, and what is dealt by the id needs no other exchange to drop repeats."""
+    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept"))
+    left = docs.join(kept, docs[id_col] == kept["__kept"], "left_semi").dropDuplicates([id_col])
+    return left.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)

@@ -124,3 +124,19 @@ def test_proximity_query(spark, sf_dir):
         w = set(WORD.findall(text.translate(LOWER))) if text else set()
         able = [(k, t) for k, t, b in bodies if len(b & w) >= min(5, len(b))]
         assert got[i].near_items.split(",") == (sorted(plain_near(text, able)) or [""]) and got[i].n_near_items == len(plain_near(text, able))
+
+
+def test_few_contaminated_documents_move_no_text(spark):
+    """The keys of contaminated documents are a table of their own, whose size Spark knows."""
+    passage = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(i, f"{passage} x{i}" if i % 500 == 0 else f"words of document {i}") for i in range(3_000)], "doc_id long, text string")
+    tests = spark.createDataFrame([("a", passage)], "item_id string, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")
+    try:
+        got = decontamination.without_contaminated(docs, tests)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert got.count() == 3_000 - 6
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan, plan

@@ -149,3 +149,18 @@ def test_no_join_gathers_a_large_group(spark, monkeypatch):
     got = neardup.near_duplicates(rows).collect()
     assert {r.component_id for r in got if r.n_shingles} == {0} and sum(r.kept for r in got) == 51
     assert max(whole for whole, _ in largest) > 500 and max(part for _, part in largest) < 20
+
+
+def test_texts_are_dealt_once_to_drop_copies(spark, monkeypatch):
+    """One exchange has the texts, whatever the size; rows without an id stay, and of repeated rows one."""
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "u v w x y z"), (3, "u v w x y z"), (4, None), (None, "k l m n o p"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = neardup.without_near_duplicates(docs)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [(0, ""), (0, "k l m n o p"), (1, "a b c d e f"), (3, "u v w x y z"), (4, "")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("hashpartitioning(doc_id") == 1, plan
