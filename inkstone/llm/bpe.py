@@ -5,8 +5,8 @@ documents is encoded once and its ids are joined back to all its places. Tokens
 
     documents -> (page, words)            written once: blocks of the page's distinct words by bucket; deleted when they are encoded
               -> (page, packed)           written with them: the page's documents as word numbers
-    words     -> (bucket, block)          shuffled, taken apart into (word, page, place) and sorted: each distinct word is one run,
-                                          encoded once
+    words     -> (bucket, block)          shuffled, taken apart by Spark into (word, page, place) and sorted: each distinct word is one
+                                          run, encoded once
               -> (page, block of ids)     places in the page with their ids; shuffled, one row a page; written
               -> (page, id)               the page's distinct ids, joined with the table of pieces by id: (page, id, piece)
     pages     -> documents                cogrouped by page: ids by position, pieces by id
@@ -14,7 +14,8 @@ documents is encoded once and its ids are joined back to all its places. Tokens
 Places are kept small: the documents of a task are gathered in *pages* of about ``PAGE`` characters, and words go to their buckets and ids come
 back in packed blocks, not in a row for each token. A word has at most one row a page, however common it
 is, and the rows of equal words are read as a stream, so a task holds one batch of them. Documents are read and split once: pages are
-written, and all later steps read them.
+written, and all later steps read them. No stage has two Python steps one behind the other, since each would be a worker of its own in
+every running task.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; the strings of special tokens are those tokens,
 as the library has it; repeated rows each get their own result; an empty table gives an empty result; only the id and text
@@ -33,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.llm.memory import modest_batches, release
@@ -42,8 +43,8 @@ from inkstone.llm.scratch import Scratch
 PAGE = 16_000_000
 #: Rows of words with ids that a task gathers before it gives them out as one block for each page.
 BLOCK_ROWS = 1 << 18
-#: Words that a task takes out of blocks at a time.
-WORD_ROWS = 1 << 14
+#: Stretches whose words a page remembers at a time.
+STRETCHES = 1 << 16
 _BLOCKS = ["page", "rows", "tokens", "packed"]
 #: Words of documents whose ids and texts are one batch of the result.
 RESULT = 1 << 18
@@ -114,7 +115,8 @@ class Numbers(dict):
 
 
 class Stretches(dict):
-    """What stands between two spaces or line ends, with the one before it, to the numbers of its words."""
+    """What stands between two spaces or line ends, with the one before it, to the numbers of its words. ``STRETCHES`` of them are
+    remembered; then it begins anew."""
 
     def __init__(self, split: Splitter, numbers: Numbers):
         self.split, self.numbers = split, numbers
@@ -130,6 +132,8 @@ class Stretches(dict):
             if not body or body[0].isspace() or body[-1].isspace() or not (body.isascii() or not self.split.odd(body)):
                 raise Uneven
             found = tuple(map(number, self.split.findall(stretch if stretch[0] == "\n" else " " + stretch)))
+        if len(self) >= STRETCHES:
+            self.clear()
         self[stretch] = found
         return found
 
@@ -159,39 +163,47 @@ class Page:
             words, rest = self.split.words(text), []
         self.rows.append(np.array([self.numbers[w] for w in words] + rest, np.int32))
 
-    def close(self) -> None:
-        """Forgets the stretches; their words' numbers are kept."""
-        self.stretches.clear()
-
-    def packed(self, id_type: pa.DataType, buckets: int) -> tuple[list[dict], bytes]:
+    def packed(self, id_type: pa.DataType, buckets: int) -> tuple[pa.Array, bytes]:
         """Blocks of the distinct words, ordered by bucket and then by themselves, and ids of documents and rows, compressed. In the
         rows a word's number is its rank by frequency, which packs best; the numbers' halves, and of ranks in order all bytes, are laid out by
-        significance."""
-        words = list(self.numbers)
-        order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
-        bucket = np.fromiter((crc32(w.encode()) % buckets for w in words), np.int64, len(words))
+        significance. The page is empty afterwards."""
+        self.stretches.clear()
+        words = pa.array(list(self.numbers), pa.string())
+        bucket = np.fromiter((crc32(w.encode()) % buckets for w in self.numbers), np.int64, len(words))
+        self.numbers.clear()
+        order = pc.sort_indices(words).to_numpy()
         order = order[np.argsort(bucket[order], kind="stable")]
         place = np.empty(len(words), np.int32)
         place[order] = np.arange(len(words), dtype=np.int32)
-        numbers = place[np.concatenate(self.rows)] if words else np.zeros(0, np.int32)
+        docs = pa.record_batch([pa.array(self.ids, id_type), pa.array([len(r) for r in self.rows], pa.int64())], ["id", "n"])
+        numbers = np.concatenate([np.zeros(0, np.int32), *self.rows])
+        self.rows, self.ids = [], []
+        numbers = place[numbers]
         by_rank = np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable").astype(np.int32)
         rank = np.empty_like(by_rank)
         rank[by_rank] = np.arange(len(words), dtype=np.int32)
-        docs = pa.record_batch([pa.array(self.ids, id_type), pa.array([len(r) for r in self.rows], pa.int64())], ["id", "n"])
+        numbers = rank[numbers]
         sink = pa.BufferOutputStream()
-        for batch in (docs, planes(rank[numbers], 2), planes(by_rank, 1)):
+        for batch in (docs, planes(numbers, 2), planes(by_rank, 1)):
             with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9))) as writer:
                 writer.write_batch(batch)
         sizes = np.bincount(bucket, minlength=buckets)
-        blocks = []
-        for b, n, end in zip(range(buckets), sizes.tolist(), np.cumsum(sizes).tolist(), strict=True):
-            if n:
-                runs = [words[i].encode() for i in order[end - n : end]]
-                raw = by_significance(np.array(list(map(len, runs)))) + b"".join(runs)
-                blocks.append({"bucket": b, "first": end - n, "n": n, "size": len(raw), "packed": pa.Codec("zstd", 5).compress(raw, asbytes=True)})
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        lines = pc.binary_join(pa.ListArray.from_arrays(ends.astype(np.int32), as_lines(words.take(order))), "\n")
+        used = np.flatnonzero(sizes)
+        blocks = pa.StructArray.from_arrays([pa.array(used.astype(np.int32)), pa.array(ends[used].astype(np.int32)), lines.take(used)], ["bucket", "first", "words"])
         return blocks, sink.getvalue().to_pybytes()
 
 
+def as_lines(words: pa.Array) -> pa.Array:
+    """Words without line ends, one to one; :func:`of_line` has them back."""
+    return pc.replace_substring(pc.replace_substring(words, "%", "%25"), "\n", "%0A")
+
+
+def of_line(line: Column) -> Column:
+    return F.when(line.contains("%"), F.replace(F.replace(line, F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))).otherwise(line)
+
+
 def planes(numbers: np.ndarray, width: int) -> pa.RecordBatch:
     """Numbers laid out by the significance of their parts of ``width`` bytes."""
     return pa.record_batch([pa.array(np.ascontiguousarray(numbers.astype("<u4").view(f"<u{width}").reshape(-1, 4 // width).T).ravel())], ["plane"])
@@ -205,17 +217,15 @@ def unpacked(payload: bytes) -> tuple[pa.Table, np.ndarray]:
     return docs, whole(by_rank, 1)[whole(ranks, 2)]
 
 
-WORDS = pa.list_(pa.struct([("bucket", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("size", pa.int32()), ("packed", pa.binary())]))
-
-
 def _paged(path: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # what tasks of other kinds left in this worker
         number, kind, page = TaskContext.get().partitionId() << 32, None, Page(splitter(path))
 
         def closed() -> pa.RecordBatch:
-            page.close()
-            words, packed = page.packed(kind, buckets)
-            columns = [pa.array(["words", "documents"]), pa.array([number] * 2), pa.array([words, None], WORDS), pa.array([None, packed], pa.binary())]
+            blocks, packed = page.packed(kind, buckets)
+            words = pa.ListArray.from_arrays(pa.array([0, len(blocks), len(blocks)], pa.int32()), blocks, mask=pa.array([False, True]))
+            columns = [pa.array(["words", "documents"]), pa.array([number] * 2), words, pa.array([None, packed], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["of", "page", "words", "packed"])
 
         for batch in batches:
@@ -224,7 +234,7 @@ def _paged(path: str, buckets: int):
                 page.add(doc_id, text)
                 if page.size >= PAGE:
                     yield closed()
-                    del page  # before the next one begins
+                    release()
                     number, page = number + 1, Page(splitter(path))
         if page.ids:
             yield closed()
@@ -234,26 +244,6 @@ def _paged(path: str, buckets: int):
     return run
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks (page, first, n, size, packed) to rows (word, page, place)."""
-    held, n = [], 0
-    for batch in batches:
-        for r in batch.to_pylist():
-            raw = pa.Codec("zstd").decompress(r["packed"], r["size"])
-            (lengths,) = from_significance(raw, [r["n"]])
-            ends = pa.py_buffer(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-            words = pa.StringArray.from_buffers(r["n"], ends, raw.slice(4 * r["n"]))
-            held.append(pa.RecordBatch.from_arrays([words, pa.array(np.full(r["n"], r["page"])), pa.array(np.arange(r["first"], r["first"] + r["n"], dtype=np.int32))], ["word", "page", "place"]))
-            n += r["n"]
-            if n >= WORD_ROWS:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, n = [], 0
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-    del held
-    release()
-
-
 def by_significance(*columns: np.ndarray) -> bytes:
     """Numbers laid out by the significance of their bytes."""
     return b"".join(c.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns)
@@ -337,13 +327,16 @@ def pages_of(docs: DataFrame, path: str) -> DataFrame:
     number is that of its task and its place there: it holds for one reading of the table, so pages must be written before they are used twice."""
     # as many buckets as tasks could share, twice over
     buckets = max(256, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return docs.mapInArrow(_paged(path, buckets), "of string, page long, words array<struct<bucket:int,first:int,n:int,size:int,packed:binary>>, packed binary")
+    return docs.mapInArrow(_paged(path, buckets), "of string, page long, words array<struct<bucket:int,first:int,words:string>>, packed binary")
 
 
 def words_of(pages: DataFrame) -> DataFrame:
-    """Rows (word, page, place), a bucket's in one task."""
-    pages = pages.where("words IS NOT NULL")
-    return pages.select("page", F.inline("words")).repartition("bucket").mapInArrow(_words, "word string, page long, place int")
+    """Rows (word, page, place), a bucket's in one task. The number of tasks is fixed: by the size of blocks, of which one becomes many
+    times as many bytes of rows, Spark would put too many into one. (The outer generator keeps Spark from splitting twice, for a filter.)"""
+    blocks = pages.where("words IS NOT NULL").select("page", F.inline("words"))
+    blocks = blocks.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket")
+    lines = blocks.select("page", "first", F.posexplode_outer(F.split("words", "\n")).alias("at", "line"))
+    return lines.select(of_line(F.col("line")).alias("word"), "page", (F.col("first") + F.col("at")).alias("place"))
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
@@ -445,7 +438,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType
     made = pages_of(rows, path)
-    scratch.keep_parts(made, "pages", "of", {"parquet.block.size": ROW_GROUP, "parquet.block.size.row.check.min": 1})
+    scratch.keep_parts(made, "pages", "of", {"parquet.block.size": ROW_GROUP, "parquet.block.size.row.check.min": 1, "compression": "zstd"})
     coded = scratch.keep(encode_words(words_of(scratch.part(made, "pages", "of", "words")), path), "coded")
     scratch.drop("pages/of=words")
     pages = scratch.part(made, "pages", "of", "documents")

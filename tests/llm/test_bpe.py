@@ -108,3 +108,34 @@ def test_words_are_deleted_and_results_come_in_batches(spark, library, monkeypat
     found = pa.table({k: coded[k] + named[k] for k in coded}, kinds)
     out = bpe._assemble(pa.int64())(pa.table({"packed": pa.array([packed], pa.binary())}), found)
     assert out["decoded"].to_pylist() == ["one two three"] * 60 and 3 <= out["decoded"].num_chunks <= 5
+
+
+def test_no_stage_has_two_python_steps(spark, library):
+    """Words are taken out of their blocks by Spark, also those with line ends and signs of the blocks' own, and dealt into as many tasks
+    as the session says, so that no running task has two workers and none gets many small-looking blocks."""
+    from pyspark.sql import functions as F
+
+    texts = ["100% %25 %0A\n\n%0A \n x%\ty", "%", "\n", " % \n\n\n%%", "plain words", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    pages = bpe.pages_of(docs.select(F.col("doc_id").alias("id"), "text").coalesce(1), PATH).localCheckpoint()
+    words = bpe.words_of(pages)
+    plan = words._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "REPARTITION_BY_NUM" in plan
+    split = bpe.splitter(PATH).words
+    assert sorted(r.word for r in words.collect()) == sorted({w for t in texts if t for w in split(t)})
+    assert words.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {r.doc_id: (r.ids, r.decoded) for r in bpe.encode_decode(docs, PATH).collect()} == {i: library(t) for i, t in enumerate(texts)}
+
+
+def test_stretches_are_forgotten(library, monkeypatch):
+    """A page remembers a bounded number of stretches, and its words are the same."""
+    monkeypatch.setattr(bpe, "STRETCHES", 3)
+    page = bpe.Page(bpe.splitter(PATH))
+    texts = [" ".join(f"w{j % 7} don't, {j % 5}" for j in range(i)) for i in range(1, 20)]
+    for i, t in enumerate(texts):
+        page.add(i, t)
+        assert len(page.stretches) <= 3
+    words = list(page.numbers)
+    assert [[words[n] for n in r] for r in page.rows] == [bpe.splitter(PATH).words(t) for t in texts]
+    page.packed(pa.int64(), 4)
+    assert not page.numbers and not page.rows
