@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.memory import modest_batches
+from inkstone.llm.memory import modest_batches, release
 
 #: In the order in which spans with the same start are listed. The first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "url", "account", "address")
@@ -171,6 +171,7 @@ def find_pii(text: Column) -> Column:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
         for batch in batches:
             yield pa.array([[{"kind": k, "start": s, "end": e, "value": t[s:e]} for k, s, e in spans_of(t)] for t in batch.to_pylist()], kind)
+        release()
 
     return find(text)
 
@@ -182,6 +183,7 @@ def redact(text: Column) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array([t and mask(t, spans_of(t)) for t in batch.to_pylist()], pa.string())
+        release()
 
     return run(text)
 
