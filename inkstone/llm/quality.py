@@ -28,6 +28,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,8 +171,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not target.any():
         return Model(np.zeros(BUCKETS))
     model = Model(ratios(raw, target))
-    scored = rows.where("__good is not null").select("__good", score(F.col("text"), model).alias("s")).where("s.n_grams > 0")
-    pairs = scored.select("__good", "s.score").toArrow()
+    scored = rows.where("__good is not null").select("__good", score(F.col("text"), model).alias("s"))
+    # texts without n-grams are left out here: Spark would push a filter on scores below the join, where every text is scored for it
+    pairs = scored.select("__good", "s.n_grams", "s.score").toArrow().filter(pc.field("n_grams") > 0)
     model.threshold = best_threshold(pairs["score"].to_numpy(), pairs["__good"].to_numpy(zero_copy_only=False))
     return model
 

@@ -37,6 +37,27 @@ def test_held_out_labels(spark, sf_dir):
     assert judged[judged.quality == 1].accepted.mean() >= 0.9 and judged[judged.quality == 0].accepted.mean() <= 0.5
 
 
+def test_threshold_scores_labelled_texts_once(spark, tmp_path, monkeypatch):
+    """No other text is scored for the threshold, and labelled ones without words have no part in it."""
+    seen = str(tmp_path / "seen")
+
+    class Noting(quality.Model):
+        def score(self, text, grams):
+            with open(seen, "a") as out:
+                out.write(f"{text!r}\n")
+            return super().score(text, grams)
+
+    monkeypatch.setattr(quality, "Model", Noting)
+    texts = [None, "", " \n", "good plain words here.", "more plain words, as good.", "BUY!!! $$$ NOW!!!", *(f"text {i} has no label." for i in range(50))]
+    docs = awkward(spark, texts).repartition(3)
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 1), (3, 1), (4, 1), (5, 0), (9999, 0)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    with open(seen) as lines:
+        assert sorted(line.rstrip("\n") for line in lines) == sorted(map(repr, texts[:6]))
+    plain, grams = quality.Model(model.ratio), quality.Grams()
+    assert model.threshold == quality.best_threshold(np.array([plain.score(t, grams)[2] for t in texts[3:6]]), np.array([True, True, False]))
+
+
 def test_awkward_texts_and_labels(spark):
     docs = awkward(spark, [None, "", " \n", "good plain words here.", "BUY!!! $$$ NOW!!!", "word " * 50_000, "good plain words here."])
     labels = spark.createDataFrame([(3, 1), (4, 0), (None, 1), (5, None), (3, 1)], "doc_id long, quality int")
