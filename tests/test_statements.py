@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkstone import cli
-from inkstone.functions import NormalizerConfig, ObfuscatorConfig, obfuscate, obfuscate_and_normalize, tokenize
+from inkstone.functions import Dialect, NormalizerConfig, ObfuscatorConfig, obfuscate, obfuscate_and_normalize, tokenize
+from inkstone.functions.tokens import FIELDS
 from inkstone.functions.views import create_statement_view
 from inkstone.operators.statements import fingerprint_counts, token_rows
 from inkstone.plans import queries
@@ -209,3 +210,30 @@ def test_parts_grow_in_number_and_not_in_size(spark, tmp_path):
         finally:
             spark.conf.unset("spark.sql.files.openCostInBytes")
     assert max(sizes) < 2_000
+
+
+def test_roundtrip_reads_whole_texts(spark, tmp_path):
+    """Its SQL counts every text: null, and those with more after a NUL, too. Tokens are made with all their fields."""
+    texts = ["SELECT 1", None, "", "\0", "a\0b", "a\0'b\0\"c /*\0*/ [d", "$a$ x\0y $a$ z\0 1", "$a$ x\0 open", "\x01\x02\x03\x04\x05\x06", "\x03\x04\0\x01", "it's \x01 'q\0\0", "é漢😀\0é"]
+    con = duckdb.connect()
+    for name, column in (("documents", "text"), ("conversations", "text"), ("pages", "html")):
+        spark.createDataFrame([(t,) for t in texts], f"{column} string").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    made = queries.tokenize_roundtrip(spark, str(tmp_path))
+    assert sorted(map(tuple, made.collect())) == sorted(con.execute(queries.ORACLES["tokenize_roundtrip"]).fetchall())
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert [field for field in FIELDS if f"{field}, " not in plan] == []
+
+
+def test_tokens_past_a_nul(spark):
+    """Each NUL outside a dollar quote is a token, and what follows it is read as a text of its own."""
+    texts = ["SELECT 'a\0b' FROM t\0", "\0\0x", "$t$\0$t$\0$t$\0", "a\0b", "FROM\0t1", None, ""]
+    for dialect in Dialect:
+        got = all_of(spark, texts, lambda c: tokenize(c, dialect, past_nul=True))  # noqa: B023
+        for text, tokens in zip(texts, got, strict=True):
+            assert (None if tokens is None else "".join(t.value for t in tokens)) == text
+        first, *_ = got
+        assert [(t.type, t.value) for t in first if t.type != "SPACE"] == [("COMMAND", "SELECT"), ("INCOMPLETE_STRING", "'a"), ("EOF", "\0"), ("IDENT", "b"), ("INCOMPLETE_STRING", "' FROM t"), ("EOF", "\0")]
+        assert [t.type for t in got[1]] == ["EOF", "EOF", "IDENT"]
+        assert [t.type for t in got[4]] == ["KEYWORD", "EOF", "IDENT"]
+    assert [t.type for t in got[2]] == ["DOLLAR_QUOTED_STRING", "EOF", "ERROR"]
